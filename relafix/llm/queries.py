@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from relafix.llm import mixing, pii, urlfilter
+from relafix.llm import mixing, pieces, pii, quality, tiff, toxicity, urlfilter
 from relafix.tables import table
 
 #: (verdict, host, path) of the url query.
@@ -17,11 +20,28 @@ URL_RULES = (
 )
 
 
+#: A SentencePiece model of the machine; read by path, never copied into the repository.
+PIECE_MODEL = os.environ.get("RELAFIX_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.media_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "quality_score", "content_score", "metadata_score", (F.col("quality_score") >= 0.5).alias("accepted"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, URL_RULES))
 
@@ -30,6 +50,10 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 _URL_SQL = """
 WITH rules(verdict, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 cut AS (
@@ -50,9 +74,13 @@ SELECT page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict
 
 def queries() -> dict:
     return {
+        "op2_toxicity": op2_toxicity,
         "op3_mixing": op3_mixing,
+        "op5_tiff": op5_tiff,
+        "op7_quality": op7_quality,
         "op8_url_filters": op8_url_filters,
         "op9_personal_data": op9_personal_data,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
