@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relafix.llm import mixing, pieces, pii, quality, tiff, toxicity, urlfilter
+from relafix.llm import jaccard, mixing, pieces, pii, quality, tiff, toxicity, urlfilter
 from relafix.tables import table
 
 #: (verdict, host, path) of the url query.
@@ -37,6 +37,11 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard.jaccard_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return joined.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "quality_score", "content_score", "metadata_score", (F.col("quality_score") >= 0.5).alias("accepted"))
@@ -77,6 +82,7 @@ def queries() -> dict:
         "op2_toxicity": op2_toxicity,
         "op3_mixing": op3_mixing,
         "op5_tiff": op5_tiff,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_quality": op7_quality,
         "op8_url_filters": op8_url_filters,
         "op9_personal_data": op9_personal_data,
