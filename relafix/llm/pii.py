@@ -154,15 +154,21 @@ def disclosing_terms(
     pairs = cut(pairs)
     if pairs.isEmpty():
         return None
-    together = mentions.select("__row", "entity", F.explode(_terms(F.col("near"))).alias("term")).join(bounded_broadcast(pairs, broadcast_rows), ["entity", "term"], "left_semi")
-    together = together.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    near = mentions.select("__row", "entity", F.explode(_terms(F.col("near"))).alias("term")).distinct()
+    together = near.join(bounded_broadcast(pairs, broadcast_rows), ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     entities = mentions.select("__row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = docs.select(F.explode(_terms(text)).alias("term"))
-    words = words.join(bounded_broadcast(pairs.select("term").distinct(), broadcast_rows), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     total = F.lit(float(docs.count()))
     information = -F.log2(F.col("n_entity") / total)
+    # A term can reach the threshold only if n(t) is at most this; the documents that have it
+    # near any mention are a part of n(t), which rules frequent words out before the corpus is counted.
+    at_most = F.col("n_both") * F.pow(total / F.col("n_entity"), 1.0 - generalise_at)
+    anywhere = near.select("__row", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    hopeful = together.join(entities, "entity").join(anywhere, "term").where((information > 0) & (F.col("n_near") <= at_most * (1 + 1e-9)))
+    hopeful = cut(hopeful.select("entity", "term", "n_both", "n_entity"))
+    words = docs.select(F.explode(_terms(text)).alias("term"))
+    words = words.join(bounded_broadcast(hopeful.select("term").distinct(), broadcast_rows), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     revealed = F.log2(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    scored = together.join(entities, "entity").join(words, "term").where(information > 0)
+    scored = hopeful.join(words, "term")
     return cut(scored.groupBy("term").agg(F.max(revealed / information).alias("disclosure")).where(F.col("disclosure") >= generalise_at))
 
 
