@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relafix.llm import jaccard, mixing, pieces, pii, quality, tiff, toxicity, urlfilter
+from relafix.llm import ann, chat, jaccard, mixing, pieces, pii, quality, tiff, toxicity, urlfilter
 from relafix.tables import table
 
 #: (verdict, host, path) of the url query.
@@ -24,6 +24,10 @@ URL_RULES = (
 PIECE_MODEL = os.environ.get("RELAFIX_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,6 +37,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_digest(table(spark, sf_dir, "documents"))
 
@@ -79,8 +87,10 @@ SELECT page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict
 
 def queries() -> dict:
     return {
+        "op1_chat_format": op1_chat_format,
         "op2_toxicity": op2_toxicity,
         "op3_mixing": op3_mixing,
+        "op4_nearest_neighbours": op4_nearest_neighbours,
         "op5_tiff": op5_tiff,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_quality": op7_quality,
