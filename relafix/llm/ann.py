@@ -201,11 +201,12 @@ def nearest_neighbours(
     vector_col: str = "embedding",
     top: int = 20,
     k: int = 24,
-    trees: int = 6,
+    trees: int = 8,
     rounds: int = 4,
-    sample: int = 8,
-    beam: int = 256,
-    opened: int = 48,
+    sample: int = 16,
+    emit: int = 8,
+    beam: int = 384,
+    opened: int = 96,
     steps: int = 8,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row with ``is_query`` its ``top`` nearest others found.
@@ -232,7 +233,7 @@ def nearest_neighbours(
     n, wide = nodes.count(), dim + 1
     graph = stage_table(_merged(None, _leaves(nodes, n, k, trees, wide), k), "graph0")
     for i in range(rounds):
-        graph = stage_table(_descend(graph, nodes, k, sample, wide, emit=4), f"graph{i + 1}")
+        graph = stage_table(_descend(graph, nodes, k, sample, wide, emit), f"graph{i + 1}")
     search = stage_table(_search_graph(graph, nodes, k), "search")
     asking = stage_table(rows.where("asks").select("id", "embedding").join(nodes.select("node", "vec"), F.col("embedding") == F.col("vec")).select("id", "node"), "asking")
     peak = _peak(wide)
