@@ -35,9 +35,9 @@ from relafix.storage import bounded_broadcast, stage_table
 
 _ENTRY = np.dtype([("h", "<u8"), ("c", "<u8")])
 _FEW = 8  # classes of an n-gram that a task sends one by one; more leave as one mark
-_BATCH = 1_500_000  # entries that a task gathers before it sends them
-_BLOCK_ENTRIES = 2_000_000
-_BLOCK_ROWS = 1_024
+_BATCH = 500_000  # entries that a task gathers before it sends them
+_BLOCK_ENTRIES = 1_000_000
+_BLOCK_ROWS = 512
 
 
 def _least_overlap(n, num: int, den: int):
@@ -95,7 +95,7 @@ def _send(h: np.ndarray, c: np.ndarray, n_blocks: int) -> Iterator[pa.RecordBatc
     if len(credited):
         credits = np.zeros(len(credited), _ENTRY)
         credits["h"], credits["c"] = n.astype(np.uint64), credited
-        yield _rows([-1 - int(credited[0] % np.uint64(n_blocks))], [credits.tobytes()])
+        yield _rows([-1 - int(h.sum() % np.uint64(n_blocks))], [credits.tobytes()])
 
 
 def _possible(docs: DataFrame, n: int, num: int, den: int, n_blocks: int) -> DataFrame:
@@ -181,7 +181,7 @@ def _products(blocks: DataFrame, num: int, den: int) -> DataFrame:
         overlap = np.zeros((len(left), len(right)), np.float32)
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
-        width = 4096
+        width = 2048
         for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             a, b = np.searchsorted(column, [at, at + width])
             part = np.zeros((len(ids), width), np.float32)
@@ -218,6 +218,7 @@ def _products(blocks: DataFrame, num: int, den: int) -> DataFrame:
             some = links > 0
             out.append((ids[some], links[some], label[some]))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+        pa.default_memory_pool().release_unused()
         return pa.table({"cid": columns[0], "links": columns[1], "root": columns[2]})
 
     return blocks.groupBy("part", "left", "right").applyInArrow(run, "cid long, links long, root long")

@@ -55,7 +55,7 @@ def _word_hashes(data: np.ndarray, starts_of_texts: np.ndarray) -> tuple[np.ndar
     return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * _ORDER[-1]), starts
 
 
-def shingle_sets(texts: pa.Array, n: int, at_once: int = 1 << 20):
+def shingle_sets(texts: pa.Array, n: int, at_once: int = 1 << 19):
     """Yields (first text, flat sorted distinct hashes, counts) for runs of texts of about ``at_once`` bytes."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     if texts.null_count:
