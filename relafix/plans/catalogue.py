@@ -54,3 +54,11 @@ def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything that region 2 reaches."""
     seeds = spark.createDataFrame([("r2",)], "node string")
     return closure(trade_edges(spark, sf_dir), seeds)
+
+
+def _load() -> None:
+    """Importing the modules registers their queries."""
+    from relafix.plans import relational  # noqa: F401
+
+
+_load()
