@@ -166,7 +166,7 @@ def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     way = trace(roles, back, t)
                     costs[4 * s + t], turns[4 * s + t] = cost[t], sum(a.turns for a in way)
                     pieces[4 * s + t] = len(way) + sum(len(a.inserts) for a in way)
-        yield pd.DataFrame({"pid": [part["pid"].iloc[0]], "place": [place], "conv_id": pd.array([part["conv_id"].iloc[0]], dtype="Int64"), "costs": [costs], "turns": [turns], "pieces": [pieces]})
+        yield pd.DataFrame({"pid": [part["pid"].iloc[0]], "place": [place], "conv_id": [part["conv_id"].iloc[0]], "costs": [costs], "turns": [turns], "pieces": [pieces]})
 
 
 def _chain(rows: list) -> dict[tuple[int, int], tuple[int, int, int, int, bool]]:
@@ -203,7 +203,7 @@ def _escape(text: str | None) -> str:
     return text.replace("<|", "<\\|") if isinstance(text, str) else ""
 
 
-_OUT = "conv_id long, seq long, repaired_turn long, turn long, role string, original_role string, action string, cost int, rendered string"
+_OUT = "conv_id string, seq long, repaired_turn long, turn string, role string, original_role string, action string, cost int, rendered string"
 
 
 def repair_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -226,7 +226,9 @@ def repair_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("tie")]
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()).drop("tie"))
-    schema = "pid int, place int, conv_id long, costs array<long>, turns array<long>, pieces array<long>"
+    # numbers travel as text: a batch with a null would turn integers to floats
+    rows = rows.withColumn("conv_id", F.col("conv_id").cast("string")).withColumn("turn", F.col("turn").cast("string"))
+    schema = "pid int, place int, conv_id string, costs array<long>, turns array<long>, pieces array<long>"
     spans = _chain(rows.select("conv_id", "role", "pid").mapInPandas(_summaries, schema).collect())  # two rows per partition
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,6 +270,7 @@ def repair_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
                 put((None, None), "insert", q, INSERT_COST, "")
             out[-1] = (*out[-1][:-1], out[-1][-1] + "<|im_end|>\n")
         table = pd.DataFrame(out, columns=["conv_id", "seq", "repaired_turn", "turn", "original_role", "action", "cost", "role", "rendered"])
-        return table[[f.split()[0] for f in _OUT.split(", ")]].astype({"conv_id": "Int64", "turn": "Int64"})
+        return table[[f.split()[0] for f in _OUT.split(", ")]]
 
-    return rows.mapInPandas(emit, _OUT)
+    out = rows.mapInPandas(emit, _OUT)
+    return out.withColumn("conv_id", F.col("conv_id").cast("long")).withColumn("turn", F.col("turn").cast("long"))

@@ -169,15 +169,15 @@ def score_quality(
     """
     model = _model(docs, labels, id_col, text_col, label_col, max_labelled, max_pool, rounds)
     names = ("quality_score", "content_score", "metadata_score")
-    kept = docs.drop(*names)
-    given = {"__text": F.col(text_col), "__lang": F.col("lang").cast("string"), "__source": F.col("source").cast("string"), "__size": F.col("n_chars").cast("double")}
+    given = F.col(text_col), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double")
 
     @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
     def scored(text: pd.Series, lang: pd.Series, source: pd.Series, size: pd.Series) -> pd.DataFrame:
         x = _features(text, lang, source, size)
         return pd.DataFrame(dict(zip(names, model.scores(x), strict=True)))
 
-    return kept.withColumn("__scores", scored(*given.values())).select(*kept.columns, "__scores.*")
+    packed = docs.select(F.struct("*").alias("row"), scored(*given).alias("scores"))
+    return packed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in names], "scores.*")
 
 
 def reject_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:

@@ -319,11 +319,13 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores every text, reads the file back and digests what was read; one row per document."""
-    stored = store_texts(docs, id_col, text_col).withColumn("media_bytes", F.length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    # ids travel as text: a batch with a null would turn integers to floats
+    kind = docs.schema[id_col].dataType
+    stored = store_texts(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))).withColumn("media_bytes", F.length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
     pages = read_pages(stored, "media", keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
     feature = F.concat_ws(":", F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string")), F.array_join(F.col("histogram").cast("array<string>"), ","))
     return pages.select(
-        "doc_id",
+        F.col("doc_id").cast(kind).alias("doc_id"),
         "n_bytes",
         F.length("samples").cast("long").alias("payload_bytes"),
         F.sha2("samples", 256).alias("payload_sha256"),

@@ -235,5 +235,7 @@ def score_toxicity(
                 evidence.append([{"doc_id": int(index.ids[p]), "cosine": float(min(1.0, c)), "label": int(index.labels[p])} for p, c in zip(places, cosines, strict=True)])
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": scores, "predicted": [int(s >= 0.5) for s in scores], "evidence": evidence})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(~training_fold(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,label:int>>")
+    # ids travel as text: a batch with a null would turn integers to floats
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(~training_fold(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    scored = rows.mapInPandas(score, "doc_id string, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,label:int>>")
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))

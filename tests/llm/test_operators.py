@@ -1,0 +1,449 @@
+"""Each operator against brute force, and on nulls, empties, ties, repeats, empty tables and clashing columns."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from relafix.llm import ann, chat, jaccard, mixing, pieces, pii, quality, tiff, toxicity, urlfilter
+from relafix.llm.queries import PIECE_MODEL, URL_RULES
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+CLASH = ["size", "key", "pid", "row", "tie", "found", "told", "score", "label", "grp", "h", "n", "cid", "__text", "__id", "seen", "members", "page", "held_out"]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    """Nulls, blanks, repeats, ties and a long text, under many further columns."""
+    rows = [(1, "one two three four five six seven eight", "en", "a", 39), (1, "one two three four five six seven eight", "en", "a", 39), (2, None, None, None, None), (3, "", "en", "a", 0), (None, "null id here with some words", "en", None, 5), (None, "null id here with some words", "en", None, 5), (5, " \n\t ", "fr", "b", 4), (6, "word " * 30_000, "en", "b", 150_000), (7, "ONE two three four five six seven eight", "en", "c", 39), (9007199254740993, "é ▁ 😀 <|im_end|>", "en", "c", 9)]
+    df = spark.createDataFrame(rows, DOCS)
+    return df.select("*", *[F.lit("x").alias(c) for c in CLASH])
+
+
+@pytest.fixture(scope="module")
+def no_docs(odd_docs):
+    return odd_docs.limit(0)
+
+
+def labels_of(spark, rows=((1, 1, 0), (1, 0, 1), (5, 0, 0), (None, 1, 1), (7, 1, 1))):
+    return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
+
+
+# --- 1: chat
+
+
+def cheapest(roles):
+    """Least cost by trying every way, with up to two empty turns before each turn and at the end."""
+    legal = {0: "su", 1: "u", 2: "a", 3: "u"}
+    state_of = {"s": 1, "u": 2, "a": 3}
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def go(i, state, inserted):
+        best = 10**9
+        if inserted < 3:
+            for q in legal[state]:
+                best = min(best, 3 + go(i, state_of[q], inserted + 1))
+        if i == len(roles):
+            return 0 if state in (0, 3) else best
+        if state and not inserted:
+            best = min(best, (1 if roles[i] == "?sua"[state] else 3) + go(i + 1, state, 0))
+        for q in legal[state]:
+            best = min(best, (0 if roles[i] == q else 2) + go(i + 1, state_of[q], 0))
+        return best
+
+    return go(0, 0, 0)
+
+
+def test_chat_costs_are_least(spark):
+    names = {"s": "system", "u": "user", "a": "assistant", "x": "tool"}
+    cases = [c for n in range(1, 5) for c in itertools.product("suax", repeat=n)]
+    rows = [(i, t, names[r], f"{i}-{t}") for i, c in enumerate(cases) for t, r in enumerate(c)]
+    out = chat.repair_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    cost, text = {}, {}
+    for r in sorted(out, key=lambda r: (r.conv_id, r.seq)):
+        cost[r.conv_id] = cost.get(r.conv_id, 0) + r.cost
+        text[r.conv_id] = text.get(r.conv_id, "") + r.rendered
+    for i, c in enumerate(cases):
+        assert cost[i] == cheapest(c), c
+        turns = re.findall(r"<\|im_start\|>(\w+)\n(.*?)<\|im_end\|>\n", text[i], re.S)
+        assert re.fullmatch("(system )?(user assistant )+", "".join(f"{r} " for r, _ in turns)), c
+        assert [t for _, body in turns for t in body.split("\n") if t] == [f"{i}-{t}" for t in range(len(c))]
+
+
+def test_chat_spans_partitions_alike(spark):
+    rng = random.Random(3)
+    roles = [rng.choice(["system", "user", "assistant", "user", "tool"]) for _ in range(3000)]
+    rows = [(1, t, r, str(t)) for t, r in enumerate(roles)] + [(2, 0, "assistant", None), (None, None, None, None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pid", F.lit(0)).withColumn("seq", F.lit(1))
+    out = {}
+    for n in ("1", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        out[n] = sorted(tuple(r) for r in chat.repair_conversations(df).select("conv_id", "seq", "repaired_turn", "cost", "rendered").na.fill(-1).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [r[:3] for r in out["1"]] == [r[:3] for r in out["16"]]
+    assert sum(r[3] for r in out["1"]) == sum(r[3] for r in out["16"])
+    assert "".join(r[4] for r in out["16"]).count("<|im_start|>") == "".join(r[4] for r in out["16"]).count("<|im_end|>")
+    assert chat.repair_conversations(df.limit(0)).count() == 0
+
+
+# --- 2: toxicity
+
+
+def test_block_max_search_is_exact():
+    rng = np.random.default_rng(1)
+    terms = [f"t{i}" for i in range(30)]
+    idf = {t: (i, float(rng.uniform(1, 5))) for i, t in enumerate(terms)}
+    examples = [(i, int(rng.integers(2)), {t: int(rng.integers(1, 4)) for t in rng.choice(terms, rng.integers(1, 6), replace=False)}) for i in range(500)]
+    index = toxicity.build_index(examples, idf, 0.3, block=16)
+    dense = index.blocks.transpose(0, 2, 1).reshape(-1, len(idf))[: len(index.ids)].astype(float)
+    for _ in range(200):
+        counts = {t: int(rng.integers(1, 4)) for t in rng.choice(terms, rng.integers(1, 6), replace=False)}
+        at, w = index.vector(counts)
+        query = np.zeros(len(idf))
+        query[at] = w
+        scores = dense @ query
+        want = [i for i in np.lexsort((np.arange(len(scores)), -scores)) if scores[i] > 0][:10]
+        places, cosines = index.nearest(at, w, 10)
+        assert np.allclose(cosines, scores[want])
+        assert np.allclose(scores[places], scores[want])
+
+
+def test_toxicity_learns_only_from_its_fold(spark):
+    rng = random.Random(0)
+    bad = ["idiot", "scum", "moron"]
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = rng.random() < 0.3
+        words = [rng.choice("the of and to in for with on".split()) for _ in range(30)] + ([rng.choice(bad)] if toxic else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "en", "s", 1))
+        # labels of the held-out fold are turned round: they must not matter
+        labels.append((i, 1, int(toxic) if zlib.crc32(str(i).encode()) % 5 else int(not toxic)))
+    docs = spark.createDataFrame(rows, DOCS)
+    out = toxicity.score_toxicity(docs, labels_of(spark, labels)).collect()
+    truth = {i: any(b in t.split() for b in bad) for i, t, *_ in rows}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
+    held = [r for r in out if r.held_out]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.98 * len(held)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
+
+
+def test_toxicity_odd_rows(spark, odd_docs, no_docs):
+    out = toxicity.score_toxicity(odd_docs, labels_of(spark)).collect()
+    assert len(out) == odd_docs.count() and all(r.score is not None for r in out)
+    assert {r.doc_id for r in out} == {1, 2, 3, None, 5, 6, 7, 9007199254740993}
+    assert toxicity.score_toxicity(no_docs, labels_of(spark).limit(0)).count() == 0
+
+
+# --- 3: mixing
+
+
+def water(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, open_, out = share * sum(sizes.values()), set(order), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * level > cap * sizes[s]}
+        if not over:
+            return out | {s: weight[s] * level for s in open_}
+        for s in over:
+            out[s] = cap * sizes[s]
+            left -= out[s]
+        open_ -= over
+    return out
+
+
+def check_mix(df):
+    rows = df.collect()
+    out = mixing.mix_sources(df).collect()
+    assert sorted((r.doc_id or -1, r.size) for r in out) == sorted((r.doc_id or -1, len(WORD.findall(r.text or ""))) for r in rows)
+    sizes = {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + len(WORD.findall(r.text or ""))
+    want = water(sizes)
+    taken = {}
+    for r in out:
+        assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 * max(1, want[r.source])
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[s] - want[s]) <= 0.5 + 1e-6 for s in taken)
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mix_sources(df.repartition(3)).collect()))
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns
+    kept = mixed.collect()
+    assert sum(len(WORD.findall(r.text or "")) for r in kept) == sum(r.taken for r in out)
+    texts = [r.text or "" for r in rows]
+    assert all(any(t.startswith(r.text or "") for t in texts) for r in kept)
+
+
+def test_mixing(spark, odd_docs, no_docs):
+    check_mix(spark.read.parquet(f"{SF}/documents.parquet"))
+    check_mix(odd_docs)
+    assert mixing.mix_sources(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
+
+
+# --- 4: nearest neighbours
+
+
+def test_neighbours_recall_and_ties(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((1500, 16))
+    x[100:140] = x[100]  # one vector many times
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    rows += [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [None] * 16), (None, [1.0] * 16), (2080, [1.0] * 3), (2100, [float("inf")] + [0.0] * 15)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("node", F.lit(1)).withColumn("rank", F.lit(1))
+    out = ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0).collect()
+    found = {}
+    for r in sorted(out, key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(found) == set(range(0, 1500, 20)) and all(len(v) == 20 for v in found.values())
+    hits = 0
+    for q, got in found.items():
+        scores = x @ x[q]
+        want = [i for i in np.lexsort((np.arange(1500), -scores)) if i != q][:20]
+        assert [i for i, _ in got] == [i for i, _ in sorted(got, key=lambda p: (-p[1], p[0]))]
+        assert np.allclose([s for _, s in got], scores[[i for i, _ in got]])
+        hits += len(set(want) & {i for i, _ in got})
+    assert hits >= 0.95 * 20 * len(found)
+    few = ann.nearest_neighbours(df.where("vec_id < 5"), F.col("vec_id") % 20 == 0).collect()
+    assert sorted(r.vec_id for r in few) == [1, 2, 3, 4]
+    assert ann.nearest_neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+# --- 5: TIFF
+
+
+@pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.OLD_DEFLATE, tiff.PACKBITS])
+@pytest.mark.parametrize("predictor", [1, 2])
+@pytest.mark.parametrize("tile", [None, 16])
+def test_tiff_round_trip(compression, predictor, tile):
+    rng = np.random.default_rng(compression)
+    for kind, order in itertools.product((np.uint8, np.uint16), "<>"):
+        pages = [rng.integers(0, 6, (37, 53)).astype(kind), rng.integers(0, 200, (70, 64)).astype(kind)]
+        read = list(tiff.pages_of(tiff.encode(pages, compression, predictor, tile, 7, order)))
+        assert [p["page"] for p in read] == [0, 1]
+        for page, got in zip(pages, read, strict=True):
+            assert got["error"] is None and got["samples"] == page.astype(page.dtype.newbyteorder(order)).tobytes()
+
+
+def test_tiff_codecs_on_random_data():
+    data = np.random.default_rng(0).integers(0, 256, 40_000).astype(np.uint8).tobytes()
+    for text in (data, b"", b"a", b"aaaa" * 5000, b"ab" * 3000):
+        assert tiff.lzw_expand(tiff.lzw_compress(text), len(text)) == text
+        assert tiff.unpack_bits(tiff.pack_bits(text), len(text)) == text
+
+
+def test_tiff_damaged_files(spark):
+    good = tiff.encode([np.arange(64, dtype=np.uint8).reshape(1, 64)])
+    files = spark.createDataFrame([(1, None), (2, b""), (3, b"not a file"), (4, good[:-8]), (5, good), (5, good)], "id int, media binary").withColumn("page_no", F.lit(1))
+    out = tiff.read_pages(files, keep=("id",)).collect()
+    assert sorted(r.id for r in out) == [1, 2, 3, 4, 5, 5]
+    assert all((r.error is None) == (r.id == 5) for r in out)
+
+
+def test_media_digest(odd_docs, no_docs):
+    out = tiff.media_digest(odd_docs).collect()
+    assert len(out) == odd_docs.count()
+    want = []
+    for r in odd_docs.collect():
+        raw = (r.text or "").encode()
+        body = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        want.append((r.doc_id or -1, len(raw), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:])))
+    assert sorted((r.doc_id or -1, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in out) == sorted(want)
+    assert tiff.media_digest(no_docs).count() == 0
+
+
+# --- 6: n-gram Jaccard
+
+
+def shingles(text, n):
+    words = [re.sub("[A-Z]", lambda m: m.group().lower(), w) for w in WORD.findall(text or "")]
+    return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if len(words) >= n else frozenset([tuple(words)] if words else [])
+
+
+def brute_join(rows, n, num, den):
+    sets = [shingles(t, n) for _, t in rows]
+    parent, links, index = list(range(len(rows))), [0] * len(rows), {}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in enumerate(sets):
+        overlap = {}
+        for g in s:
+            for j in index.setdefault(g, []):
+                overlap[j] = overlap.get(j, 0) + 1
+            index[g].append(i)
+        for j, o in overlap.items():
+            if den * o >= num * (len(s) + len(sets[j]) - o):
+                links[i] += 1
+                links[j] += 1
+                parent[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[find(i)] = min(low.get(find(i), d), d)
+    key = lambda x: -1 if x is None else x
+    return sorted((key(d), len(sets[i]), key(low.get(find(i)) if sets[i] else d), links[i]) for i, (d, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize(("n", "num", "rows_in_block"), [(3, 90, 512), (5, 80, 512), (3, 90, 7)])
+def test_jaccard_matches_brute_force(spark, odd_docs, monkeypatch, n, num, rows_in_block):
+    monkeypatch.setattr(jaccard, "_BLOCK_ROWS", rows_in_block)
+    rng = random.Random(n)
+    voc = [f"w{i}" for i in range(30)]
+    base = [[rng.choice(voc) for _ in range(rng.randint(1, 60))] for _ in range(40)]
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    for i in range(500):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            words[rng.randrange(len(words))] = rng.choice(voc)
+        rows.append((100 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.lit(1)).withColumn("h", F.lit(1))
+    out = jaccard.jaccard_join(df, n=n, num=num).collect()
+    key = lambda x: -1 if x is None else x
+    assert sorted((key(r.doc_id), r.n_shingles, key(r.component_id), r.n_links) for r in out) == brute_join(rows, n, num, 100)
+
+
+def test_drop_near_duplicates(odd_docs, no_docs):
+    out = jaccard.drop_near_duplicates(odd_docs)
+    assert out.columns == odd_docs.columns
+    assert sorted((r.doc_id or -1) for r in out.collect()) == [-1, 1, 2, 3, 5, 6, 9007199254740993]
+    assert jaccard.jaccard_join(no_docs).count() == 0 and jaccard.drop_near_duplicates(no_docs).count() == 0
+
+
+# --- 7: quality
+
+
+def test_quality_held_out(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    out = quality.score_quality(docs, labels.where(~held)).join(labels.where(held), "doc_id").collect()
+    assert sum((r.quality_score >= 0.5) == (r.quality == 1) for r in out) >= 0.95 * len(out)
+    assert all(r.quality_score >= 0.5 for r in out if r.quality == 1)
+
+
+def test_quality_odd_rows(spark, odd_docs, no_docs):
+    out = quality.score_quality(odd_docs, labels_of(spark))
+    assert out.count() == odd_docs.count() and out.where("quality_score is null").count() == 0
+    assert quality.reject_low_quality(odd_docs, labels_of(spark)).columns == odd_docs.columns
+    assert quality.score_quality(no_docs, labels_of(spark).limit(0)).count() == 0
+    assert {r.quality_score for r in quality.score_quality(odd_docs, labels_of(spark).limit(0)).collect()} == {0.5}
+
+
+# --- 8: url filters
+
+
+def test_url_filters(spark):
+    rng = random.Random(2)
+    hosts = ["example.com", "a.Example.com", "com", "x.com", "example.net", "y.example.net", "org", "o.org", "notcom", "example.com.", "", "b.net:80"]
+    urls = [f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/en/', '/en/7', '/en/71?q#f', '/de/8', '/de/', '/es/x', '?a=/en/', '#/en/'])}" for _ in range(400)]
+    urls += [None, "", "no scheme/en/", "://com/en/", "http://com/en/http://org/es/"]
+    df = spark.createDataFrame([(i % 300, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("host", F.lit("z")).withColumn("row", F.lit(1)).withColumn("key", F.lit(1))
+    out = sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in urlfilter.filter_urls(df, urlfilter.rule_table(spark, URL_RULES)).collect())
+    want = []
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        host = re.sub("[A-Z]", lambda m: m.group().lower(), host)
+        fits = [(len(h + p), h + p, v) for v, h, p in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, "", "allow"))
+        want.append((i % 300, host, path, best[1], best[2]))
+    assert out == sorted(want)
+    empty = urlfilter.rule_table(spark, URL_RULES).limit(0)
+    assert {r.verdict for r in urlfilter.filter_urls(df, empty).collect()} == {"allow"}
+    assert urlfilter.filter_urls(df.limit(0), urlfilter.rule_table(spark, URL_RULES)).count() == 0
+
+
+# --- 9: personal data
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 * (x > 9)
+    return total % 10 == 0
+
+
+def brute_spans(text):
+    text, out = text or "", []
+    out += [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
+    for kind, pattern, low, high in ((2, r"[0-9]([\x20-]?[0-9])+", 12, 19), (3, r"\+[0-9][\x20().0-9-]+[0-9]", 9, 15)):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if low <= len(digits) <= high and (kind == 3 or luhn(digits)):
+                out.append((m.start(), kind, m.end()))
+    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_base_spans_match_plain_patterns(spark, odd_docs):
+    rng = random.Random(1)
+    bits = ["a", "b@", "c.d", "@x.y", "1", "23", "456", ".", "-", " ", "+", "4111111111111111", "4111 1111 1111 1111", "1.2.3.4", "256.1.1.1", "001.2.3.4.5.6.7.8", "+1 (555) 123-4567", "é", "😀", "_", "%", "\n", "99", "(", ")"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))) for i in range(1500)]
+    rows += [(5000, "a.b@c.d " * 2000), (5001, "a@b.c_d@e.f"), (5002, "9" * 50_000)] + [(r.doc_id, r.text) for r in odd_docs.collect()]
+    out = pii.personal_data_digest(spark.createDataFrame(rows, "doc_id long, text string"), support=10**6).collect()
+    want = sorted((-1 if i is None else i, hashlib.sha256(brute_spans(t).encode()).hexdigest(), brute_spans(t)) for i, t in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.base_sha256, r.spans) for r in out) == want
+
+
+def test_disclosing_terms(spark, odd_docs, no_docs):
+    rows = [(i, f"filler{i} words here alpha{i} beta{i} Zorblatt gamma{i} joe.smith@corp.com delta{i} epsilon{i} tail") for i in range(6)]
+    rows += [(100 + i, f"plain text number{i} here and words tail corp") for i in range(200)] + [(999, "a mention of zorblatt alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text")).withColumn("found", F.lit(1)).withColumn("told", F.lit(2))
+    told = {r.doc_id: r.spans for r in pii.personal_data_digest(df).collect()}
+    assert told[999] == "term:13:21" and told[0] == "term:32:40,email:48:66" and told[100] == ""
+    clean = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    assert "orblatt" not in clean[0].text and "[EMAIL]" in clean[0].text and clean[0].n_chars == len(clean[0].text) and clean[100].text == rows[6][1]
+    assert pii.sanitise(odd_docs).columns == odd_docs.columns and pii.sanitise(odd_docs).count() == odd_docs.count()
+    assert pii.sanitise(no_docs).count() == 0 and pii.personal_data_digest(no_docs).count() == 0
+
+
+# --- 10: pieces
+
+
+def full_viterbi(model, chars):
+    best = [(0.0, 0)] + [None] * len(chars)
+    for i, j in itertools.combinations(range(len(chars) + 1), 2):
+        score = model.prefixes.get(chars[i:j])
+        score = model.unknown if score is None and j == i + 1 else score
+        if score is not None and best[i] is not None and (best[j] is None or best[i][0] + score > best[j][0]):
+            best[j] = (best[i][0] + score, i)
+    out, at = [], len(chars)
+    while at:
+        out.append((best[at][1], at))
+        at = best[at][1]
+    return out[::-1]
+
+
+def test_streaming_search_is_the_full_search():
+    rng = random.Random(0)
+    toy = ["a", "b", "ab", "ba", "aab", "bbab", "abab", "▁", "▁a", "b▁a", "▁▁"]
+    for seed in range(5):
+        model = pieces.PieceModel([(p, random.Random(seed * 100 + i).choice([-1.0, -2.0, -1.5, -3.0]), i) for i, p in enumerate(toy)], list(range(100, 356)))
+        for _ in range(300):
+            chars = "".join(rng.choice("ab▁c") for _ in range(rng.randint(0, 90)))
+            assert list(model.stream(chars)) == full_viterbi(model, chars) == model._window(chars)
+
+
+def test_pieces_round_trip(spark, odd_docs, no_docs):
+    out = pieces.encode_texts(odd_docs, PIECE_MODEL)
+    assert out.where("not exact").count() == 0
+    back = pieces.decode_texts(out, PIECE_MODEL)
+    assert sorted(map(str, back.select("text").collect())) == sorted(map(str, odd_docs.select("text").collect()))
+    assert out.where("ids is null").select("doc_id").collect()[0].doc_id == 2
+    assert pieces.encode_texts(no_docs, PIECE_MODEL).count() == 0
