@@ -129,10 +129,24 @@ def _possible(docs: DataFrame, n: int, num: int, den: int, n_blocks: int) -> Dat
             h, c = h[fresh], c[fresh]
             sizes = np.diff(np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h)))
             cid, credit = np.unique(c[(np.repeat(sizes, sizes) > 1) & (c != 0)], return_counts=True)
-        return pa.table({"cid": pa.array(np.ascontiguousarray(cid).view(np.int64)), "credit": pa.array(np.asarray(credit, np.int64))})
-
+        # packed by shard of the class, so that a class is not a row for each block it is in
+        shard = cid % np.uint64(shards)
+        order = np.argsort(shard, kind="stable")
+        sums = np.zeros(len(cid), _ENTRY)
+        sums["c"], sums["h"] = cid[order], credit[order]
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+        full = [s for s in range(shards) if cuts[s + 1] > cuts[s]]
+        return pa.table({"shard": pa.array(full, pa.int32()), "payload": pa.array([sums[cuts[s] : cuts[s + 1]].tobytes() for s in full], pa.binary())})
+
+    def total(key: tuple, table: pa.Table) -> pa.Table:
+        sums = np.frombuffer(b"".join(table.column("payload").to_pylist()), _ENTRY)
+        cid, at = np.unique(sums["c"], return_inverse=True)
+        credit = np.bincount(at, weights=sums["h"].astype(np.float64)).astype(np.int64)
+        return pa.table({"cid": pa.array(cid.view(np.int64)), "credit": pa.array(credit)})
+
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = docs.mapInArrow(emit, "block int, payload binary")
-    return entries.groupBy("block").applyInArrow(reduce, "cid long, credit long").groupBy("cid").agg(F.sum("credit").alias("credit"))
+    return entries.groupBy("block").applyInArrow(reduce, "shard int, payload binary").groupBy("shard").applyInArrow(total, "cid long, credit long")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
