@@ -18,10 +18,10 @@ _FIELD = re.compile(r"^\s*((?:(?:public|private|protected|static|final|volatile|
 _METHOD = re.compile(r"^\s*((?:\w+ )*)([\w.$\[\]]+) ([\w$<>']+)\(([^)]*)\)(?: throws [^{;]+)?\s*(;?)\s*$")
 _LOCALS = re.compile(r"^\s*([\w.$\[\]]+) ([\w$#, ]+);\s*$")
 _LABEL = re.compile(r"^\s*(\w+):\s*$")
-_INVOKE = re.compile(r"(virtual|interface|special|static|dynamic)invoke (?:([\w$#]+)\.)?(<[^>]*(?:<\w*init>)?[^>]*>)\((.*?)\)")
+_INVOKE = re.compile(r"(virtual|interface|special|static|dynamic)invoke (?:([\w$#]+)\.)?(<[^<>]*(?:<\w*init>)?[^<>]*>)\((.*)\)")
 _CATCH = re.compile(r"^\s*catch ([\w.$]+) from (\w+) to (\w+) with (\w+);")
 _JUMP = re.compile(r"^(?:if (.+) )?goto (\w+)$")
-_FIELD_REF = re.compile(r"(?:([\w$#]+)\.)?(<[\w.$']+: [^()>]+>)")
+_FIELD_REF = re.compile(r"(?:([\w$#]+)\.)?(<[\w.$']+: [^()<>]+>)")
 _MODIFIERS = {"public": 1, "private": 2, "protected": 4, "static": 8, "final": 16, "synchronized": 32, "volatile": 64, "transient": 128, "native": 256, "interface": 512, "abstract": 1024}
 
 

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -31,9 +32,19 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably; partitions and their order are kept."""
+    """Materialise ``df`` reliably; partitions and their order are kept.
+
+    Spark hands a plan's constraints on to its checkpoint and may then look for
+    columns that the checkpoint no longer has, so none are derived meanwhile.
+    """
+    conf = df.sparkSession.conf
     checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    before = conf.get(_CONSTRAINTS)
+    conf.set(_CONSTRAINTS, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(_CONSTRAINTS, before)
 
 
 def stage_table(df: DataFrame, name: str = "stage") -> DataFrame:
