@@ -33,7 +33,9 @@ from relafix.llm.components import connected_components
 from relafix.llm.shingles import set_digests, shingle_sets
 from relafix.storage import bounded_broadcast, stage_table
 
-_ENTRY = np.dtype([("h", "<u8"), ("c", "<u8")])
+#: A prefix n-gram (the low half of its hash: a block holds so few that halves seldom meet, and a
+#: false meeting only lets a class pass) and a class; of sums, a count and a class.
+_ENTRY = np.dtype([("h", "<u4"), ("c", "<u8")])
 _FEW = 8  # classes of an n-gram that a task sends one by one; more leave as one mark
 _BATCH = 500_000  # entries that a task gathers before it sends them
 _BLOCK_ENTRIES = 1_000_000
@@ -45,9 +47,14 @@ def _least_overlap(n, num: int, den: int):
     return -(-num * n // den)
 
 
+def _reach(num: int, den: int) -> int:
+    """How often the shortest prefix that says anything is lengthened: about 0.3 of a set in all."""
+    return max(1, round(0.3 * den / (den - num)) - 1) if num < den else 1
+
+
 def _prefix(n, num: int, den: int):
     """Length of the hash-order prefix that holds ``_need`` shared n-grams of any link."""
-    return np.minimum(n, n - _least_overlap(n, num, den) + (den - num) * n // den + 1)
+    return np.minimum(n, n - _least_overlap(n, num, den) + _reach(num, den) * (den - num) * n // den + 1)
 
 
 def _signatures(docs: DataFrame, n: int) -> DataFrame:
@@ -87,14 +94,15 @@ def _send(h: np.ndarray, c: np.ndarray, n_blocks: int) -> Iterator[pa.RecordBatc
     keep[heads[sizes > _FEW]] = True
     h, c = h[keep], np.where(many[keep], np.uint64(0), c[keep])
     entries = np.zeros(len(h), _ENTRY)
-    entries["h"], entries["c"] = h, c
+    entries["c"] = c
+    entries["h"] = h & np.uint64(0xFFFFFFFF)
     block = ((h >> np.uint64(32)) * np.uint64(n_blocks)) >> np.uint64(32)
     cuts = np.searchsorted(block, np.arange(n_blocks + 1, dtype=np.uint64))
     full = [b for b in range(n_blocks) if cuts[b + 1] > cuts[b]]
     yield _rows(full, [entries[cuts[b] : cuts[b + 1]].tobytes() for b in full])
     if len(credited):
         credits = np.zeros(len(credited), _ENTRY)
-        credits["h"], credits["c"] = n.astype(np.uint64), credited
+        credits["h"], credits["c"] = n, credited
         yield _rows([-1 - int(h.sum() % np.uint64(n_blocks))], [credits.tobytes()])
 
 
@@ -164,16 +172,16 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _candidate_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``node, label`` of classes that may link with another, grouped."""
-    grams = sets.select("cid", "n", F.explode("grams").alias("h"))
+    """``node, label`` of classes (by their small number ``k``) that may link with another, grouped."""
+    grams = sets.select("k", "n", F.explode("grams").alias("h"))
     counted = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     shared = grams.join(counted, "h")
     # classes hold no more rows than their text has words
-    ranked = shared.selectExpr("cid", "n", "h", "row_number() OVER (PARTITION BY cid ORDER BY df, h) AS place", "count(*) OVER (PARTITION BY cid) AS m")
+    ranked = shared.selectExpr("k", "n", "h", "row_number() OVER (PARTITION BY k ORDER BY df, h) AS place", "count(*) OVER (PARTITION BY k) AS m")
     least = F.expr(f"({num} * n + {den - 1}) div {den}")
-    prefix = stage_table(ranked.where((F.col("m") >= least) & (F.col("place") <= F.col("m") - least + 1)).select("cid", "h"), "rare")
-    hubs = prefix.groupBy("h").agg(F.min("cid").alias("hub"))
-    edges = prefix.join(hubs, "h").where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
+    prefix = stage_table(ranked.where((F.col("m") >= least) & (F.col("place") <= F.col("m") - least + 1)).select("k", "h"), "rare")
+    hubs = prefix.groupBy("h").agg(F.min("k").alias("hub"))
+    edges = prefix.join(hubs, "h").where("k <> hub").select(F.col("k").alias("a"), F.col("hub").alias("b")).distinct()
     return connected_components(edges)
 
 
@@ -280,16 +288,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     total = classes.agg(F.sum("n")).first()[0] or 0
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks = max(spread, int(total * 3 * (den - num) / den) // _BLOCK_ENTRIES)
+    n_blocks = max(spread, int(total * (1 + _reach(num, den)) * (den - num) / den) // _BLOCK_ENTRIES)
     credits = _possible(texts, n, num, den, n_blocks)
-    need = F.expr(f"({den - num} * {num} * n) div {den * den} + 1")
+    need = F.expr(f"({_reach(num, den)} * {den - num} * {num} * n) div {den * den} + 1")
     kept = stage_table(classes.join(credits, F.col("d1") == F.col("cid")).where(F.col("credit") >= need).select("d1", "low_id", "weight"), "possible")
     ids = bounded_broadcast(kept.select(F.col("low_id").alias("doc_id")).distinct(), broadcast_rows).alias("i")
     chosen = texts.alias("t").join(ids, F.col("t.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
     sets = _sets(chosen, n).join(kept.select(F.col("d1").alias("cid"), "weight"), "cid")
-    sets = stage_table(sets.groupBy("cid").agg(F.first("n").alias("n"), F.max("weight").alias("weight"), F.first("grams").alias("grams")), "sets")
+    sets = sets.groupBy("cid").agg(F.first("n").alias("n"), F.max("weight").alias("weight"), F.first("grams").alias("grams"))
+    sets = stage_table(sets.withColumn("k", F.monotonically_increasing_id()), "sets")
     groups = _candidate_groups(sets, num, den)
-    candidates = sets.join(groups.select(F.col("node").alias("cid"), F.col("label").alias("grp")), "cid")
+    candidates = sets.join(groups.select(F.col("node").alias("k"), F.col("label").alias("grp")), "k")
     linked = stage_table(_products(_block_rows(candidates, spread), num, den), "links")
     counts = linked.groupBy("cid").agg(F.sum("links").alias("links"))
     final = connected_components(linked.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
