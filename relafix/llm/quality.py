@@ -147,16 +147,17 @@ def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         for b in batches:
             x = _features(b["text"], b["lang"], b["source"], b["n_chars"])
             fold = [zlib.crc32(str(i).encode()) % _KEEP_ASIDE for i in b["__id"]]
-            yield pd.DataFrame({"id": [str(i) for i in b["__id"]], "x": list(x), "label": b["__label"], "fold": fold})
+            yield pd.DataFrame({"id": [str(i) for i in b["__id"]], "x": [r.tobytes() for r in x.astype(np.float32)], "label": b["__label"], "fold": fold})
 
-    sample = rows.mapInPandas(features, "id string, x array<double>, label int, fold int").toPandas().drop_duplicates("id").sort_values("id")
-    x = np.array(sample["x"].tolist()).reshape(len(sample), -1) if len(sample) else np.zeros((0, len(_features([""], [None], [None], [None])[0])))
+    sample = rows.mapInPandas(features, "id string, x binary, label int, fold int").toPandas().drop_duplicates("id").sort_values("id")
+    width = _features([""], [None], [None], [None]).shape[1]
+    x = np.frombuffer(b"".join(sample["x"]), np.float32).reshape(len(sample), width).astype(float)
     known = sample["label"].notna().to_numpy(bool)
     return co_train(x[known], sample["label"][known].to_numpy(float), x[~known], sample["fold"][known].to_numpy() == 0, rounds)
 
 
 def score_quality(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 20_000, max_pool: int = 20_000, rounds: int = 4
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 10_000, max_pool: int = 10_000, rounds: int = 4
 ) -> DataFrame:
     """``docs`` with ``quality_score`` (1: good), ``content_score`` and ``metadata_score``.
 
