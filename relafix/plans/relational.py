@@ -25,6 +25,17 @@ def closure_by_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach_from(trade_edges(spark, sf_dir), seeds).groupBy("origin").agg(F.count("*").alias("n_reached"))
 
 
+@register(
+    "closure_by_every_origin",
+    f"""WITH RECURSIVE {TRADE_SQL}, r AS (SELECT 'n' || n_nationkey AS origin, dst AS node FROM nation JOIN edges ON src = 'n' || n_nationkey
+    UNION SELECT origin, dst FROM r JOIN edges ON src = node) SELECT origin, count(*) AS n_reached FROM r GROUP BY origin""",
+)
+def closure_by_every_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much each nation reaches."""
+    seeds = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("origin"))
+    return graph.reach_from(trade_edges(spark, sf_dir), seeds).groupBy("origin").agg(F.count("*").alias("n_reached"))
+
+
 @register(
     "cyclic_reachability",
     """WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_quantity > 48 UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_quantity > 48),
@@ -39,6 +50,19 @@ def cyclic_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure(both, spark.createDataFrame([("s1",)], "node string"))
 
 
+@register(
+    "cyclic_reachability_all_lines",
+    """WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem),
+    reach AS (SELECT 's1' AS node UNION SELECT dst FROM e JOIN reach ON src = node) SELECT node FROM reach""",
+)
+def cyclic_reachability_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and suppliers tied to supplier 1 by lines of any quantity."""
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+    from relafix.operators.fixpoint import closure
+
+    return closure(rows.union(graph.inverse(rows)), spark.createDataFrame([("s1",)], "node string"))
+
+
 @register(
     "topological_depth",
     f"WITH RECURSIVE {TRADE_SQL}, d AS (SELECT DISTINCT src AS node, 0 AS depth FROM edges WHERE src LIKE 'r%' UNION SELECT dst, depth + 1 FROM d JOIN edges ON src = node) SELECT node, min(depth)::INTEGER AS depth FROM d GROUP BY node",
@@ -64,6 +88,14 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(edges)
 
 
+@register("connected_components_all_orders")  # all pairs of a component are too many for SQL; the test holds it against brute force
+def connected_components_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers tied by orders of any size."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    edges = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst")).distinct()
+    return graph.components(edges)
+
+
 _EVENT_CFG = """seq AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"""
 
 
