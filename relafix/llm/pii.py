@@ -8,10 +8,10 @@ much a term reveals about an entity.  With ``n`` for numbers of documents,
     PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e)))    what the term tells about it
     disclosure(t) = max over e of PMI(t; e) / IC(e)  1: where t is, e is
 
-where ``n(t, e)`` counts documents that have the term near a mention of the
-entity.  Terms above ``remove_at`` are removed and terms above ``generalise_at``
+where ``n(t, e)`` counts documents that have both, wherever in them they stand.  Terms above ``remove_at`` are removed and terms above ``generalise_at``
 replaced by a placeholder, wherever in the corpus they stand.  A pair counts only if it
-is seen in ``support`` different contexts, so copies of one passage prove nothing.
+is seen in ``support`` different contexts, so copies prove nothing: different texts that
+have both, or different surroundings of the entity that have the term.
 
 All of it is DataFrame operations; positions are code points.
 """
@@ -32,7 +32,7 @@ _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-_TERM = r"\p{L}[\p{L}\p{N}]{3,}"
+_TERM = r"[\p{L}\p{N}]+"
 _CHUNK = 256
 
 
@@ -124,14 +124,23 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
 
 
+def _without_entities(text: Column) -> Column:
+    for pattern, _, _ in _RULES.values():
+        text = F.regexp_replace(text, pattern, " ")
+    return text
+
+
 def _edge_words(text: Column, span: Column, reach: int) -> Column:
     """What stands within ``reach`` characters of a span, without cut words and other entities."""
-    left = F.regexp_replace(F.substring(text, F.greatest(span["start"] - reach + 1, F.lit(1)), F.least(span["start"], F.lit(reach))), r"^\S*", "")
-    right = F.regexp_replace(F.substring(text, span["end"] + 1, F.lit(reach)), r"\S*$", "")
-    clean = F.concat(left, F.lit(" "), right)
-    for pattern, _, _ in _RULES.values():
-        clean = F.regexp_replace(clean, pattern, " ")
-    return clean
+    left = F.substring(text, F.greatest(span["start"] - reach + 1, F.lit(1)), F.least(span["start"], F.lit(reach)))
+    right = F.substring(text, span["end"] + 1, F.lit(reach))
+    left = F.when(span["start"] > reach, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
+    right = F.when(F.length(text) > span["end"] + reach, F.regexp_replace(right, r"\S*$", "")).otherwise(right)
+    return _without_entities(F.concat(left, F.lit(" "), right))
+
+
+def _entity(span: Column) -> Column:
+    return F.struct(span["kind"].alias("kind"), F.lower(span["value"]).alias("value"))
 
 
 def disclosing_terms(
@@ -140,35 +149,47 @@ def disclosing_terms(
     """Terms with ``disclosure`` of at least ``generalise_at``; None if no pair has the support.
 
     ``docs`` is counted for ``N`` and ``n(t)``, whole texts of all rows; ``found``
-    is the same rows with ``base_spans``.  Only terms that have the support are
-    counted in the corpus, by a join that broadcasts them if they are at most
-    ``broadcast_rows``.
+    is the same rows with ``base_spans``.  ``reach`` bounds the surroundings of a
+    mention, which are contexts besides the whole texts; what counts for ``n(t, e)``
+    is the whole text.  Only terms that have the support are counted in the corpus,
+    by a join that broadcasts them if they are at most ``broadcast_rows``.
     """
-    mentions = found.where(F.size("found") > 0).withColumn("__row", F.monotonically_increasing_id())
-    mentions = mentions.select("__row", text.alias("text"), F.explode("found").alias("span"))
-    mentions = mentions.select("__row", F.struct("span.kind", F.lower("span.value").alias("value")).alias("entity"), _edge_words(F.col("text"), F.col("span"), reach).alias("near"))
-    mentions = cut(mentions)
-    pairs = mentions.select("__row", "entity", F.xxhash64("near").alias("context"), F.explode(_terms(F.col("near"))).alias("term"))
+    held = found.where(F.size("found") > 0).select(F.monotonically_increasing_id().alias("__row"), text.alias("text"), "found", _without_entities(text).alias("clean"))
+    around = F.transform("found", lambda s: F.struct(_entity(s).alias("entity"), _edge_words(F.col("text"), s, reach).alias("near")))
+    held = held.select("__row", F.xxhash64("clean").alias("context"), _terms(F.col("clean")).alias("terms"), F.array_distinct(around).alias("around"))
+    held = stage_table(held, "held")
+    mentions = held.select(F.explode("around").alias("a")).select("a.entity", F.xxhash64("a.near").alias("context"), F.explode(_terms(F.col("a.near"))).alias("term"))
     # contexts are few distinct hashes per pair; distinct first, so that hot pairs shrink before they meet
-    pairs = pairs.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    pairs = cut(pairs)
-    if pairs.isEmpty():
-        return None
-    near = mentions.select("__row", "entity", F.explode(_terms(F.col("near"))).alias("term")).distinct()
-    together = near.join(bounded_broadcast(pairs, broadcast_rows), ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    entities = mentions.select("__row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    near = mentions.distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
+    near = cut(near.select("entity", "term", F.lit(True).alias("is_near")))
+    holds = held.select("__row", "context", F.explode(F.array_distinct(F.transform("around", lambda a: a["entity"]))).alias("entity"))
     total = F.lit(float(docs.count()))
-    information = -F.log2(F.col("n_entity") / total)
-    # A term can reach the threshold only if n(t) is at most this; the documents that have it
-    # near any mention are a part of n(t), which rules frequent words out before the corpus is counted.
-    at_most = F.col("n_both") * F.pow(total / F.col("n_entity"), 1.0 - generalise_at)
-    anywhere = near.select("__row", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    hopeful = together.join(entities, "entity").join(anywhere, "term").where((information > 0) & (F.col("n_near") <= at_most * (1 + 1e-9)))
-    hopeful = cut(hopeful.select("entity", "term", "n_both", "n_entity"))
-    words = docs.select(F.explode(_terms(text)).alias("term"))
-    words = words.join(bounded_broadcast(hopeful.select("term").distinct(), broadcast_rows), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    entities = holds.groupBy("entity", "context").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts"))
+    entities = entities.join(near.select("entity", "is_near").distinct(), "entity", "left").where(((F.col("texts") >= support) | F.col("is_near")) & (F.col("n_entity") < total))
+    # A term can reach the threshold only if n(t) is at most n(t, e) * (N / n(e)) ** (1 - threshold), n(t, e) being n(e) at most;
+    # the documents with any entity that have it are a part of n(t), which rules frequent words out before pairs are made.
+    slack = F.pow(total / F.col("n_entity"), 1.0 - generalise_at) * (1 + 1e-9)
+    entities = cut(entities.select("entity", "n_entity", slack.alias("slack")))
+    most = entities.agg(F.max(F.col("n_entity") * F.col("slack"))).first()[0]
+    if most is None:
+        return None
+    words = held.select("__row", "context", F.explode("terms").alias("term"))
+    n_near = words.groupBy("term").agg(F.count("*").alias("n_near")).where(F.col("n_near") <= most)
+    n_near = n_near.join(near.select("term", "is_near").distinct(), "term", "left").where((F.col("n_near") >= support) | F.col("is_near"))
+    n_near = cut(n_near.select("term", "n_near"))
+    kept = holds.select("__row", "entity").join(bounded_broadcast(entities, broadcast_rows), "entity")
+    both = words.join(bounded_broadcast(n_near, broadcast_rows), "term").join(kept, "__row").where(F.col("n_near") <= F.col("n_entity") * F.col("slack"))
+    pair = ["entity", "term", "n_entity", "slack", "n_near"]
+    together = both.groupBy(*pair, "context").agg(F.count("*").alias("n")).groupBy(*pair).agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
+    together = together.where(F.col("n_near") <= F.col("n_both") * F.col("slack")).join(bounded_broadcast(near, broadcast_rows), ["entity", "term"], "left")
+    hopeful = cut(together.where((F.col("texts") >= support) | F.col("is_near")).select("entity", "term", "n_both", "n_entity"))
+    if hopeful.isEmpty():
+        return None
+    corpus = docs.select(F.explode(_terms(text)).alias("term"))
+    corpus = corpus.join(bounded_broadcast(hopeful.select("term").distinct(), broadcast_rows), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     revealed = F.log2(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    scored = hopeful.join(words, "term")
+    information = -F.log2(F.col("n_entity") / total)
+    scored = hopeful.join(corpus, "term")
     return cut(scored.groupBy("term").agg(F.max(revealed / information).alias("disclosure")).where(F.col("disclosure") >= generalise_at))
 
 

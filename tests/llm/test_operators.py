@@ -413,6 +413,18 @@ def test_disclosing_terms(spark, odd_docs, no_docs):
     assert pii.sanitise(no_docs).count() == 0 and pii.personal_data_digest(no_docs).count() == 0
 
 
+def test_disclosing_terms_of_whole_documents(spark):
+    far = lambda i: " ".join(f"filler{i}x{j}" for j in range(30))
+    rows = [(i, f"Zorblatt {far(i)} joe.smith@corp.com {far(i)} Li") for i in range(6)]
+    rows += [(10 + i, f"Kim pat@corp.com {far(10 + i)}") for i in range(6)] + [(20 + i, f"{far(20 + i)} sam@corp.com 7even") for i in range(6)]
+    rows += [(100 + i, f"plain text number{i} here and words tail corp") for i in range(300)] + [(999, "zorblatt li kim 7even alone")]
+    told = {r.doc_id: r.spans for r in pii.personal_data_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert told[999] == "term:0:8,term:9:11,term:12:15,term:16:21" and told[100] == ""
+    # copies of one text are one context
+    copies = [(i, f"Zorblatt {far(0)} joe.smith@corp.com") for i in range(6)] + rows[18:-1]
+    assert not any("term" in r.spans for r in pii.personal_data_digest(spark.createDataFrame(copies, "doc_id long, text string")).collect())
+
+
 # --- 10: pieces
 
 
