@@ -5,15 +5,16 @@ source, size and layout).  Over some rounds each labels the unlabelled rows it i
 surest about for the other.  Both views are then calibrated on labelled rows kept
 aside, and a combination of the two scores every document.
 
-Fitting uses bounded samples of rows (``max_labelled``, ``max_pool``), drawn by a
-hash of the id, so that reruns agree; scoring covers every row.
+Labelled rows to fit on are a bounded sample (``max_labelled``), drawn by a hash of
+the id, so that reruns agree.  Pseudo-labels are exchanged over all other rows: they
+stay on the executors, which add up moments, gradients and curvatures.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,11 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relafix.llm.linear import Logistic, fit, sigmoid
+from relafix.storage import stage_table
 
 _SIGNS = b"!#$%&*|<>{}=+_~^@/\\"
 _TRAILS = re.compile(rb"[!#$%&*]+(?=[ \n]|$)")
 _HASHED = 48
 _KEEP_ASIDE = 4  # one labelled row in four calibrates
+_BINS, _TOP = 4096, 35.0  # of the log-odds, to find the surest rows
+_ROWS = 1024  # rows in a block of packed features
 
 
 def content_features(text: str) -> list[float]:
@@ -91,34 +95,170 @@ class CoTrained:
         return sigmoid(self.combined.z(np.stack(calibrated, axis=1))), sigmoid(calibrated[0]), sigmoid(calibrated[1])
 
 
-def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray, aside: np.ndarray, rounds: int = 4, share: float = 0.05, sure: float = 0.9, trust: float = 0.5) -> CoTrained:
+_CUT = slice(None, _N_CONTENT), slice(_N_CONTENT, None)
+Work = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+class Rows:
+    """Unlabelled rows in memory; each has a fixed number in [0, 1) that settles ties."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.lot = x, np.arange(len(x)) * 0.6180339887498949 % 1.0
+
+    def total(self, work: Work) -> np.ndarray:
+        return work(self.x, self.lot)
+
+
+class Blocks(Rows):
+    """Unlabelled rows on the executors, ``n, x, lot`` packed by block; what leaves is one sum a task."""
+
+    def __init__(self, blocks: DataFrame):
+        self.blocks = blocks
+
+    def total(self, work: Work) -> np.ndarray:
+        def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = 0.0
+            for b in batches:
+                for n, x, lot in zip(b["n"], b["x"], b["lot"], strict=True):
+                    total = total + work(np.frombuffer(x, np.float32).reshape(n, -1).astype(float), np.frombuffer(lot, np.float64))
+            if np.ndim(total):
+                yield pd.DataFrame({"total": [total.tobytes()]})
+
+        parts = [np.frombuffer(r["total"]) for r in self.blocks.mapInPandas(added, "total binary").collect()]
+        return np.sum(parts, axis=0) if parts else work(np.zeros((0, _width())), np.zeros(0))
+
+
+def _width() -> int:
+    return _features([""], [None], [None], [None]).shape[1]
+
+
+@dataclass
+class _Round:
+    """What a round took: its views and, by view and label, the last bin taken and its share of that bin."""
+
+    views: list[Logistic]
+    last: dict[tuple[int, int], tuple[int, float]]
+
+
+def _bins(z: np.ndarray, sure: float) -> np.ndarray:
+    """Bin of the log-odds, the surest highest; -1 for rows of which the view is less than ``sure``."""
+    least = np.log(sure / (1 - sure))
+    return np.where(z >= least, ((np.minimum(z, _TOP) - least) / (_TOP - least) * (_BINS - 1)).astype(int), -1)
+
+
+def _given(x: np.ndarray, lot: np.ndarray, past: list[_Round], sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pseudo-labels of rows for each view (-1: none), and which rows are free yet."""
+    labels, free = np.full((2, len(x)), -1), np.ones(len(x), bool)
+    for r in past:
+        taken = np.zeros(len(x), bool)
+        for me in (0, 1):
+            z = r.views[me].z(x[:, _CUT[me]])
+            for label in (1, 0):
+                bins, (last, part) = _bins(z if label else -z, sure), r.last[me, label]
+                hit = free & (bins >= 0) & ((bins > last) | ((bins == last) & (lot < part)))
+                labels[1 - me][hit] = label
+                taken |= hit
+        free &= ~taken
+    return labels, free
+
+
+def _take(pool: Rows, views: list[Logistic], past: list[_Round], most: int, sure: float) -> _Round | None:
+    """The surest free rows of each view and class, about ``most`` each; None if there are none."""
+
+    def count(x: np.ndarray, lot: np.ndarray) -> np.ndarray:
+        _, free = _given(x, lot, past, sure)
+        out = []
+        for me in (0, 1):
+            z = views[me].z(x[free][:, _CUT[me]])
+            for sign in (1, -1):
+                bins = _bins(sign * z, sure)
+                out.append(np.bincount(bins[bins >= 0], minlength=_BINS))
+        return np.concatenate(out).astype(float)
+
+    counts = pool.total(count).reshape(2, 2, _BINS)
+    last = {}
+    for me in (0, 1):
+        for label in (1, 0):
+            n = counts[me, 1 - label]
+            above = np.cumsum(n[::-1])[::-1] - n  # rows in surer bins
+            bin_ = int(np.flatnonzero(above < most)[0])
+            last[me, label] = bin_, float(min(1.0, (most - above[bin_]) / max(1.0, n[bin_])))
+    return _Round(views, last) if counts.any() else None
+
+
+def _fit_views(x: np.ndarray, y: np.ndarray, pool: Rows, past: list[_Round], sure: float, trust: float, l2: float = 1.0, rounds: int = 25) -> list[Logistic]:
+    """``fit`` for both views over labelled rows and pseudo-labelled ones, which weigh ``trust``."""
+
+    def moments(x: np.ndarray, lot: np.ndarray) -> np.ndarray:
+        labels, _ = _given(x, lot, past, sure)
+        out = []
+        for v in (0, 1):
+            own = x[labels[v] >= 0][:, _CUT[v]]
+            out += [[len(own), (labels[v] == 1).sum()], own.sum(axis=0), (own**2).sum(axis=0)]
+        return np.concatenate(out).astype(float)
+
+    sums, at, models, targets = pool.total(moments), 0, [], []
+    for v in (0, 1):
+        own = x[:, _CUT[v]]
+        d = own.shape[1]
+        n, likely = sums[at : at + 2]
+        first, second = (own.sum(axis=0) + sums[at + 2 : at + 2 + d]) / (len(y) + n), ((own**2).sum(axis=0) + sums[at + 2 + d : at + 2 + 2 * d]) / (len(y) + n)
+        at += 2 + 2 * d
+        scale = np.sqrt(np.maximum(0.0, second - first**2))
+        scale[scale < 1e-9] = 1.0
+        good, total = y.sum() + likely * trust, len(y) + n * trust
+        bias = np.log((good + 1.0) / (total + 1.0 - good))
+        models.append(Logistic(first, scale, np.zeros(d), float(bias)))
+        targets.append(0 < y.sum() + likely < len(y) + n)
+
+    def slopes(v: int, x: np.ndarray, y: np.ndarray, weight: float) -> np.ndarray:
+        m = models[v]
+        a = np.hstack([(x[:, _CUT[v]] - m.mean) / m.scale, np.ones((len(y), 1))])
+        p = sigmoid(a @ np.append(m.weights, m.bias))
+        return np.append(a.T @ (weight * (y - p)), (a * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a)
+
+    open_ = [v for v in (0, 1) if targets[v]]
+    for _ in range(rounds):
+        if not open_:
+            break
+
+        def work(x: np.ndarray, lot: np.ndarray) -> np.ndarray:
+            labels, _ = _given(x, lot, past, sure)
+            return np.concatenate([slopes(v, x[labels[v] >= 0], labels[v][labels[v] >= 0], trust) for v in open_])
+
+        sums, at = pool.total(work), 0
+        for v in list(open_):
+            d = len(models[v].weights) + 1
+            both = slopes(v, x, y, 1.0) + sums[at : at + d + d * d]
+            at += d + d * d
+            penalty = np.append(np.full(d - 1, l2), 1e-6)
+            step = np.linalg.solve(both[d:].reshape(d, d) + np.diag(penalty), both[:d] - penalty * np.append(models[v].weights, models[v].bias))
+            step *= min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
+            models[v] = Logistic(models[v].mean, models[v].scale, models[v].weights + step[:-1], models[v].bias + float(step[-1]))
+            if np.abs(step).max() < 1e-6:
+                open_.remove(v)
+    return models
+
+
+def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray | Rows, aside: np.ndarray, rounds: int = 4, share: float = 0.05, sure: float = 0.9, trust: float = 0.5) -> CoTrained:
     """Fit on labelled ``x, y`` (rows ``aside`` only calibrate) and unlabelled ``pool``.
 
-    A round moves at most ``share`` of the pool per view and class, rows of which
+    A round moves at most about ``share`` of the pool per view and class, rows of which
     the view is at least ``sure``; they weigh ``trust`` of a true label.
     """
-    cut = slice(None, _N_CONTENT), slice(_N_CONTENT, None)
     use = ~aside if (~aside).any() else np.ones(len(y), bool)
-    given = [(x[use], y[use], np.ones(int(use.sum()))) for _ in range(2)]
-    free = np.ones(len(pool), bool)
-    views = [fit(gx[:, c], gy, gw) for (gx, gy, gw), c in zip(given, cut, strict=True)]
-    for _ in range(rounds):
-        if not free.any():
+    views = [fit(x[use][:, c], y[use]) for c in _CUT]
+    pool = pool if isinstance(pool, Rows) else Rows(pool)
+    most = max(1, int(share * pool.total(lambda x, lot: np.array([float(len(x))]))[0]))
+    past: list[_Round] = []
+    for _ in range(rounds if use.any() else 0):
+        taken = _take(pool, views, past, most, sure)
+        if taken is None:
             break
-        taken = np.zeros(len(pool), bool)
-        for me, other in ((0, 1), (1, 0)):
-            p = sigmoid(views[me].z(pool[:, cut[me]]))
-            most = max(1, int(share * len(pool)))
-            for label, confidence in ((1.0, p), (0.0, 1 - p)):
-                order = np.flatnonzero(free & (confidence >= sure))
-                order = order[np.argsort(-confidence[order], kind="stable")][:most]
-                gx, gy, gw = given[other]
-                given[other] = np.vstack([gx, pool[order]]), np.append(gy, np.full(len(order), label)), np.append(gw, np.full(len(order), trust))
-                taken[order] = True
-        free &= ~taken
-        views = [fit(gx[:, c], gy, gw) for (gx, gy, gw), c in zip(given, cut, strict=True)]
+        past.append(taken)
+        views = _fit_views(x[use], y[use], pool, past, sure, trust)
     rows = aside if aside.any() else use
-    raw = [v.z(x[rows][:, c]) for v, c in zip(views, cut, strict=True)]
+    raw = [v.z(x[rows][:, c]) for v, c in zip(views, _CUT, strict=True)]
     calibration = tuple(fit(z[:, None], y[rows]) for z in raw)
     both = np.stack([c.z(z[:, None]) for c, z in zip(calibration, raw, strict=True)], axis=1)
     return CoTrained(views[0], views[1], calibration, fit(both, y[rows]))
@@ -136,28 +276,31 @@ def labelled_sample(labels: DataFrame, label_col: str, id_col: str, most: int, w
     return rows
 
 
-def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_labelled: int, max_pool: int, rounds: int) -> CoTrained:
+def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_labelled: int, rounds: int) -> CoTrained:
     chosen = F.broadcast(labelled_sample(labels, label_col, id_col, max_labelled))  # bounded by max_labelled
-    n = docs.count()
-    drawn = F.pmod(F.xxhash64(F.lit("pool"), id_col), F.lit(1 << 40)) < int((1 << 40) * min(1.0, max_pool / max(1, n)))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), "lang", "source", F.col("n_chars").cast("double").alias("n_chars"), drawn.alias("drawn"))
-    rows = rows.join(chosen, "__id", "left").where("__label is not null or drawn")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars"))
+    lot = (F.pmod(F.xxhash64(F.lit("pool"), "__id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("lot")
+    rows = rows.join(chosen, "__id", "left").select(F.col("__id").cast("string").alias("__id"), "text", "lang", "source", "n_chars", lot, "__label")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = _features(b["text"], b["lang"], b["source"], b["n_chars"])
-            fold = [zlib.crc32(str(i).encode()) % _KEEP_ASIDE for i in b["__id"]]
-            yield pd.DataFrame({"id": [str(i) for i in b["__id"]], "x": [r.tobytes() for r in x.astype(np.float32)], "label": b["__label"], "fold": fold})
+            x = _features(b["text"], b["lang"], b["source"], b["n_chars"]).astype(np.float32)
+            known = b["__label"].notna().to_numpy(bool)
+            yield pd.DataFrame({"id": b["__id"][known], "label": b["__label"][known].astype(int), "n": 1, "x": [r.tobytes() for r in x[known]], "lot": b""})
+            free = np.flatnonzero(~known)
+            for at in range(0, len(free), _ROWS):
+                part = free[at : at + _ROWS]
+                yield pd.DataFrame({"id": [None], "label": [-1], "n": [len(part)], "x": [x[part].tobytes()], "lot": [b["lot"].to_numpy(float)[part].tobytes()]})
 
-    sample = rows.mapInPandas(features, "id string, x binary, label int, fold int").toPandas().drop_duplicates("id").sort_values("id")
-    width = _features([""], [None], [None], [None]).shape[1]
-    x = np.frombuffer(b"".join(sample["x"]), np.float32).reshape(len(sample), width).astype(float)
-    known = sample["label"].notna().to_numpy(bool)
-    return co_train(x[known], sample["label"][known].to_numpy(float), x[~known], sample["fold"][known].to_numpy() == 0, rounds)
+    packed = stage_table(rows.mapInPandas(features, "id string, label int, n int, x binary, lot binary"), "features")
+    sample = packed.where("label >= 0").select("id", "label", "x").toPandas().drop_duplicates("id").sort_values("id")  # bounded by max_labelled
+    x = np.frombuffer(b"".join(sample["x"]), np.float32).reshape(len(sample), _width()).astype(float)
+    aside = np.array([zlib.crc32(i.encode()) % _KEEP_ASIDE == 0 for i in sample["id"]], bool)
+    return co_train(x, sample["label"].to_numpy(float), Blocks(packed.where("label < 0").select("n", "x", "lot")), aside, rounds)
 
 
 def score_quality(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 10_000, max_pool: int = 10_000, rounds: int = 4
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 20_000, rounds: int = 4
 ) -> DataFrame:
     """``docs`` with ``quality_score`` (1: good), ``content_score`` and ``metadata_score``.
 
@@ -168,7 +311,7 @@ def score_quality(
     alike.  Without labels all scores are 0.5; an empty table gives an empty
     result.  Columns of ``docs`` with the names of the scores are replaced.
     """
-    model = _model(docs, labels, id_col, text_col, label_col, max_labelled, max_pool, rounds)
+    model = _model(docs, labels, id_col, text_col, label_col, max_labelled, rounds)
     names = ("quality_score", "content_score", "metadata_score")
     given = F.col(text_col), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double")
 

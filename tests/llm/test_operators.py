@@ -343,6 +343,35 @@ def test_quality_odd_rows(spark, odd_docs, no_docs):
     assert {r.quality_score for r in quality.score_quality(odd_docs, labels_of(spark).limit(0)).collect()} == {0.5}
 
 
+def test_quality_pool_is_the_whole_table(spark, monkeypatch):
+    monkeypatch.setattr(quality, "_ROWS", 100)
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(20.0).alias("n_chars"))
+    seen = []
+    monkeypatch.setattr(quality, "co_train", lambda x, y, pool, *_: seen.append((len(y), pool.total(lambda x, lot: np.array([float(len(x)), x.sum(), len(set(lot))])))) or quality.CoTrained(*[None] * 4))
+    quality.score_quality(docs, labels_of(spark, [(i, i % 2, 0) for i in range(50)]))
+    (labelled, (n, _, lots)), = seen
+    assert labelled == 50 and n == 11_950 and lots > 11_000
+
+
+def test_quality_fit_by_sums(monkeypatch):
+    rng = np.random.default_rng(0)
+    width = quality._width()
+    true = rng.standard_normal(width)
+    x, pool = rng.standard_normal((300, width)), rng.standard_normal((3000, width))
+    y = (x @ true > 0).astype(float)
+    views = [quality.fit(x[:, c], y) for c in quality._CUT]
+    rows = quality.Rows(pool)
+    past = [quality._take(rows, views, [], 150, 0.9)]
+    labels, free = quality._given(pool, rows.lot, past, 0.9)
+    taken = (labels >= 0).any(axis=0)
+    assert (free == ~taken).all() and 300 < taken.sum() <= 620
+    for v, got in enumerate(quality._fit_views(x, y, rows, past, 0.9, 0.5)):
+        own = labels[v] >= 0
+        c, weight = quality._CUT[v], np.append(np.ones(300), np.full(own.sum(), 0.5))
+        want = quality.fit(np.vstack([x, pool[own]])[:, c], np.append(y, labels[v][own]), weight)
+        assert np.allclose(got.weights, want.weights, atol=1e-5) and np.allclose(got.mean, want.mean)
+
+
 # --- 8: url filters
 
 
