@@ -69,20 +69,21 @@ def drop_entailed(found: DataFrame) -> DataFrame:
     return found.join(longer, found.columns, "left_anti")
 
 
-def paths(taints: DataFrame, found: DataFrame, max_depth: int = 64) -> DataFrame:
-    """``sink, origin, path``: one node sequence for each leak, shortest first; longer ones than ``max_depth`` are left out."""
+def paths(taints: DataFrame, found: DataFrame) -> DataFrame:
+    """``sink, origin, path``: one node sequence for each leak, one of the shortest, however long."""
     links = taints.select("origin", "node", "pred_node").distinct()
     seeds = found.select("sink", "origin", F.col("sink").alias("node"), F.array("sink").alias("path")).distinct()
 
     def step(known: Relations, delta: Relations) -> Relations:
-        back = delta["p"].where((F.col("node") != F.col("origin")) & (F.size("path") < max_depth)).join(links, ["origin", "node"])
+        back = delta["p"].where(F.col("node") != F.col("origin")).join(links, ["origin", "node"])
         fresh = back.where(~F.array_contains("path", F.col("pred_node")))
         longer = fresh.select("sink", "origin", F.col("pred_node").alias("node"), F.concat(F.array("pred_node"), "path").alias("path"))
         # one way to each node is enough: alternatives are kept as links, not walked again
         one = longer.groupBy("sink", "origin", "node").agg(F.min("path").alias("path"))
         return {"p": one.join(known["p"].select("sink", "origin", "node"), ["sink", "origin", "node"], "left_anti")}
 
-    return fixpoint({"p": seeds}, step)["p"].where("node = origin").select("sink", "origin", "path")
+    # each round but the last comes to a new node of some leak, so the links bound the rounds
+    return fixpoint({"p": seeds}, step, links.count() + 2)["p"].where("node = origin").select("sink", "origin", "path")
 
 
 def shortcut(calls: DataFrame, rules: DataFrame, subtype: DataFrame) -> DataFrame:

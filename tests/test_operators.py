@@ -190,6 +190,12 @@ def test_taint(spark):
     assert rows(taint.drop_entailed(more), "fields") == [([],)]
 
 
+def test_long_taint_paths(spark):
+    taints = spark.createDataFrame([(i, i - 1, 0) for i in range(1, 67)], "node int, pred_node int, origin int")
+    found = spark.createDataFrame([(66, 0)], "sink int, origin int")
+    assert [r.path for r in taint.paths(taints, found).collect()] == [list(range(67))]
+
+
 def test_scalar_functions(spark):
     nums = [(2**31 - 1, 1), (-(2**31), -1), (7, -2), (-7, 2), (5, 0), (123456789, 987654321)]
     got = spark.createDataFrame(nums, "a int, b int").select(*[f(F.col("a"), F.col("b")).alias(n) for n, f in (("add", scalar.add), ("mul", scalar.multiply), ("div", scalar.divide), ("rem", scalar.remainder))]).collect()
