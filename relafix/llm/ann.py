@@ -8,7 +8,9 @@ node and walks greedily: each round it opens its best unopened nodes, until none
 left in the beam.  The beam's best are scored again in double precision.
 
 For the graph, vectors get one more component that makes all of them equally long,
-so that the nearest by angle have the largest inner products with a query.
+so that the nearest by angle have the largest inner products with a query.  The 8-bit
+copies keep a scale for each row, so that one very long vector costs the others nothing;
+the longest vectors, far from all others in the graph, are on every query's first beam.
 """
 
 from __future__ import annotations
@@ -30,30 +32,39 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(fine, F.lit(False)) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _quantised(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to 8 bits; all rows are unit vectors, so the scale is one for all."""
-    return np.clip(np.rint(x * 127.0 / max(1e-12, _peak(x.shape[1]))), -127, 127).astype(np.int8)
+def _packed(x: np.ndarray, longest: float) -> list[bytes]:
+    """Each row's 8-bit direction, its scale, and what its added component lacks to 1, with ``longest`` as the unit of length."""
+    most = np.abs(x).max(axis=1)
+    q = np.rint(x / most[:, None] * 127.0).astype(np.int8)
+    square = ((x / longest) ** 2).sum(axis=1)
+    lacks = square / (1.0 + np.sqrt(np.maximum(0.0, 1.0 - square)))
+    floats = np.stack([most / longest / 127.0, lacks], axis=1).astype(np.float32)
+    return [r.tobytes() + f.tobytes() for r, f in zip(q, floats, strict=True)]
 
 
-def _peak(dim: int) -> float:
-    """Components of unit vectors above this are clipped: 4 standard deviations of a random direction, 1 at most."""
-    return min(1.0, 4.0 / dim**0.5)
+def _unpacked(rows, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """8-bit directions, scales and lacks."""
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), dim + 8)
+    floats = np.ascontiguousarray(raw[:, dim:]).view(np.float32)
+    return raw[:, :dim].view(np.int8).astype(np.float32), floats[:, 0], floats[:, 1]
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a.astype(np.float32) @ b.astype(np.float32).T
+def _near(rows, dim: int) -> np.ndarray:
+    """Inner products of the lengthened vectors less 1, which are half the squared distances below 0."""
+    q, scale, lacks = _unpacked(rows, dim)
+    x = q * scale[:, None]
+    half = (x * x).sum(axis=1) / 2
+    return x @ x.T - half[:, None] - half[None, :] - (lacks[:, None] - lacks[None, :]) ** 2 / 2
 
 
 def _nodes(vectors: DataFrame, longest: float) -> DataFrame:
-    """``node, vec, q8``: the vector and the 8-bit copy of its lengthened direction."""
+    """``node, vec, q8``: the vector and its 8-bit copy."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 x = np.array(b["embedding"].tolist(), np.float64)
-                more = np.sqrt(np.maximum(0.0, 1.0 - ((x / longest) ** 2).sum(axis=1)))
-                q = _quantised(np.hstack([x / longest, more[:, None]]))
-                yield pd.DataFrame({"node": b["node"], "members": b["members"], "vec": b["embedding"], "q8": [r.tobytes() for r in q]})
+                yield pd.DataFrame({"node": b["node"], "members": b["members"], "vec": b["embedding"], "q8": _packed(x, longest)})
 
     return vectors.mapInPandas(pack, "node long, members array<long>, vec array<double>, q8 binary")
 
@@ -74,7 +85,7 @@ def _leaves(nodes: DataFrame, n: int, k: int, trees: int, dim: int) -> DataFrame
         for b in batches:
             if not len(b):
                 continue
-            x = np.frombuffer(b"".join(b["q8"]), np.int8).reshape(len(b), dim).astype(np.float32)
+            x, _, _ = _unpacked(b["q8"], dim)
             for t in range(trees):
                 leaf = ((x @ planes[t, :bits].T > 0) @ (1 << np.arange(bits))) if bits else np.zeros(len(b), np.int64)
                 yield pd.DataFrame({"tree": t, "leaf": leaf.astype(np.int64), "node": b["node"], "q8": b["q8"]})
@@ -86,8 +97,7 @@ def _leaves(nodes: DataFrame, n: int, k: int, trees: int, dim: int) -> DataFrame
 
     def join(leaf: pd.DataFrame) -> pd.DataFrame:
         ids = leaf["node"].to_numpy()
-        x = np.frombuffer(b"".join(leaf["q8"]), np.int8).reshape(len(leaf), dim)
-        sims = _near(x, x)
+        sims = _near(leaf["q8"], dim)
         np.fill_diagonal(sims, -np.inf)
         take = min(k, len(ids) - 1)
         best = np.argpartition(-sims, take - 1, axis=1)[:, :take] if take > 0 else np.zeros((len(ids), 0), np.intp)
@@ -135,8 +145,7 @@ def _descend(graph: DataFrame, nodes: DataFrame, k: int, sample: int, dim: int,
                 if len(who) < 2:
                     continue
                 ids, fresh = np.asarray(who, np.int64), np.asarray(fresh, bool)
-                x = np.frombuffer(b"".join(q8), np.int8).reshape(len(ids), dim)
-                sims = _near(x, x)
+                sims = _near(q8, dim)
                 sims[~(fresh[:, None] | fresh[None, :])] = -np.inf
                 np.fill_diagonal(sims, -np.inf)
                 sims[sims <= np.asarray(worst, np.float32)[:, None]] = -np.inf
@@ -182,8 +191,8 @@ def _walk(state: DataFrame, graph: DataFrame, beam: int, opened: int, dim: int)
                     fresh = ~np.isin(found, seen)
                     found, first = found[fresh], first[fresh]
                     if len(found):
-                        x = np.frombuffer(b"".join([near[i] for i in first]), np.int8).reshape(len(found), dim)
-                        value = x.astype(np.float32) @ np.frombuffer(q, np.float32)
+                        x, scale, _ = _unpacked([near[i] for i in first], dim)
+                        value = x @ np.frombuffer(q, np.float32) * scale
                         ids, sims, done = np.append(ids, found), np.append(sims, value), np.append(done, np.zeros(len(found), bool))
                         seen = np.append(seen, found)
                         order = np.argsort(-sims, kind="stable")[:beam]
@@ -229,28 +238,36 @@ def nearest_neighbours(
     lowest = Window.partitionBy("embedding").orderBy("id")
     few = rows.select("id", "embedding").distinct().withColumn("place", F.row_number().over(lowest)).where(F.col("place") <= top + 1)
     classes = few.groupBy("embedding").agg(F.sort_array(F.collect_list("id")).alias("members")).withColumn("node", F.monotonically_increasing_id())
-    nodes = stage_table(_nodes(classes, float(longest or 1.0) ** 0.5), "nodes")
-    n, wide = nodes.count(), dim + 1
-    graph = stage_table(_merged(None, _leaves(nodes, n, k, trees, wide), k), "graph0")
+    unit = float(longest or 1.0) ** 0.5
+    nodes = stage_table(_nodes(classes, unit), "nodes")
+    n = nodes.count()
+    graph = stage_table(_merged(None, _leaves(nodes, n, k, trees, dim), k), "graph0")
     for i in range(rounds):
-        graph = stage_table(_descend(graph, nodes, k, sample, wide, emit), f"graph{i + 1}")
+        graph = stage_table(_descend(graph, nodes, k, sample, dim, emit), f"graph{i + 1}")
     search = stage_table(_search_graph(graph, nodes, k), "search")
     asking = stage_table(rows.where("asks").select("id", "embedding").join(nodes.select("node", "vec"), F.col("embedding") == F.col("vec")).select("id", "node"), "asking")
-    peak = _peak(wide)
+    size = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    far = [(r["node"], np.array(r["vec"])) for r in nodes.select("node", "vec").orderBy(size.desc(), "node").limit(top + 1).collect()]
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            q = [(np.append(np.asarray(v, np.float64), 0.0) * peak / 127.0).astype(np.float32).tobytes() for v in b["vec"]]
-            ids = [np.array([i], np.int64) for i in b["node"]]
-            own = [np.array([float(np.square(v).sum())], np.float32) for v in b["vec"]]
-            yield pd.DataFrame({"query": b["node"], "q": q, "ids": ids, "sims": own, "done": [np.array([False])] * len(b), "seen": ids, "frontier": ids})
+            out = []
+            for node, vec in zip(b["node"], b["vec"], strict=True):
+                vec = np.asarray(vec, np.float64)
+                q = vec / np.linalg.norm(vec)
+                others = [(i, x) for i, x in far if i != node]
+                ids = np.array([node, *[i for i, _ in others]], np.int64)
+                sims = np.array([vec @ q / unit, *[x @ q / unit for _, x in others]], np.float32)
+                order = np.argsort(-sims, kind="stable")
+                out.append((node, q.astype(np.float32).tobytes(), ids[order], sims[order], np.zeros(len(ids), bool), ids, ids[:1]))
+            yield pd.DataFrame(out, columns=["query", "q", "ids", "sims", "done", "seen", "frontier"])
 
     asked = nodes.join(asking.select("node").distinct(), "node", "left_semi").select("node", "vec")
     state = asked.mapInPandas(begin, "query long, q binary, ids array<long>, sims array<float>, done array<boolean>, seen array<long>, frontier array<long>")
     for i in range(steps):
-        state = stage_table(_walk(state, search, beam, opened if i else 1, wide), f"walk{i}")
+        state = stage_table(_walk(state, search, beam, opened if i else 1, dim), f"walk{i}")
     # more nodes than asked for are scored again, as 8 bits may swap close ones
     short = state.select("query", F.explode(F.slice("ids", 1, 3 * top)).alias("node"))
     pairs = short.join(nodes.select("node", "vec", "members"), "node").join(nodes.select(F.col("node").alias("query"), F.col("vec").alias("asked")), "query")

@@ -219,6 +219,22 @@ def test_neighbours_recall_and_ties(spark):
     assert ann.nearest_neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_beside_one_long_vector(spark):
+    x = np.random.default_rng(1).standard_normal((1500, 16))
+    x[7] *= 3000 / np.linalg.norm(x[7])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 1500, 20):
+        scores = x @ x[q]
+        want = [i for i in np.argsort(-scores) if i != q][:20]
+        hits += len(set(want) & found[q])
+        assert (7 in want) == (7 in found[q])
+    assert hits >= 0.95 * 20 * len(found)
+
+
 # --- 5: TIFF
 
 
