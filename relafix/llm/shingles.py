@@ -55,8 +55,8 @@ def _word_hashes(data: np.ndarray, starts_of_texts: np.ndarray) -> tuple[np.ndar
     return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * _ORDER[-1]), starts
 
 
-def shingle_sets(texts: pa.Array, n: int, at_once: int = 1 << 19):
-    """Yields (first text, flat sorted distinct hashes, counts) for runs of texts of about ``at_once`` bytes."""
+def _runs(texts: pa.Array, at_once: int):
+    """Runs of texts of about ``at_once`` bytes: the first's place, their bytes, and where each begins and ends."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     if texts.null_count:
         texts = texts.fill_null("")
@@ -66,10 +66,27 @@ def shingle_sets(texts: pa.Array, n: int, at_once: int = 1 << 19):
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + at_once, "right")) - 1)
         spans = offsets[at : end + 1]
-        yield at, *_sets(data[spans[0] : spans[-1]], spans - spans[0], n)
+        yield at, data[spans[0] : spans[-1]], spans - spans[0]
         at = end
 
 
+def shingle_sets(texts: pa.Array, n: int, at_once: int = 1 << 19):
+    """Yields (first text, flat sorted distinct hashes, counts) for runs of texts of about ``at_once`` bytes."""
+    for at, data, spans in _runs(texts, at_once):
+        yield at, *_sets(data, spans, n)
+
+
+def word_counts(texts: pa.Array, at_once: int = 1 << 20):
+    """Yields (first text, owner, hash, count) of the distinct words of each of a run of texts, by owner and hash."""
+    for at, data, spans in _runs(texts, at_once):
+        words, starts = _word_hashes(data, spans[:-1])
+        owner = np.repeat(np.arange(len(spans) - 1), np.diff(np.searchsorted(starts, spans)))
+        order = np.lexsort((words, owner))
+        words, owner = words[order], owner[order]
+        head = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (owner[1:] != owner[:-1]))) if len(words) else np.zeros(0, np.intp)
+        yield at, owner[head], words[head], np.diff(np.append(head, len(words)))
+
+
 def _sets(data: np.ndarray, spans: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     words, starts = _word_hashes(data, spans[:-1])
     edges = np.searchsorted(starts, spans)

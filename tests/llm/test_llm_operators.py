@@ -97,23 +97,92 @@ def test_chat_spans_partitions_alike(spark):
 # --- 2: toxicity
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("full", [2, 12, 10**9])
+def test_block_max_search_is_exact(monkeypatch, full):
+    monkeypatch.setattr(toxicity, "_FULL", full)
     rng = np.random.default_rng(1)
-    terms = [f"t{i}" for i in range(30)]
-    idf = {t: (i, float(rng.uniform(1, 5))) for i, t in enumerate(terms)}
-    examples = [(i, int(rng.integers(2)), {t: int(rng.integers(1, 4)) for t in rng.choice(terms, rng.integers(1, 6), replace=False)}) for i in range(500)]
-    index = toxicity.build_index(examples, idf, 0.3, block=16)
-    dense = index.blocks.transpose(0, 2, 1).reshape(-1, len(idf))[: len(index.ids)].astype(float)
+    words, weight = np.arange(100, 130, dtype=np.uint64), rng.uniform(0, 5, 30)
+    weight[:3] = 0
+
+    def text():
+        return np.sort(rng.choice(words, rng.integers(1, 6), replace=False)), rng.integers(1, 4, 6)
+
+    def unit(hashes, counts):
+        x = np.zeros(30)
+        x[(hashes - 100).astype(int)] = (1 + np.log(counts[: len(hashes)])) * weight[(hashes - 100).astype(int)]
+        return x / (np.linalg.norm(x) or 1)
+
+    examples = [(i, int(rng.integers(2)), h, c[: len(h)]) for i in range(500) for h, c in [text()]]
+    index = toxicity.build_index(examples, words, weight, 0.3, block=16)
+    by_id = {i: unit(h, c) for i, _, h, c in examples}
+    dense = np.array([by_id[i] for i in index.ids])
+    assert len(dense) == sum(v.any() for v in by_id.values())
+    assert all(np.allclose(w, dense[p][t]) and (np.flatnonzero(dense[p]) == t[w > 0]).all() for p, (t, w) in enumerate(toxicity._example_vectors(index)))
     for _ in range(200):
-        counts = {t: int(rng.integers(1, 4)) for t in rng.choice(terms, rng.integers(1, 6), replace=False)}
-        at, w = index.vector(counts)
-        query = np.zeros(len(idf))
-        query[at] = w
-        scores = dense @ query
-        want = [i for i in np.lexsort((np.arange(len(scores)), -scores)) if scores[i] > 0][:10]
-        places, cosines = index.nearest(at, w, 10)
-        assert np.allclose(cosines, scores[want])
-        assert np.allclose(scores[places], scores[want])
+        h, c = text()
+        _, terms, w = index.vectors(np.zeros(len(h), int), h, c[: len(h)])
+        scores = dense @ unit(h, c)
+        want = [i for i in np.lexsort((np.arange(len(scores)), -scores)) if scores[i] > 1e-12][:10]
+        places, cosines = index.nearest(terms, w, 10)
+        assert np.allclose(cosines, scores[want]) and np.allclose(scores[places], scores[want])
+
+
+def test_toxicity_matches_brute_force(spark, odd_docs):
+    """All weights, cosines, votes and the calibration, by plain loops over the small tables."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(odd_docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = [(r.doc_id, re.findall(r"[^\W_]+", (r.text or "").lower())) for r in docs.collect()]
+    label = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    train = [(i, label[i], w) for i, w in rows if i in label]
+    df, seen, n = {}, ({}, {}), [sum(y == v for _, y, _ in train) for v in (0, 1)]
+    for _, words in rows:
+        for t in set(words):
+            df[t] = df.get(t, 0) + 1
+    for _, y, words in train:
+        for t in set(words):
+            seen[y][t] = seen[y].get(t, 0) + 1
+    rate = (n[1] + 0.5) / (sum(n) + 1)
+
+    def vector(words):
+        out = {}
+        for t in set(words):
+            odds = (seen[1].get(t, 0) + 10 * rate) / (seen[0].get(t, 0) + 10 * (1 - rate)) * (1 - rate) / rate
+            out[t] = (1 + np.log(words.count(t))) * (np.log((1 + len(rows)) / (1 + df[t])) + 1) * abs(np.log(odds))
+        size = np.sqrt(sum(v * v for v in out.values()))
+        return {t: v / size for t, v in out.items()} if size else {}
+
+    examples = [(i, y, vector(w)) for i, y, w in train]
+
+    def nearest(words, skip=None):
+        x = vector(words)
+        scored = [(sum(v * e[2].get(t, 0.0) for t, v in x.items()), e[1]) for e in examples if e[0] != skip]
+        return sorted((s for s in scored if s[0] > 1e-12), key=lambda s: -s[0])[:15]
+
+    def vote(found):
+        w = [1 / (1.05 - min(1.0, s)) - 1 / 1.05 for s, _ in found]
+        return (sum(a * y for a, (_, y) in zip(w, found, strict=True)) + 0.3 * rate) / (sum(w) + 0.3)
+
+    model = toxicity.fit(np.array([[vote(nearest(w, i))] for i, _, w in train]), np.array([float(y) for _, y, _ in train]), l2=0.1)
+    out = toxicity.score_toxicity(docs, labels).collect()
+    key = lambda x: -1 if x is None else x
+    got = sorted((key(r.doc_id), r.score, [e.cosine for e in r.evidence]) for r in out)
+    want = sorted((key(i), float(toxicity.sigmoid(model.z(np.array([[vote(f)]])))[0]), [s for s, _ in f]) for i, w in rows for f in [nearest(w)])
+    for (i, score, cosines), (j, score_, cosines_) in zip(got, want, strict=True):
+        assert i == j and len(cosines) == len(cosines_) and np.allclose(cosines, cosines_, atol=1e-7)
+        assert abs(score - score_) < 0.01
+
+
+def test_long_clean_text_with_one_insult(spark):
+    rng = random.Random(5)
+    clean = [f"w{i}" for i in range(3000)]
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = i % 4 == 0
+        rows.append((i, " ".join(rng.choices(clean, k=60) + (["idiot"] * 3 if toxic else [])), "en", "s", 1))
+        labels.append((i, 1, int(toxic)))
+    rows += [(5000, " ".join(rng.choices(clean, k=9000) + ["idiot"]), "en", "s", 1), (5001, "You, IDIOT!", "en", "s", 1)]
+    out = {r.doc_id: r for r in toxicity.score_toxicity(spark.createDataFrame(rows, DOCS), labels_of(spark, labels)).where("doc_id >= 5000").collect()}
+    assert out[5000].predicted == 0 and out[5001].predicted == 1 and max(e.cosine for e in out[5000].evidence) < 0.5
 
 
 def test_toxicity_learns_only_from_its_fold(spark):
