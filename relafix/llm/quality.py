@@ -1,9 +1,12 @@
 """Quality classifier by co-training two views of a document.
 
-One classifier sees the text's content, the other the page's metadata (language,
-source, size and layout).  Over some rounds each labels the unlabelled rows it is
-surest about for the other.  Both views are then calibrated on labelled rows kept
-aside, and a combination of the two scores every document.
+One classifier sees the text's content alone, the other the page's columns alone
+(language, source, stated size).  Over some rounds each labels the unlabelled rows it
+is surest about for the other.  A view is sure of a label where it errs less than
+half as often as saying that label always would; all pseudo-labels together weigh at
+most ``trust`` of the true ones, however large the table.  Both views are then
+calibrated on labelled rows kept aside, and a combination of the two scores every
+document.
 
 Labelled rows to fit on are a bounded sample (``max_labelled``), drawn by a hash of
 the id, so that reruns agree.  Pseudo-labels are exchanged over all other rows: they
@@ -12,72 +15,67 @@ stay on the executors, which add up moments, gradients and curvatures.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relafix.llm.linear import Logistic, fit, sigmoid
 from relafix.storage import stage_table
 
-_SIGNS = b"!#$%&*|<>{}=+_~^@/\\"
-_TRAILS = re.compile(rb"[!#$%&*]+(?=[ \n]|$)")
+_SIGNS = list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+_GRAMS = 64  # classes that character trigrams are hashed to
 _HASHED = 48
 _KEEP_ASIDE = 4  # one labelled row in four calibrates
 _BINS, _TOP = 4096, 35.0  # of the log-odds, to find the surest rows
 _ROWS = 1024  # rows in a block of packed features
+_FOLD = np.arange(256, dtype=np.uint32)
+_FOLD[65:91] += 32
 
 
 def content_features(text: str) -> list[float]:
-    """Shares of kinds of characters and words; language counts little in them."""
-    raw = text.encode("utf-8", "replace")
+    """Lexical content: hashed character trigrams, shares of kinds of characters, how words repeat."""
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     n = max(1, len(raw))
-    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    upper, lower = counts[65:91].sum(), counts[97:123].sum()
+    counts = np.bincount(raw, minlength=256)
+    upper, lower = int(counts[65:91].sum()), int(counts[97:123].sum())
     words = text.split()
-    total = max(1, len(words))
-    distinct = len(set(words))
-    letters = max(1, int(upper + lower))
-    shares = [counts[c] / n for c in _SIGNS]
+    total, distinct = max(1, len(words)), len(set(words))
+    low = _FOLD[raw]
+    hashed = (low[:-2] * np.uint32(0x9E3779B1) + low[1:-1] * np.uint32(0x85EBCA77) + low[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(26)
+    grams = np.bincount(hashed, minlength=_GRAMS).astype(float)
     return [
-        upper / letters,
+        upper / max(1, upper + lower),
         counts[48:58].sum() / n,
         counts[128:].sum() / n,
-        (counts[44] + counts[46]) / n,
-        *shares,
-        min(1.0, len(_TRAILS.findall(raw)) / total),
+        *(counts[_SIGNS] / n),
         distinct / total,
         distinct / total**0.8,
-        np.log1p(len(words)),
         len(text) / total,
+        *(grams / max(1.0, float(np.sqrt((grams * grams).sum())))),
     ]
 
 
-def metadata_features(text: str, lang: str | None, source: str | None, n_chars: float | None) -> list[float]:
-    """Language and source (hashed to fixed classes), size and layout of lines."""
-    size = 0.0 if n_chars is None or n_chars != n_chars else float(n_chars)
-    lines = text.split("\n")
+def metadata_features(lang: str | None, source: str | None, n_chars: float | None) -> list[float]:
+    """What the page's columns tell: language and source (hashed to fixed classes) and the size stated."""
+    known = n_chars is not None and n_chars == n_chars
     kinds = [0.0] * _HASHED
     kinds[zlib.crc32(f"l{lang}".encode()) % 16] = 1.0
     kinds[16 + zlib.crc32(f"s{source}".encode()) % (_HASHED - 16)] = 1.0
-    return [np.log1p(max(0.0, size)), np.log1p(len(lines)), len(set(lines)) / len(lines), np.log1p(len(text) / len(lines)), max(map(len, lines)) / max(1, len(text)), *kinds]
+    return [float(known), np.log1p(max(0.0, float(n_chars))) if known else 0.0, *kinds]
 
 
 _N_CONTENT = len(content_features(""))
 
 
 def _features(texts, langs, sources, sizes) -> np.ndarray:
-    rows = []
-    for text, lang, source, size in zip(texts, langs, sources, sizes, strict=True):
-        text = text or ""
-        rows.append(content_features(text) + metadata_features(text, lang, source, size))
-    return np.array(rows, dtype=float).reshape(len(rows), -1)
+    rows = [content_features(text or "") + metadata_features(lang, source, size) for text, lang, source, size in zip(texts, langs, sources, sizes, strict=True)]
+    return np.array(rows, dtype=float).reshape(len(rows), _N_CONTENT + _HASHED + 2)
 
 
 @dataclass
@@ -97,6 +95,7 @@ class CoTrained:
 
 _CUT = slice(None, _N_CONTENT), slice(_N_CONTENT, None)
 Work = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Sure = tuple[float, float]  # least probability of a pseudo-label 0 and 1
 
 
 class Rows:
@@ -129,7 +128,7 @@ class Blocks(Rows):
 
 
 def _width() -> int:
-    return _features([""], [None], [None], [None]).shape[1]
+    return _N_CONTENT + _HASHED + 2
 
 
 @dataclass
@@ -146,7 +145,7 @@ def _bins(z: np.ndarray, sure: float) -> np.ndarray:
     return np.where(z >= least, ((np.minimum(z, _TOP) - least) / (_TOP - least) * (_BINS - 1)).astype(int), -1)
 
 
-def _given(x: np.ndarray, lot: np.ndarray, past: list[_Round], sure: float) -> tuple[np.ndarray, np.ndarray]:
+def _given(x: np.ndarray, lot: np.ndarray, past: list[_Round], sure: Sure) -> tuple[np.ndarray, np.ndarray]:
     """Pseudo-labels of rows for each view (-1: none), and which rows are free yet."""
     labels, free = np.full((2, len(x)), -1), np.ones(len(x), bool)
     for r in past:
@@ -154,7 +153,7 @@ def _given(x: np.ndarray, lot: np.ndarray, past: list[_Round], sure: float) -> t
         for me in (0, 1):
             z = r.views[me].z(x[:, _CUT[me]])
             for label in (1, 0):
-                bins, (last, part) = _bins(z if label else -z, sure), r.last[me, label]
+                bins, (last, part) = _bins(z if label else -z, sure[label]), r.last[me, label]
                 hit = free & (bins >= 0) & ((bins > last) | ((bins == last) & (lot < part)))
                 labels[1 - me][hit] = label
                 taken |= hit
@@ -162,7 +161,7 @@ def _given(x: np.ndarray, lot: np.ndarray, past: list[_Round], sure: float) -> t
     return labels, free
 
 
-def _take(pool: Rows, views: list[Logistic], past: list[_Round], most: int, sure: float) -> _Round | None:
+def _take(pool: Rows, views: list[Logistic], past: list[_Round], most: int, sure: Sure) -> _Round | None:
     """The surest free rows of each view and class, about ``most`` each; None if there are none."""
 
     def count(x: np.ndarray, lot: np.ndarray) -> np.ndarray:
@@ -170,8 +169,8 @@ def _take(pool: Rows, views: list[Logistic], past: list[_Round], most: int, sure
         out = []
         for me in (0, 1):
             z = views[me].z(x[free][:, _CUT[me]])
-            for sign in (1, -1):
-                bins = _bins(sign * z, sure)
+            for label in (1, 0):
+                bins = _bins(z if label else -z, sure[label])
                 out.append(np.bincount(bins[bins >= 0], minlength=_BINS))
         return np.concatenate(out).astype(float)
 
@@ -186,8 +185,8 @@ def _take(pool: Rows, views: list[Logistic], past: list[_Round], most: int, sure
     return _Round(views, last) if counts.any() else None
 
 
-def _fit_views(x: np.ndarray, y: np.ndarray, pool: Rows, past: list[_Round], sure: float, trust: float, l2: float = 1.0, rounds: int = 25) -> list[Logistic]:
-    """``fit`` for both views over labelled rows and pseudo-labelled ones, which weigh ``trust``."""
+def _fit_views(x: np.ndarray, y: np.ndarray, pool: Rows, past: list[_Round], sure: Sure, trust: float, l2: float = 1.0, rounds: int = 25) -> list[Logistic]:
+    """``fit`` for both views over labelled rows and pseudo-labelled ones, which weigh ``trust``, and together no more than that share of the others."""
 
     def moments(x: np.ndarray, lot: np.ndarray) -> np.ndarray:
         labels, _ = _given(x, lot, past, sure)
@@ -197,7 +196,7 @@ def _fit_views(x: np.ndarray, y: np.ndarray, pool: Rows, past: list[_Round], sur
             out += [[len(own), (labels[v] == 1).sum()], own.sum(axis=0), (own**2).sum(axis=0)]
         return np.concatenate(out).astype(float)
 
-    sums, at, models, targets = pool.total(moments), 0, [], []
+    sums, at, models, targets, weigh = pool.total(moments), 0, [], [], []
     for v in (0, 1):
         own = x[:, _CUT[v]]
         d = own.shape[1]
@@ -206,7 +205,8 @@ def _fit_views(x: np.ndarray, y: np.ndarray, pool: Rows, past: list[_Round], sur
         at += 2 + 2 * d
         scale = np.sqrt(np.maximum(0.0, second - first**2))
         scale[scale < 1e-9] = 1.0
-        good, total = y.sum() + likely * trust, len(y) + n * trust
+        weigh.append(trust * min(1.0, len(y) / max(1.0, n)))
+        good, total = y.sum() + likely * weigh[v], len(y) + n * weigh[v]
         bias = np.log((good + 1.0) / (total + 1.0 - good))
         models.append(Logistic(first, scale, np.zeros(d), float(bias)))
         targets.append(0 < y.sum() + likely < len(y) + n)
@@ -224,7 +224,7 @@ def _fit_views(x: np.ndarray, y: np.ndarray, pool: Rows, past: list[_Round], sur
 
         def work(x: np.ndarray, lot: np.ndarray) -> np.ndarray:
             labels, _ = _given(x, lot, past, sure)
-            return np.concatenate([slopes(v, x[labels[v] >= 0], labels[v][labels[v] >= 0], trust) for v in open_])
+            return np.concatenate([slopes(v, x[labels[v] >= 0], labels[v][labels[v] >= 0], weigh[v]) for v in open_])
 
         sums, at = pool.total(work), 0
         for v in list(open_):
@@ -244,19 +244,22 @@ def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray | Rows, aside: np.nd
     """Fit on labelled ``x, y`` (rows ``aside`` only calibrate) and unlabelled ``pool``.
 
     A round moves at most about ``share`` of the pool per view and class, rows of which
-    the view is at least ``sure``; they weigh ``trust`` of a true label.
+    the view is at least ``sure`` and errs less than half as often as the label's base
+    rate would; they weigh ``trust`` of a true label.
     """
+    rate = float(y.mean()) if len(y) else 0.5
+    least = max(sure, 1 - rate / 2), max(sure, 1 - (1 - rate) / 2)
     use = ~aside if (~aside).any() else np.ones(len(y), bool)
     views = [fit(x[use][:, c], y[use]) for c in _CUT]
     pool = pool if isinstance(pool, Rows) else Rows(pool)
     most = max(1, int(share * pool.total(lambda x, lot: np.array([float(len(x))]))[0]))
     past: list[_Round] = []
     for _ in range(rounds if use.any() else 0):
-        taken = _take(pool, views, past, most, sure)
+        taken = _take(pool, views, past, most, least)
         if taken is None:
             break
         past.append(taken)
-        views = _fit_views(x[use], y[use], pool, past, sure, trust)
+        views = _fit_views(x[use], y[use], pool, past, least, trust)
     rows = aside if aside.any() else use
     raw = [v.z(x[rows][:, c]) for v, c in zip(views, _CUT, strict=True)]
     calibration = tuple(fit(z[:, None], y[rows]) for z in raw)
@@ -276,9 +279,15 @@ def labelled_sample(labels: DataFrame, label_col: str, id_col: str, most: int, w
     return rows
 
 
-def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_labelled: int, rounds: int) -> CoTrained:
+def _given_columns(docs: DataFrame, text_col: str, meta_cols: tuple[str, str, str]) -> list[Column]:
+    """Text, language, source and size; columns that ``docs`` has not are null."""
+    kinds = ("string", "string", "double")
+    return [F.col(text_col).alias("text"), *[(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(n) for c, k, n in zip(meta_cols, kinds, ("lang", "source", "n_chars"), strict=True)]]
+
+
+def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, meta_cols: tuple[str, str, str], max_labelled: int, rounds: int) -> CoTrained:
     chosen = F.broadcast(labelled_sample(labels, label_col, id_col, max_labelled))  # bounded by max_labelled
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars"))
+    rows = docs.select(F.col(id_col).alias("__id"), *_given_columns(docs, text_col, meta_cols))
     lot = (F.pmod(F.xxhash64(F.lit("pool"), "__id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("lot")
     rows = rows.join(chosen, "__id", "left").select(F.col("__id").cast("string").alias("__id"), "text", "lang", "source", "n_chars", lot, "__label")
 
@@ -300,31 +309,41 @@ def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 
 
 def score_quality(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 20_000, rounds: int = 4
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    meta_cols: tuple[str, str, str] = ("lang", "source", "n_chars"),
+    max_labelled: int = 20_000,
+    rounds: int = 4,
 ) -> DataFrame:
     """``docs`` with ``quality_score`` (1: good), ``content_score`` and ``metadata_score``.
 
-    ``labels`` has ``id_col`` and ``label_col`` (1: good).  ``docs`` has ``lang``,
-    ``source`` and ``n_chars`` besides id and text; each may be null, a null or
-    empty text has the features of an empty one, so every row gets a score.
-    Repeated labels of an id count once (the larger), repeated rows are scored
-    alike.  Without labels all scores are 0.5; an empty table gives an empty
+    ``labels`` has ``id_col`` and ``label_col`` (1: good).  ``meta_cols`` name the
+    language, the source and the size; each may be null or missing, a null or
+    empty text has the features of an empty one, so every row gets a score.  Whole
+    texts of any length are read.  Repeated labels of an id count once (the larger),
+    repeated rows are scored alike, and ties in the exchange are settled by a hash of
+    id and text.  Without labels all scores are 0.5; an empty table gives an empty
     result.  Columns of ``docs`` with the names of the scores are replaced.
     """
-    model = _model(docs, labels, id_col, text_col, label_col, max_labelled, rounds)
+    model = _model(docs, labels, id_col, text_col, label_col, meta_cols, max_labelled, rounds)
     names = ("quality_score", "content_score", "metadata_score")
-    given = F.col(text_col), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double")
 
     @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
     def scored(text: pd.Series, lang: pd.Series, source: pd.Series, size: pd.Series) -> pd.DataFrame:
         x = _features(text, lang, source, size)
         return pd.DataFrame(dict(zip(names, model.scores(x), strict=True)))
 
-    packed = docs.select(F.struct("*").alias("row"), scored(*given).alias("scores"))
+    packed = docs.select(F.struct("*").alias("row"), scored(*_given_columns(docs, text_col, meta_cols)).alias("scores"))
     return packed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in names], "scores.*")
 
 
-def reject_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """The documents whose score is at least ``threshold``, with the columns of ``docs``."""
-    marked = score_quality(docs.select(F.struct("*").alias("row"), *[c for c in ("doc_id", "text", "lang", "source", "n_chars")]), labels, **options)
+def reject_low_quality(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, str, str] = ("lang", "source", "n_chars"), **options
+) -> DataFrame:
+    """The documents whose score is at least ``threshold``, with the columns of ``docs``; odd rows as in ``score_quality``."""
+    used = [id_col, text_col, *[c for c in meta_cols if c in docs.columns]]
+    marked = score_quality(docs.select(F.struct("*").alias("row"), *dict.fromkeys(used)), labels, id_col, text_col, meta_cols=meta_cols, **options)
     return marked.where(F.col("quality_score") >= threshold).select(*[F.col("row")[c].alias(c) for c in docs.columns])

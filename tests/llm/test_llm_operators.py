@@ -426,6 +426,18 @@ def test_quality_odd_rows(spark, odd_docs, no_docs):
     assert quality.reject_low_quality(odd_docs, labels_of(spark)).columns == odd_docs.columns
     assert quality.score_quality(no_docs, labels_of(spark).limit(0)).count() == 0
     assert {r.quality_score for r in quality.score_quality(odd_docs, labels_of(spark).limit(0)).collect()} == {0.5}
+    bare = odd_docs.select("doc_id", "text")
+    scores = {}
+    for r in quality.score_quality(bare, labels_of(spark)).collect():
+        scores.setdefault((r.doc_id, r.text), set()).add(r.quality_score)
+    assert len(scores) == 8 and all(len(s) == 1 for s in scores.values())
+
+
+def test_views_share_nothing():
+    x = quality._features(["a text", "another, longer text"], ["en", "en"], ["s", "s"], [5.0, 5.0])
+    assert (x[0, quality._N_CONTENT :] == x[1, quality._N_CONTENT :]).all()
+    x = quality._features(["a text", "a text"], ["en", "de"], ["s", None], [5.0, None])
+    assert (x[0, : quality._N_CONTENT] == x[1, : quality._N_CONTENT]).all() and (x[0] != x[1]).any()
 
 
 def test_quality_pool_is_the_whole_table(spark, monkeypatch):
@@ -446,13 +458,13 @@ def test_quality_fit_by_sums(monkeypatch):
     y = (x @ true > 0).astype(float)
     views = [quality.fit(x[:, c], y) for c in quality._CUT]
     rows = quality.Rows(pool)
-    past = [quality._take(rows, views, [], 150, 0.9)]
-    labels, free = quality._given(pool, rows.lot, past, 0.9)
+    past = [quality._take(rows, views, [], 150, (0.9, 0.9))]
+    labels, free = quality._given(pool, rows.lot, past, (0.9, 0.9))
     taken = (labels >= 0).any(axis=0)
     assert (free == ~taken).all() and 300 < taken.sum() <= 620
-    for v, got in enumerate(quality._fit_views(x, y, rows, past, 0.9, 0.5)):
+    for v, got in enumerate(quality._fit_views(x, y, rows, past, (0.9, 0.9), 0.5)):
         own = labels[v] >= 0
-        c, weight = quality._CUT[v], np.append(np.ones(300), np.full(own.sum(), 0.5))
+        c, weight = quality._CUT[v], np.append(np.ones(300), np.full(own.sum(), 0.5 * min(1, 300 / own.sum())))
         want = quality.fit(np.vstack([x, pool[own]])[:, c], np.append(y, labels[v][own]), weight)
         assert np.allclose(got.weights, want.weights, atol=1e-5) and np.allclose(got.mean, want.mean)
 
