@@ -185,8 +185,8 @@ def _take(pool: Rows, views: list[Logistic], past: list[_Round], most: int, sure
     return _Round(views, last) if counts.any() else None
 
 
-def _fit_views(x: np.ndarray, y: np.ndarray, pool: Rows, past: list[_Round], sure: Sure, trust: float, l2: float = 1.0, rounds: int = 25) -> list[Logistic]:
-    """``fit`` for both views over labelled rows and pseudo-labelled ones, which weigh ``trust``, and together no more than that share of the others."""
+def _fit_views(x: np.ndarray, y: np.ndarray, pool: Rows, past: list[_Round], sure: Sure, trust: float, l2: float = 1.0, rounds: int = 25, warm: list[Logistic] | None = None) -> list[Logistic]:
+    """``fit`` for both views over labelled rows and pseudo-labelled ones, which weigh ``trust``, and together no more than that share of the others; starts from ``warm``."""
 
     def moments(x: np.ndarray, lot: np.ndarray) -> np.ndarray:
         labels, _ = _given(x, lot, past, sure)
@@ -208,7 +208,11 @@ def _fit_views(x: np.ndarray, y: np.ndarray, pool: Rows, past: list[_Round], sur
         weigh.append(trust * min(1.0, len(y) / max(1.0, n)))
         good, total = y.sum() + likely * weigh[v], len(y) + n * weigh[v]
         bias = np.log((good + 1.0) / (total + 1.0 - good))
-        models.append(Logistic(first, scale, np.zeros(d), float(bias)))
+        if warm:  # the same plane over the new means and scales
+            old = warm[v]
+            models.append(Logistic(first, scale, old.weights * scale / old.scale, float(old.bias + (first - old.mean) / old.scale @ old.weights)))
+        else:
+            models.append(Logistic(first, scale, np.zeros(d), float(bias)))
         targets.append(0 < y.sum() + likely < len(y) + n)
 
     def slopes(v: int, x: np.ndarray, y: np.ndarray, weight: float) -> np.ndarray:
@@ -259,7 +263,7 @@ def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray | Rows, aside: np.nd
         if taken is None:
             break
         past.append(taken)
-        views = _fit_views(x[use], y[use], pool, past, least, trust)
+        views = _fit_views(x[use], y[use], pool, past, least, trust, warm=views)
     rows = aside if aside.any() else use
     raw = [v.z(x[rows][:, c]) for v, c in zip(views, _CUT, strict=True)]
     calibration = tuple(fit(z[:, None], y[rows]) for z in raw)
