@@ -2,8 +2,14 @@
 
 The search keeps only a window of states as wide as the longest piece.  Whenever
 the backpointer paths of all states in the window meet in one boundary, the ids
-up to that boundary are final and leave the window, so a text of any length is
-encoded in bounded memory.
+up to that boundary are final and leave the window.  Memory is that of the part not
+yet certain: a few widths, and only where paths keep apart (a long run of one
+character, say) a number for each character of the run.
+
+Where no piece of a model has a space sign after another character, every path
+passes the boundary before a space sign, so the search commits there whatever
+follows.  Runs between such boundaries are searched apart and remembered: a run
+that was searched before is not searched again.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ SPACE = "▁"
 _LITERAL = "\udfff"
 #: Fixed value of the reference algorithm: an unknown character costs this much more than the worst piece.
 _UNKNOWN_PENALTY = 10.0
+_NEVER = float("-inf")
 
 
 class PieceModel:
@@ -39,12 +46,7 @@ class PieceModel:
         self.byte_ids, self.dummy_prefix, self.cache_size = byte_ids, dummy_prefix, cache
         self.width = max((len(p) for p in self.ids), default=1)
         self.unknown = min((s for _, s, _ in pieces), default=0.0) - _UNKNOWN_PENALTY
-        # every prefix of a piece, with the piece's score or None
-        self.prefixes: dict[str, float | None] = {}
-        for piece, score, _ in pieces:
-            for n in range(1, len(piece)):
-                self.prefixes.setdefault(piece[:n], None)
-            self.prefixes[piece] = score
+        # of every prefix of a piece, what may follow it; the empty key has the score of a whole piece
         self.trie: dict = {}
         for piece, score, _ in pieces:
             node = self.trie
@@ -72,92 +74,54 @@ class PieceModel:
 
     def stream(self, chars: str) -> Iterator[tuple[int, int]]:
         """The pieces of ``chars`` as (start, end), committed as soon as they are certain."""
-        n, width, prefixes, unknown = len(chars), self.width, self.prefixes, self.unknown
-        score: dict[int, float] = {0: 0.0}
-        back: dict[int, int] = {}
-        done, reach = 0, 0
-        for at in range(n):
-            here = score[at]
-            end = at + 1
-            # an unknown character is a path of its own, so every position is reached
-            value = here + unknown
-            if end not in score or value > score[end]:
-                score[end], back[end] = value, at
-            last = min(n, at + width)
-            while end <= last:
-                found = prefixes.get(chars[at:end], False)
-                if found is False:
-                    break
-                if found is not None:
-                    value = here + found
-                    if end not in score or value > score[end]:
-                        score[end], back[end] = value, at
-                    if end > reach:
-                        reach = end
-                end += 1
-            if reach <= at + 1:  # one state is left: no match goes over the boundary
-                meet = at + 1
-            elif at + 1 - done >= 4 * width:
-                meet = self._meeting(back, done, at + 1, reach)
-            else:
-                continue
+        n, width, trie, unknown = len(chars), self.width, self.trie, self.unknown
+        # score and first boundary of the best path to each place of the window, counted from ``done``
+        done, at, score, back = 0, 0, [0.0], [0]
+        while at < n:
+            stop = min(n, at + width)
+            room = stop - done + width + 1 - len(score)
+            score += [_NEVER] * room
+            back += [0] * room
+            for at in range(at, stop):
+                here, place = score[at - done], at - done + 1
+                # an unknown character is a path of its own, so every place is reached
+                value = here + unknown
+                if value > score[place]:
+                    score[place], back[place] = value, at
+                node, place = trie, place - 1
+                for c in chars[at : at + width]:
+                    node = node.get(c)
+                    if node is None:
+                        break
+                    place += 1
+                    if "" in node:
+                        value = here + node[""]
+                        if value > score[place]:
+                            score[place], back[place] = value, at
+            at = stop
+            meet = n if at == n else self._meeting([p + done for p in range(at - done, len(score)) if score[p] > _NEVER], back, done)
             if meet > done:
                 path, p = [], meet
                 while p > done:
-                    path.append((back[p], p))
-                    p = back[p]
+                    path.append((back[p - done], p))
+                    p = back[p - done]
                 yield from reversed(path)
-                base = score[meet]
-                for p in range(done, meet):
-                    score.pop(p, None)
-                    back.pop(p + 1, None)
-                score = {p: s - base for p, s in score.items()}
-                done = meet
-        if done < n:
-            path, p = [], n
-            while p > done:
-                path.append((back[p], p))
-                p = back[p]
-            yield from reversed(path)
+                base, gone = score[meet - done], meet - done
+                score, back, done = [s - base for s in score[gone:]], back[gone:], meet
 
     @staticmethod
-    def _meeting(back: dict[int, int], done: int, at: int, reach: int) -> int:
-        """The last boundary that the paths of all states from ``at`` to ``reach`` pass."""
-        live = {p for p in range(at, reach + 1) if p in back}
+    def _meeting(states: list[int], back: list[int], done: int) -> int:
+        """The last boundary that the paths of all ``states`` pass."""
+        live = set(states)
         while len(live) > 1:
             top = max(live)
             live.discard(top)
-            live.add(back[top] if top > done else done)
-        return live.pop() if live else done
-
-    def _window(self, chars: str) -> list[tuple[int, int]]:
-        """The same pieces for a string that fits in the window: all paths meet at its end."""
-        n, unknown, trie = len(chars), self.unknown, self.trie
-        score, back = [0.0] + [float("-inf")] * n, [0] * (n + 1)
-        for at in range(n):
-            here, end = score[at], at + 1
-            value = here + unknown
-            if value > score[end]:
-                score[end], back[end] = value, at
-            node, end = trie, at
-            for c in chars[at:]:
-                node = node.get(c)
-                if node is None:
-                    break
-                end += 1
-                if "" in node:
-                    value = here + node[""]
-                    if value > score[end]:
-                        score[end], back[end] = value, at
-        path = []
-        while n:
-            path.append((back[n], n))
-            n = back[n]
-        return path[::-1]
+            live.add(back[top - done])
+        return live.pop()
 
     def _ids(self, chars: str) -> array:
         out, ids = array("i"), self.ids
-        for start, end in self._window(chars) if len(chars) <= 2 * self.width else self.stream(chars):
+        for start, end in self.stream(chars):
             found = ids.get(chars[start:end])
             if found is not None:
                 out.append(found)
@@ -215,9 +179,11 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """``doc_id, n_ids, ids, exact`` for each row of ``docs``.
 
     ``exact`` tells that decoding the ids gives the text again.  Null texts have
-    null ids, no count and no ``exact``; empty texts have no ids.  Rows are
-    handled one by one, so null and repeated ids and repeated rows stay as they
-    are; other columns are not looked at.
+    null ids, no count and no ``exact``; empty texts have no ids.  Whole texts of
+    any length are encoded; of segmentations with one score the one whose last
+    differing piece is longer counts.  Rows are handled one by one, so null and
+    repeated ids and repeated rows stay as they are; an empty table gives an empty
+    result and other columns are not looked at.
     """
     name = _shipped(docs.sparkSession, model_path)
     packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -554,13 +554,16 @@ def test_disclosing_terms_of_whole_documents(spark):
 # --- 10: pieces
 
 
-def full_viterbi(model, chars):
+def full_viterbi(scores, unknown, chars):
+    """The best path over all pairs of boundaries of the whole text."""
+    longest = max(map(len, scores))
     best = [(0.0, 0)] + [None] * len(chars)
-    for i, j in itertools.combinations(range(len(chars) + 1), 2):
-        score = model.prefixes.get(chars[i:j])
-        score = model.unknown if score is None and j == i + 1 else score
-        if score is not None and best[i] is not None and (best[j] is None or best[i][0] + score > best[j][0]):
-            best[j] = (best[i][0] + score, i)
+    for i in range(len(chars)):
+        for j in range(i + 1, min(len(chars), i + longest) + 1):
+            score = scores.get(chars[i:j])
+            score = unknown if score is None and j == i + 1 else score
+            if score is not None and (best[j] is None or best[i][0] + score > best[j][0]):
+                best[j] = (best[i][0] + score, i)
     out, at = [], len(chars)
     while at:
         out.append((best[at][1], at))
@@ -572,10 +575,44 @@ def test_streaming_search_is_the_full_search():
     rng = random.Random(0)
     toy = ["a", "b", "ab", "ba", "aab", "bbab", "abab", "▁", "▁a", "b▁a", "▁▁"]
     for seed in range(5):
-        model = pieces.PieceModel([(p, random.Random(seed * 100 + i).choice([-1.0, -2.0, -1.5, -3.0]), i) for i, p in enumerate(toy)], list(range(100, 356)))
+        scores = {p: random.Random(seed * 100 + i).choice([-1.0, -2.0, -1.5, -3.0]) for i, p in enumerate(toy)}
+        model = pieces.PieceModel([(p, s, i) for i, (p, s) in enumerate(scores.items())], list(range(100, 356)))
         for _ in range(300):
             chars = "".join(rng.choice("ab▁c") for _ in range(rng.randint(0, 90)))
-            assert list(model.stream(chars)) == full_viterbi(model, chars) == model._window(chars)
+            assert list(model.stream(chars)) == full_viterbi(scores, model.unknown, chars)
+
+
+def test_window_stays_bounded():
+    model = pieces.PieceModel([("a", -5.0, 0), ("b", -5.0, 1), ("ab", -1.0, 2), ("ba", -1.2, 3)], list(range(100, 356)))
+    stream, last, held = model.stream("ab" * 3000), 0, 0
+    for start, end in stream:
+        assert start == last
+        last = end
+        held = max(held, len(stream.gi_frame.f_locals["score"]))
+    assert last == 6000 and held <= 8 * model.width
+
+
+@pytest.mark.parametrize("cache", [3, 500_000])
+def test_pieces_of_the_real_model(spark, cache):
+    """Ids through word runs and the memo against one plain search over the whole text."""
+    model = pieces.PieceModel.load(PIECE_MODEL)
+    model.cache_size = cache
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    scores = {w: p.get_score(i) for w, i in model.ids.items()}
+    names = {i: w for w, i in model.ids.items()}
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1200").limit(40).collect()]
+    texts += ["", " ", "  two  spaces ", "\t\n\r mixed\n\n", "é ▁ 😀 ﷺ", "a" * 400, "ab " * 200, "x" * 50 + "\n" + "x" * 50]
+    for text in texts * 2:
+        chars = "▁" + text.replace("▁", "\udfff").replace(" ", "▁") if text else ""
+        want = []
+        for a, b in full_viterbi(scores, model.unknown, chars):
+            piece = chars[a:b]
+            want += [model.ids[piece]] if piece in model.ids else [model.byte_ids[x] for x in piece.replace("\udfff", "▁").encode()]
+        got = list(model.encode(text))
+        assert got == want and model.decode(got) == text, text[:50]
+    assert names
 
 
 def test_pieces_round_trip(spark, odd_docs, no_docs):
