@@ -1,12 +1,13 @@
 """URL filters as a sort-merge range join.
 
 A rule (host, path prefix) covers an interval of canonical keys, the host's
-labels reversed and then the path.  Rules and urls are sorted together by key; a
-sweep over the order knows at each url the last rule before it, and that rule's
-stack of enclosing rules, which is all that can still be open there.  The
-intervals are nested or disjoint, so the innermost open rule of the stack is the
-longest prefix.  The sweep runs in range partitions and only one rule per
-partition is carried into the next.
+labels reversed and then the path.  A rule opens at its key and closes behind all
+keys that begin with it; openings, closings and urls are sorted together.  A sweep
+over the order keeps the stack of rules open at each url: its height is the running
+number of openings less closings, and its top is the last rule that was opened at
+that height.  Intervals are nested or disjoint, so the top is the longest prefix.
+The sweep runs in range partitions; what crosses them is the height at their ends
+and the last rule opened at each height.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> Da
     return spark.createDataFrame(list(rules), "verdict string, host string, path string")
 
 
-def _rule_stacks(rules: DataFrame) -> DataFrame:
-    """Each rule's key and its stack: itself and the rules whose intervals enclose it, outermost first."""
+def _rule_intervals(rules: DataFrame) -> DataFrame:
+    """``key, rule, host_len, verdict`` of each distinct rule."""
     host = F.translate("host", _UPPER, _LOWER)
     keyed = rules.where(F.col("host") != "").select(
         F.concat(F.array_join(_reversed_labels(host), "."), F.lit("/"), F.coalesce("path", F.lit(""))).alias("key"),
@@ -51,11 +52,34 @@ def _rule_stacks(rules: DataFrame) -> DataFrame:
         "verdict",
     )
     # of rules with one key, the smallest verdict counts: allow before block
-    keyed = keyed.groupBy("key").agg(F.min("rule").alias("rule"), F.min("host_len").alias("host_len"), F.min("verdict").alias("verdict"))
-    entry = F.struct("key", "rule", "host_len", "verdict")
-    # a key is as long as a url at most, so it has few prefixes: an equi-join finds the enclosing rules
-    prefixes = keyed.select(F.col("key").alias("of"), F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substring("key", F.lit(1), n))).alias("key"))
-    return prefixes.join(keyed, "key").groupBy("of").agg(F.sort_array(F.collect_list(entry)).alias("stack")).withColumnRenamed("of", "key")
+    return keyed.groupBy("key").agg(F.min("rule").alias("rule"), F.min("host_len").alias("host_len"), F.min("verdict").alias("verdict"))
+
+
+def _sweep(events: DataFrame) -> DataFrame:
+    """``row, hit`` of the probes in ``events``: the top of the stack where it is not empty.
+
+    ``events`` has ``key, turn, row, hit``: at one key openings (turn 0, with ``hit``)
+    come before probes (turn 1).  A closing (turn 2) stands at the last key of its
+    interval.
+    """
+    order = [F.col("key"), F.col("turn"), F.col("row")]
+    step = F.when(F.col("turn") == 0, 1).when(F.col("turn") == 2, -1).otherwise(0)
+    ranged = range_sorted(events.withColumn("step", step), *order)
+    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition
+    starts = ranged.groupBy("pid").agg(F.sum("step").alias("n")).select("pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    upto = Window.partitionBy("pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    high = ranged.withColumn("n", F.sum("step").over(upto)).join(starts, "pid").withColumn("height", F.col("start") + F.col("n")).where("height > 0 and turn < 2")
+    # the last rule opened at a height, in this partition or an earlier one
+    level = Window.partitionBy("pid", "height").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = high.withColumn("seen", F.last("hit", ignorenulls=True).over(level)).where("turn = 1")
+    opened = high.where("turn = 0").groupBy("pid", "height").agg(F.max_by("hit", "key").alias("last"))
+    marks = opened.select("pid", "height", "last").unionByName(seen.where("seen is null").select("pid", "height", F.lit(None).cast(opened.schema["last"].dataType).alias("last")).distinct())
+    marks = marks.groupBy("pid", "height").agg(F.first("last", ignorenulls=True).alias("last"))
+    earlier = Window.partitionBy("height").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.select("pid", "height", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    inside = seen.where("seen is not null").select("row", F.col("seen").alias("hit"))
+    return inside.unionByName(seen.where("seen is null").join(carried, ["pid", "height"]).select("row", F.col("carried").alias("hit")))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -80,22 +104,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit("/"), F.col("path")))).alias("key"),
         "row",
     )
-    stacks = _rule_stacks(rules)
-    stack_type = stacks.schema["stack"].dataType
-    sorted_rows = range_sorted(
-        stacks.select("key", F.lit(-1).cast("long").alias("row"), "stack").unionByName(probes.select("key", "row", F.lit(None).cast(stack_type).alias("stack"))),
-        F.col("key"),
-        F.col("row"),
-    )
-    # the last rule of each partition, carried over those that hold none: one row per partition
-    last = sorted_rows.where(F.col("stack").isNotNull()).groupBy("pid").agg(F.max_by("stack", "key").alias("last"))
-    pids = sorted_rows.select("pid").distinct().join(last, "pid", "left")
-    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    carried = pids.select("pid", F.last("last", ignorenulls=True).over(before).alias("carried"))
-    upto = Window.partitionBy("pid").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = sorted_rows.withColumn("seen", F.last("stack", ignorenulls=True).over(upto)).where(F.col("row") >= 0).join(carried, "pid")
-    open_rules = F.filter(F.coalesce("seen", "carried"), lambda r: F.startswith(F.col("key"), r["key"]))
-    hits = swept.select("row", F.try_element_at(open_rules, F.lit(-1)).alias("hit")).where("hit is not null")
+    intervals = _rule_intervals(rules)
+    hit = F.struct("rule", "host_len", "verdict").alias("hit")
+    none = F.lit(None).cast("struct<rule:string,host_len:int,verdict:string>").alias("hit")
+    no_row = F.lit(-1).cast("long").alias("row")
+    key = F.col("key").cast("binary")
+    opens = intervals.select(key.alias("key"), F.lit(0).alias("turn"), no_row, hit)
+    # no text has a byte of 255, so this stands behind all keys that begin with the rule's
+    closes = intervals.select(F.concat(key, F.lit(b"\xff")).alias("key"), F.lit(2).alias("turn"), no_row, none)
+    hits = _sweep(opens.unionByName(closes).unionByName(probes.select(key.alias("key"), F.lit(1).alias("turn"), "row", none)))
     best = hits.groupBy("row").agg(F.max_by("hit", F.struct(F.length("hit.rule"), F.col("hit.host_len"))).alias("hit"))
     judged = rows.join(best, "row", "left")
     return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))

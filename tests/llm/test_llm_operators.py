@@ -494,6 +494,21 @@ def test_url_filters(spark):
     assert urlfilter.filter_urls(df.limit(0), urlfilter.rule_table(spark, URL_RULES)).count() == 0
 
 
+@pytest.mark.parametrize("parts", ["1", "13"])
+def test_nested_rules_in_the_sweep(spark, parts):
+    rng = random.Random(7)
+    hosts, steps = ["a", "b.a", "c.b.a", "xa", "d.a"], ["/", "/x", "/x/", "/x/y", "/x/y/z", "/x/yy", "/w", "", "/x/\U0010ffff"]
+    rules = sorted({(h, p): (rng.choice(["allow", "block"]), h, p) for h in hosts for p in steps if rng.random() < 0.7}.values())
+    urls = [f"s://{rng.choice(hosts)}{rng.choice(steps)}{rng.choice(['', 'q', '/q', chr(0x10FFFF) * 3, '?'])}" for _ in range(300)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), urlfilter.rule_table(spark, rules)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for i, u in enumerate(urls):
+        host, path = re.match(r"s://([^/?]*)([^?]*)", u).groups()
+        fits = [(len(h + p), len(h), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[i] == (max(fits)[2:] if fits else (None, "allow")), u
+
+
 # --- 9: personal data
 
 
