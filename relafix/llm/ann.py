@@ -4,18 +4,21 @@ Equal vectors are one node.  A first graph joins nodes that fall on the same sid
 of random hyperplanes; rounds of NN-descent then join each node with the neighbours
 of its neighbours and keep the nearest, by Spark joins in which a row carries one
 node with an 8-bit copy of its vector.  A query starts from the graph around its own
-node and walks greedily: each round it opens its best unopened nodes, until none is
-left in the beam.  The beam's best are scored again in double precision.
+node and walks greedily: each round it opens its best unopened nodes, until every node
+of its beam is opened.  All of the beam that can be among the nearest, given the error
+of the 8-bit copies, is scored again in double precision.
 
 For the graph, vectors get one more component that makes all of them equally long,
 so that the nearest by angle have the largest inner products with a query.  The 8-bit
 copies keep a scale for each row, so that one very long vector costs the others nothing;
-the longest vectors, far from all others in the graph, are on every query's first beam.
+the longest vectors, far from all others in the graph, are on every query's first beam,
+and in a small table all vectors are, so that its answers are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -183,22 +186,23 @@ def _walk(state: DataFrame, graph: DataFrame, beam: int, opened: int, dim: int)
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for query, q, ids, sims, done, seen, frontier, got, near in b[["query", "q", "ids", "sims", "done", "seen", "frontier", "got", "near"]].itertuples(index=False):
-                ids, sims, done, seen = np.asarray(ids, np.int64), np.asarray(sims, np.float32), np.asarray(done, bool), np.asarray(seen, np.int64)
+            for query, q, ids, sims, errs, done, frontier, got, near in b[["query", "q", "ids", "sims", "errs", "done", "frontier", "got", "near"]].itertuples(index=False):
+                ids, sims, errs, done = np.asarray(ids, np.int64), np.asarray(sims, np.float32), np.asarray(errs, np.float32), np.asarray(done, bool)
                 done = done | np.isin(ids, np.asarray(frontier, np.int64))
                 if got is not None and len(got):
                     found, first = np.unique(np.asarray(got, np.int64), return_index=True)
-                    fresh = ~np.isin(found, seen)
+                    # a node that left the beam is below it for good, so what is not in it may be scored again
+                    fresh = ~np.isin(found, ids)
                     found, first = found[fresh], first[fresh]
                     if len(found):
                         x, scale, _ = _unpacked([near[i] for i in first], dim)
                         value = x @ np.frombuffer(q, np.float32) * scale
                         ids, sims, done = np.append(ids, found), np.append(sims, value), np.append(done, np.zeros(len(found), bool))
-                        seen = np.append(seen, found)
-                        order = np.argsort(-sims, kind="stable")[:beam]
-                        ids, sims, done = ids[order], sims[order], done[order]
-                out.append((query, q, ids, sims, done, seen, ids[~done][:opened]))
-            yield pd.DataFrame(out, columns=["query", "q", "ids", "sims", "done", "seen", "frontier"])
+                        errs = np.append(errs, scale * np.float32(dim**0.5 / 2))
+                        order = np.lexsort((ids, -sims))[:beam]
+                        ids, sims, errs, done = ids[order], sims[order], errs[order], done[order]
+                out.append((query, q, ids, sims, errs, done, ids[~done][:opened]))
+            yield pd.DataFrame(out, columns=["query", "q", "ids", "sims", "errs", "done", "frontier"])
 
     return rows.mapInPandas(step, state.schema)
 
@@ -216,7 +220,6 @@ def nearest_neighbours(
     emit: int = 8,
     beam: int = 384,
     opened: int = 96,
-    steps: int = 8,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row with ``is_query`` its ``top`` nearest others found.
 
@@ -225,7 +228,9 @@ def nearest_neighbours(
     no candidate; if there are fewer candidates than ``top``, all are returned.
     Rows take no part if the id is null or the vector is null, zero, or holds
     null or non-finite components, or is not of the most common length (of equally
-    common ones the longest).  Rows with equal vectors tie and are all candidates.
+    common ones the longest).  ``beam`` nodes are kept in a search, which ends when all of
+    them are opened, ``opened`` at a time.  A table of no more than ``beam`` different
+    vectors is searched in full.  Rows with equal vectors tie and are all candidates.
     Repeated ids are one candidate for each different vector.  An empty table gives
     an empty result; other columns are not looked at.
     """
@@ -247,7 +252,8 @@ def nearest_neighbours(
     search = stage_table(_search_graph(graph, nodes, k), "search")
     asking = stage_table(rows.where("asks").select("id", "embedding").join(nodes.select("node", "vec"), F.col("embedding") == F.col("vec")).select("id", "node"), "asking")
     size = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    far = [(r["node"], np.array(r["vec"])) for r in nodes.select("node", "vec").orderBy(size.desc(), "node").limit(top + 1).collect()]
+    first = top + 1 if n > beam else n
+    far = [(r["node"], np.array(r["vec"])) for r in nodes.select("node", "vec").orderBy(size.desc(), "node").limit(first).collect()]
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -260,16 +266,25 @@ def nearest_neighbours(
                 others = [(i, x) for i, x in far if i != node]
                 ids = np.array([node, *[i for i, _ in others]], np.int64)
                 sims = np.array([vec @ q / unit, *[x @ q / unit for _, x in others]], np.float32)
-                order = np.argsort(-sims, kind="stable")
-                out.append((node, q.astype(np.float32).tobytes(), ids[order], sims[order], np.zeros(len(ids), bool), ids, ids[:1]))
-            yield pd.DataFrame(out, columns=["query", "q", "ids", "sims", "done", "seen", "frontier"])
+                order = np.lexsort((ids, -sims))
+                out.append((node, q.astype(np.float32).tobytes(), ids[order], sims[order], np.zeros(len(ids), np.float32), np.zeros(len(ids), bool), ids[:1]))
+            yield pd.DataFrame(out, columns=["query", "q", "ids", "sims", "errs", "done", "frontier"])
 
     asked = nodes.join(asking.select("node").distinct(), "node", "left_semi").select("node", "vec")
-    state = asked.mapInPandas(begin, "query long, q binary, ids array<long>, sims array<float>, done array<boolean>, seen array<long>, frontier array<long>")
-    for i in range(steps):
-        state = stage_table(_walk(state, search, beam, opened if i else 1, dim), f"walk{i}")
-    # more nodes than asked for are scored again, as 8 bits may swap close ones
-    short = state.select("query", F.explode(F.slice("ids", 1, 3 * top)).alias("node"))
+    state = asked.mapInPandas(begin, "query long, q binary, ids array<long>, sims array<float>, errs array<float>, done array<boolean>, frontier array<long>")
+    ended = []
+    while True:
+        state = stage_table(_walk(state, search, beam, opened if ended else 1, dim), "walk")
+        ended.append(state.where(F.size("frontier") == 0).select("query", "ids", "sims", "errs"))
+        state = state.where(F.size("frontier") > 0)
+        if state.isEmpty():
+            break
+    state = reduce(DataFrame.unionByName, ended)
+    # what may be nearer than the last of the nearest, as 8 bits may swap close ones
+    sure = F.sort_array(F.zip_with("sims", "errs", lambda s, e: s - e), asc=False)
+    least = F.coalesce(F.get(sure, F.lit(top)), F.lit(-float("inf")))
+    short = state.withColumn("least", least).select("query", "least", F.explode(F.arrays_zip("ids", "sims", "errs")).alias("c"))
+    short = short.where(F.col("c.sims") + F.col("c.errs") >= F.col("least")).select("query", F.col("c.ids").alias("node"))
     pairs = short.join(nodes.select("node", "vec", "members"), "node").join(nodes.select(F.col("node").alias("query"), F.col("vec").alias("asked")), "query")
     score = F.aggregate(F.zip_with("asked", "vec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     found = pairs.select("query", "members", score.alias("score"))
