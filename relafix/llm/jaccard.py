@@ -152,23 +152,23 @@ def _possible(docs: DataFrame, n: int, num: int, den: int, n_blocks: int) -> Dat
         credit = np.bincount(at, weights=sums["h"].astype(np.float64)).astype(np.int64)
         return pa.table({"cid": pa.array(cid.view(np.int64)), "credit": pa.array(credit)})
 
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = n_blocks  # both grow with the entries, so that neither a block nor a shard outgrows a task
     entries = docs.mapInArrow(emit, "block int, payload binary")
     return entries.groupBy("block").applyInArrow(reduce, "shard int, payload binary").groupBy("shard").applyInArrow(total, "cid long, credit long")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """``cid, n, grams`` of each document that has words."""
+    """``d1, d2, n, grams`` of each document that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, grams, counts in shingle_sets(batch.column("text"), n):
-                d1, _ = set_digests(grams, counts)
+                d1, d2 = set_digests(grams, counts)
                 ends = np.append(0, np.cumsum(counts)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(counts), lists], names=["cid", "n", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(counts), lists], names=["d1", "d2", "n", "grams"])
 
-    return docs.mapInArrow(run, "cid long, n long, grams array<long>").where("n > 0")
+    return docs.mapInArrow(run, "d1 long, d2 long, n long, grams array<long>").where("n > 0")
 
 
 def _candidate_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -276,7 +276,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``n``-word shingles.  ``n_links`` counts the other documents that one links
     with, equal ones included; ``component_id`` is the smallest id reachable by
     links.  Texts without words, null and empty ones, have no shingles and link
-    with nothing, each its own component.  Repeated rows are documents of their
+    with nothing, each its own component; whole texts of any length count.  Repeated rows are documents of their
     own that link.  Ids must be integers; a null id takes part, but a component
     is named by a null only if it has no other.  An empty table gives an empty
     result; other columns are not looked at.
@@ -291,19 +291,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_blocks = max(spread, int(total * (1 + _reach(num, den)) * (den - num) / den) // _BLOCK_ENTRIES)
     credits = _possible(texts, n, num, den, n_blocks)
     need = F.expr(f"({_reach(num, den)} * {den - num} * {num} * n) div {den * den} + 1")
-    kept = stage_table(classes.join(credits, F.col("d1") == F.col("cid")).where(F.col("credit") >= need).select("d1", "low_id", "weight"), "possible")
+    # credits go by half of a class's digest: two classes that share it only let each other pass
+    kept = classes.join(credits, F.col("d1") == F.col("cid")).where(F.col("credit") >= need).select("d1", "d2", "low_id", "weight")
+    kept = stage_table(kept.withColumn("k", F.monotonically_increasing_id()), "possible")
     ids = bounded_broadcast(kept.select(F.col("low_id").alias("doc_id")).distinct(), broadcast_rows).alias("i")
     chosen = texts.alias("t").join(ids, F.col("t.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
-    sets = _sets(chosen, n).join(kept.select(F.col("d1").alias("cid"), "weight"), "cid")
-    sets = sets.groupBy("cid").agg(F.first("n").alias("n"), F.max("weight").alias("weight"), F.first("grams").alias("grams"))
-    sets = stage_table(sets.withColumn("k", F.monotonically_increasing_id()), "sets")
+    sets = _sets(chosen, n).join(kept.select("d1", "d2", "k", "weight"), ["d1", "d2"])
+    sets = stage_table(sets.groupBy("k").agg(F.first("n").alias("n"), F.max("weight").alias("weight"), F.first("grams").alias("grams")), "sets")
     groups = _candidate_groups(sets, num, den)
-    candidates = sets.join(groups.select(F.col("node").alias("k"), F.col("label").alias("grp")), "k")
+    candidates = sets.withColumnRenamed("k", "cid").join(groups.select(F.col("node").alias("cid"), F.col("label").alias("grp")), "cid")
     linked = stage_table(_products(_block_rows(candidates, spread), num, den), "links")
-    counts = linked.groupBy("cid").agg(F.sum("links").alias("links"))
+    counts = linked.groupBy(F.col("cid").alias("k")).agg(F.sum("links").alias("links"))
     final = connected_components(linked.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
-    named = classes.join(final, F.col("d1") == F.col("node"), "left").join(counts, F.col("d1") == F.col("cid"), "left")
-    named = named.select("d1", "d2", "low_id", "weight", F.coalesce("label", "d1").alias("label"), F.col("label").isNull().alias("alone"), F.coalesce("links", F.lit(0)).alias("links"))
+    tied = kept.select("d1", "d2", "k").join(final.select(F.col("node").alias("k"), "label"), "k").join(counts, "k").drop("k")
+    named = classes.join(tied, ["d1", "d2"], "left")
+    named = named.select("d1", "d2", "low_id", "weight", "label", F.col("label").isNull().alias("alone"), F.coalesce("links", F.lit(0)).alias("links"))
     named = stage_table(named, "named")
     lowest = named.where("not alone").groupBy("label").agg(F.min("low_id").alias("component_id"))
     named = named.join(lowest, "label", "left").select("d1", "d2", F.when(F.col("alone"), F.col("low_id")).otherwise(F.col("component_id")).alias("component_id"), (F.col("weight") - 1 + F.col("links")).alias("n_links"))
