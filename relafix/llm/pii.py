@@ -8,8 +8,9 @@ much a term reveals about an entity.  With ``n`` for numbers of documents,
     PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e)))    what the term tells about it
     disclosure(t) = max over e of PMI(t; e) / IC(e)  1: where t is, e is
 
-where ``n(t, e)`` counts documents that have both, wherever in them they stand.  Terms above ``remove_at`` are removed and terms above ``generalise_at``
-replaced by a placeholder, wherever in the corpus they stand.  A pair counts only if it
+where ``n(t, e)`` counts documents that have both, wherever in them they stand.  Terms
+above ``remove_at`` are removed and terms above ``generalise_at`` replaced by the class
+of entity they tell of, wherever in the corpus they stand.  A pair counts only if it
 is seen in ``support`` different contexts, so copies prove nothing: different texts that
 have both, or different surroundings of the entity that have the term.
 
@@ -146,7 +147,9 @@ def _entity(span: Column) -> Column:
 def disclosing_terms(
     docs: DataFrame, found: DataFrame, text: Column, support: int = 3, generalise_at: float = 0.8, reach: int = 64, broadcast_rows: int = 200_000
 ) -> DataFrame | None:
-    """Terms with ``disclosure`` of at least ``generalise_at``; None if no pair has the support.
+    """``term, disclosure, kind`` of terms that disclose at least ``generalise_at``; None if no pair has the support.
+
+    ``kind`` is that of the entity a term tells most about (of equal ones the first of ``KINDS``).
 
     ``docs`` is counted for ``N`` and ``n(t)``, whole texts of all rows; ``found``
     is the same rows with ``base_spans``.  ``reach`` bounds the surroundings of a
@@ -189,8 +192,9 @@ def disclosing_terms(
     corpus = corpus.join(bounded_broadcast(hopeful.select("term").distinct(), broadcast_rows), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     revealed = F.log2(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     information = -F.log2(F.col("n_entity") / total)
-    scored = hopeful.join(corpus, "term")
-    return cut(scored.groupBy("term").agg(F.max(revealed / information).alias("disclosure")).where(F.col("disclosure") >= generalise_at))
+    scored = hopeful.join(corpus, "term").withColumn("told", revealed / information).where(F.col("told") >= generalise_at)
+    most = F.max_by("entity.kind", F.struct("told", -F.col("entity.kind")))
+    return cut(scored.groupBy("term").agg(F.max("told").alias("disclosure"), most.alias("kind")))
 
 
 def _quoted(terms: Column) -> Column:
@@ -199,12 +203,15 @@ def _quoted(terms: Column) -> Column:
 
 
 def find_personal_data(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.9, broadcast_rows: int = 200_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.9, reach: int = 64, broadcast_rows: int = 200_000
 ) -> DataFrame:
     """``docs`` with ``found`` and ``told``: the spans of patterns and of disclosing terms.
 
     ``found`` holds (kind, start, end, value), kind a place in ``KINDS``; ``told``
-    holds (start, end, value, disclosure).  One row per row of ``docs``.  Null and
+    holds (start, end, value, disclosure, kind), the kind of entity that the term tells
+    of.  Terms are whole runs of letters and digits of any length; they are counted in
+    whole texts, and ``reach`` only bounds what counts as a further context of a
+    mention.  One row per row of ``docs``.  Null and
     empty texts have no spans.  Null and repeated ids and repeated rows are kept:
     terms are matched by id and text together.  An empty table gives an empty
     result.  ``docs`` must not have columns ``found`` or ``told`` of its own;
@@ -212,38 +219,44 @@ def find_personal_data(
     """
     text = F.col(text_col)
     found = base_spans(docs, text)
-    flagged = disclosing_terms(docs, found, text, support, generalise_at, broadcast_rows=broadcast_rows)
-    none = F.array().cast("array<struct<start:int,end:int,value:string,disclosure:double>>")
+    flagged = disclosing_terms(docs, found, text, support, generalise_at, reach, broadcast_rows)
+    none = F.array().cast("array<struct<start:int,end:int,value:string,disclosure:double,kind:int>>")
     if flagged is None or flagged.isEmpty():
         return found.withColumn("told", none)
     key = [F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash")]
     words = docs.select(*key, text.alias("__text"))
     hits = words.select("__id", "__hash", F.explode(_terms(F.col("__text"))).alias("term")).join(bounded_broadcast(flagged, broadcast_rows), "term")
-    hits = hits.groupBy("__id", "__hash").agg(F.collect_set(F.struct("term", "disclosure")).alias("hits"))
+    hits = hits.groupBy("__id", "__hash").agg(F.collect_set(F.struct("term", F.struct("disclosure", "kind").alias("level"))).alias("hits"))
     hits = stage_table(hits, "hits")
     keyed = found.withColumn("__id", F.col(id_col)).withColumn("__hash", F.xxhash64(text_col)).alias("d")
     right = bounded_broadcast(hits, broadcast_rows).alias("h")
     joined = keyed.join(right, F.col("d.__id").eqNullSafe(F.col("h.__id")) & (F.col("d.__hash") == F.col("h.__hash")), "left").select("d.*", "h.hits").drop("__id", "__hash")
     pattern = _quoted(F.transform("hits", lambda h: h["term"]))
     spans = _positions(F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, F.lit(-1)))
-    level = F.map_from_entries("hits")
-    told = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.coalesce(F.try_element_at(level, F.lower(s["value"])), F.lit(remove_at)).alias("disclosure")))
+    levels = F.map_from_entries("hits")
+
+    def labelled(span: Column) -> Column:
+        level = F.try_element_at(levels, F.lower(span["value"]))
+        return F.struct(span["start"].alias("start"), span["end"].alias("end"), span["value"].alias("value"), F.coalesce(level["disclosure"], F.lit(remove_at)).alias("disclosure"), level["kind"].alias("kind"))
+
+    told = F.transform(spans, labelled)
     return joined.withColumn("told", F.when(F.col("hits").isNotNull(), told).otherwise(none)).drop("hits")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", remove_at: float = 0.9, **options) -> DataFrame:
     """``docs`` with personal data replaced by ``[EMAIL]`` and the like.
 
-    Disclosing terms become ``[TERM]`` or go, by their disclosure.  Where spans
+    Disclosing terms go, or are generalised to the class of what they tell of
+    (``[EMAIL TERM]``), by their disclosure.  Where spans
     overlap, the first one's placeholder stands for all.  Keeps the columns of
     ``docs``; ``chars_col``, where present, is counted anew for changed rows.
     Texts without spans, null and empty ones too, stay as they are.
     """
     packed = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__body"), F.struct("*").alias("__row"))
     found = find_personal_data(packed, "__doc", "__body", remove_at=remove_at, **options)
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    names, hints = (F.array(*[F.lit(f"[{k.upper()}{more}]") for k in KINDS]) for more in ("", " TERM"))
     base = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("put")))
-    terms = F.transform("told", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["disclosure"] >= remove_at, F.lit("")).otherwise(F.lit("[TERM]")).alias("put")))
+    terms = F.transform("told", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["disclosure"] >= remove_at, F.lit("")).otherwise(F.element_at(hints, s["kind"] + 1)).alias("put")))
     spans = F.sort_array(F.concat(base, terms))
     text = F.col("__body")
 

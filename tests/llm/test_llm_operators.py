@@ -550,6 +550,8 @@ def test_disclosing_terms(spark, odd_docs, no_docs):
     assert told[999] == "term:13:21" and told[0] == "term:32:40,email:48:66" and told[100] == ""
     clean = {r.doc_id: r for r in pii.sanitise(df).collect()}
     assert "orblatt" not in clean[0].text and "[EMAIL]" in clean[0].text and clean[0].n_chars == len(clean[0].text) and clean[100].text == rows[6][1]
+    general = {r.doc_id: r.text for r in pii.sanitise(df, remove_at=2.0).collect()}
+    assert general[999] == "a mention of [EMAIL TERM] alone" and "[EMAIL TERM]" in general[0]
     assert pii.sanitise(odd_docs).columns == odd_docs.columns and pii.sanitise(odd_docs).count() == odd_docs.count()
     assert pii.sanitise(no_docs).count() == 0 and pii.personal_data_digest(no_docs).count() == 0
 
