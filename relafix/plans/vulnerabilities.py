@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from relafix.functions.scalar import exported, sdk_below
 from relafix.operators import flow, pointsto
 from relafix.operators.fixpoint import Relations, fixpoint
+from relafix.storage import bounded_broadcast
 
 # Fixed scores of findings.
 METHOD_SCORE, CONSTANT_SCORE, MANIFEST_SCORE = 0.5, 0.3, 5.0
@@ -43,7 +44,7 @@ def literal_misuse(facts: dict[str, DataFrame], rules: DataFrame) -> DataFrame:
     any of them may accept.
     """
     shared = rules.groupBy("sig").agg(F.max_by("arg_idx", "rule").alias("arg_idx"), F.max_by("desc", "rule").alias("desc"))
-    calls = facts["invoke"].join(F.broadcast(shared), facts["invoke"]["target_sig"] == shared["sig"])  # rules are a short list
+    calls = facts["invoke"].join(bounded_broadcast(shared, 100_000), facts["invoke"]["target_sig"] == shared["sig"])
     calls = calls.select("method", "idx", "sig", "desc", F.try_element_at("args", F.col("arg_idx") + 1).alias("value")).where("value is not null")
     assigned = facts["operand"].where("role = 'def' and kind = 'local'").select("method", "idx", F.col("text").alias("local"))
     constant = facts["operand"].where("role = 'use' and kind = 'const'").select("method", "idx", F.col("text").alias("constant"))

@@ -2,7 +2,7 @@
 
 Everything written here lands under the folder that the session names in
 ``spark.checkpoint.dir``; a folder of our own is used only where that setting is
-missing, which is the case in local tests.  ``localCheckpoint`` is never used: a
+missing and the master is local, which is the case in tests.  ``localCheckpoint`` is never used: a
 lost executor must not take an intermediate table with it.
 """
 
@@ -25,6 +25,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if root is None and current.isDefined():
         return current.get()
     if root is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {_SETTING} to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="relafix-")
     if not current.isDefined():
         context.setCheckpointDir(root)
@@ -59,12 +61,23 @@ def stage_table(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
+def bounded_broadcast(df: DataFrame, max_rows: int, max_bytes: int = 256 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows and ``max_bytes`` bytes, else as it is.
 
-    The count is taken first, so nothing of unknown size is ever broadcast; the
-    join that follows is a shuffled one beyond the bound.
+    Rows are counted first, task by task, on a table that is written already or cheap
+    to make; strings, arrays and binary columns are measured with them.  Beyond either
+    bound the join that follows is a shuffled one.
     """
     from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    from pyspark.sql import types as T
+
+    width = F.lit(16)
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{field.name}`")))), F.lit(0))
+        else:
+            width = width + F.lit(8)
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
