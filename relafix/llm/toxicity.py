@@ -216,13 +216,13 @@ def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
                 n = np.bincount(back, minlength=len(terms))
                 yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n - toxic), pa.array(toxic)], names=["term", "clean", "toxic"])
 
-    counts = train.mapInArrow(by_term, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()  # words of max_labelled texts
+    counts = train.mapInArrow(by_term, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # words of max_labelled texts
     sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
-    hashes = counts["term"].to_numpy(np.int64).view(np.uint64)
+    hashes = counts["term"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     vocabulary = hashes[order]
-    told = relevance(counts["clean"].to_numpy(float)[order], counts["toxic"].to_numpy(float)[order], n_clean, n_toxic)
+    told = relevance(counts["clean"].to_numpy()[order], counts["toxic"].to_numpy()[order], n_clean, n_toxic)
     weight = told * _corpus_idf(docs, text_col, vocabulary)
     examples, drawn = _examples(train, sizes, max_examples)
     draw = tuple(sizes.get(y, 0) / max(1, drawn[y]) for y in (0, 1))
@@ -247,9 +247,9 @@ def _corpus_idf(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> np.nd
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(found[some])], names=["term", "n"])
 
     parts = docs.select(plain_words(F.col(text_col)).alias("text")).mapInArrow(count, "term int, n long")
-    rows = parts.groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # vocabulary + 1 rows
+    rows = parts.groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # vocabulary + 1 rows
     found = np.zeros(len(vocabulary) + 1)
-    found[rows["term"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
+    found[rows["term"].to_numpy()] = rows["n"].to_numpy()
     return np.log((1 + found[-1]) / (1 + found[:-1])) + 1.0
 
 
