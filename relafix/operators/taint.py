@@ -63,10 +63,17 @@ def leaks(taints: DataFrame, sinks: DataFrame) -> DataFrame:
 
 
 def drop_entailed(found: DataFrame) -> DataFrame:
-    """Leaks without those that a shorter path at the same sink, base and origin stands for."""
-    short = found.select("sink", "base", "origin", F.col("fields").alias("by"))
-    longer = found.join(short, ["sink", "base", "origin"]).where((F.size("by") < F.size("fields")) & is_prefix(F.col("by"), F.col("fields"))).select(*found.columns)
-    return found.join(longer, found.columns, "left_anti")
+    """Leaks without those that a shorter path at the same sink, base and origin stands for.
+
+    A path's own prefixes are made and looked up, so paths are never compared pair by pair.
+    """
+    key = ["sink", "base", "origin", "fields"]
+    sizes = F.sequence(F.lit(0), F.size("fields") - 1)
+    prefixes = F.when(F.size("fields") > 0, F.transform(sizes, lambda n: F.slice("fields", F.lit(1), n)))
+    shorter = found.select(*key, F.explode(prefixes).alias("by"))
+    by = found.select("sink", "base", "origin", F.col("fields").alias("by")).distinct()
+    entailed = shorter.join(by, ["sink", "base", "origin", "by"], "left_semi").select(*key).distinct()
+    return found.join(entailed, key, "left_anti").select(*found.columns)
 
 
 def paths(taints: DataFrame, found: DataFrame) -> DataFrame:

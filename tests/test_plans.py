@@ -34,16 +34,16 @@ def test_closure_of_every_nation(spark, small):
     path, orders, _ = small
     edges = {(f"n{c % 7}", f"c{c}") for c in range(20)} | {(f"n{6}", f"s{s}") for s in range(1, 5)} | {(f"c{c}", f"o{o}") for o, c, _ in orders}
     want = {f"n{n}": len(reached(edges, f"n{n}")) for n in range(7)}
-    assert {r.origin: r.n_reached for r in catalogue.QUERIES["closure_by_every_origin"](spark, path).collect()} == want
+    assert {r.origin: r.n_reached for r in catalogue.QUERIES["closure_by_origin"](spark, path).collect()} == want
 
 
 def test_reachability_and_components_use_all_lines(spark, small):
     path, orders, lines = small
     ties = {(f"p{p}", f"s{s}") for _, p, s, _ in lines}
-    got = {r.node for r in catalogue.QUERIES["cyclic_reachability_all_lines"](spark, path).collect()}
+    got = {r.node for r in catalogue.QUERIES["cyclic_reachability"](spark, path).collect()}
     assert got == reached(ties | {(b, a) for a, b in ties}, "s1") | {"s1"} and len(got) > 1
     customer = {o: c for o, c, _ in orders}
     ties = {(customer[o], s + 1_000_000) for o, _, s, _ in lines}
     both = ties | {(b, a) for a, b in ties}
     want = {node: min(reached(both, node) | {node}) for pair in ties for node in pair}
-    assert {r.node: r.component for r in catalogue.QUERIES["connected_components_all_orders"](spark, path).collect()} == want
+    assert {r.node: r.component for r in catalogue.QUERIES["connected_components"](spark, path).collect()} == want
