@@ -88,8 +88,14 @@ def _fresh(rows: DataFrame, old: DataFrame) -> DataFrame:
     return rows.join(old, on, "left_anti")
 
 
+def by_source(edges: DataFrame) -> DataFrame:
+    """``src, dst`` written once, dealt by source, so that rounds neither derive nor read the whole plan again."""
+    return cut(edges.select("src", "dst").repartition("src"))
+
+
 def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``node`` values reachable from ``seeds(node)`` over ``edges(src, dst)``, seeds included."""
+    edges = by_source(edges)
 
     def step(known: Relations, delta: Relations) -> Relations:
         return {"reach": delta["reach"].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"))}

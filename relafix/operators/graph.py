@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relafix.operators.fixpoint import Relations, fixpoint
+from relafix.operators.fixpoint import Relations, by_source, fixpoint
 
 
 def inverse(edges: DataFrame) -> DataFrame:
@@ -30,6 +30,7 @@ def tails(edges: DataFrame) -> DataFrame:
 
 def reach_from(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``origin, node``: what each seed (``origin``) reaches over one edge or more."""
+    edges = by_source(edges)
 
     def step(known: Relations, delta: Relations) -> Relations:
         return {"r": delta["r"].join(edges, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"))}
@@ -53,6 +54,7 @@ def transitive_closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 def depths(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``node, depth``: shortest number of edges from any seed; a topological order for layered graphs."""
+    edges = by_source(edges)
 
     def step(known: Relations, delta: Relations) -> Relations:
         further = delta["d"].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
@@ -63,6 +65,7 @@ def depths(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFr
 
 def longest_depths(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``node, depth``: longest path from a head, for acyclic graphs; ascending depth is a topological order."""
+    edges = by_source(edges)
 
     def step(known: Relations, delta: Relations) -> Relations:
         return {"d": delta["d"].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))}
@@ -73,7 +76,7 @@ def longest_depths(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
 
 def components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``node, component``: weakly connected components, named by their smallest node."""
-    both = edges.select("src", "dst").union(inverse(edges).select("src", "dst")).distinct()
+    both = by_source(edges.select("src", "dst").union(inverse(edges).select("src", "dst")).distinct())
 
     def step(known: Relations, delta: Relations) -> Relations:
         low = known["c"].groupBy("node").agg(F.min("component").alias("best"))
