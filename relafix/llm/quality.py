@@ -74,8 +74,12 @@ _N_CONTENT = len(content_features(""))
 
 
 def _features(texts, langs, sources, sizes) -> np.ndarray:
-    rows = [content_features(text or "") + metadata_features(lang, source, size) for text, lang, source, size in zip(texts, langs, sources, sizes, strict=True)]
-    return np.array(rows, dtype=float).reshape(len(rows), _N_CONTENT + _HASHED + 2)
+    # filled row by row: lists of boxed numbers for a whole batch would stay with the worker
+    x = np.empty((len(texts), _N_CONTENT + _HASHED + 2), np.float32)
+    for i, (text, lang, source, size) in enumerate(zip(texts, langs, sources, sizes, strict=True)):
+        x[i, :_N_CONTENT] = content_features(text or "")
+        x[i, _N_CONTENT:] = metadata_features(lang, source, size)
+    return x
 
 
 @dataclass
@@ -297,7 +301,7 @@ def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = _features(b["text"], b["lang"], b["source"], b["n_chars"]).astype(np.float32)
+            x = _features(b["text"], b["lang"], b["source"], b["n_chars"])
             known = b["__label"].notna().to_numpy(bool)
             yield pd.DataFrame({"id": b["__id"][known], "label": b["__label"][known].astype(int), "n": 1, "x": [r.tobytes() for r in x[known]], "lot": b""})
             free = np.flatnonzero(~known)
