@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relafix.llm.components import connected_components
-from relafix.llm.shingles import set_digests, shingle_sets
+from relafix.llm.shingles import give_back, set_digests, shingle_sets
 from relafix.storage import bounded_broadcast, stage_table
 
 #: A prefix n-gram (the low half of its hash: a block holds so few that halves seldom meet, and a
@@ -71,6 +71,7 @@ def _signatures(docs: DataFrame, n: int) -> DataFrame:
             if sizes:
                 arrays = [batch.column("doc_id"), batch.column("tie"), *[pa.array(np.concatenate(x)) for x in (sizes, first, second)]]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "tie", "n_shingles", "d1", "d2"])
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, tie long, n_shingles long, d1 long, d2 long")
 
@@ -125,6 +126,8 @@ def _possible(docs: DataFrame, n: int, num: int, den: int, n_blocks: int) -> Dat
                     hashes, classes, held = [], [], 0
         if held:
             yield from _send(np.concatenate(hashes), np.concatenate(classes), n_blocks)
+        hashes, classes = [], []
+        give_back()
 
     def reduce(key: tuple, table: pa.Table) -> pa.Table:
         entries = np.frombuffer(b"".join(table.column("payload").to_pylist()), _ENTRY)
@@ -167,6 +170,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 ends = np.append(0, np.cumsum(counts)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(counts), lists], names=["d1", "d2", "n", "grams"])
+        give_back()
 
     return docs.mapInArrow(run, "d1 long, d2 long, n long, grams array<long>").where("n > 0")
 
@@ -240,7 +244,7 @@ def _products(blocks: DataFrame, num: int, den: int) -> DataFrame:
             some = links > 0
             out.append((ids[some], links[some], label[some]))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-        pa.default_memory_pool().release_unused()
+        give_back()
         return pa.table({"cid": columns[0], "links": columns[1], "root": columns[2]})
 
     return blocks.groupBy("part", "left", "right").applyInArrow(run, "cid long, links long, root long")

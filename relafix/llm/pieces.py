@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relafix.llm.shingles import give_back
+
 SPACE = "▁"
 #: Stands for a U+2581 of the text itself; a lone surrogate cannot be in a text.
 _LITERAL = "\udfff"
@@ -41,7 +43,7 @@ class PieceModel:
     fall back to byte pieces.
     """
 
-    def __init__(self, pieces: list[tuple[str, float, int]], byte_ids: list[int], dummy_prefix: bool = True, cache: int = 500_000):
+    def __init__(self, pieces: list[tuple[str, float, int]], byte_ids: list[int], dummy_prefix: bool = True, cache: int = 250_000):
         self.ids = {p: i for p, _, i in pieces}
         self.byte_ids, self.dummy_prefix, self.cache_size = byte_ids, dummy_prefix, cache
         self.width = max((len(p) for p in self.ids), default=1)
@@ -204,6 +206,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(flat))])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([s is None for s in sizes]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int32()), lists, pa.array(exact, pa.bool_())], names=["doc_id", "n_ids", "ids", "exact"])
+        give_back()
 
     return packed.mapInArrow(run, schema)
 

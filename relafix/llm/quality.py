@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relafix.llm.linear import Logistic, fit, sigmoid
+from relafix.llm.shingles import give_back
 from relafix.storage import stage_table
 
 _SIGNS = list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -126,6 +127,7 @@ class Blocks(Rows):
                     total = total + work(np.frombuffer(x, np.float32).reshape(n, -1).astype(float), np.frombuffer(lot, np.float64))
             if np.ndim(total):
                 yield pd.DataFrame({"total": [total.tobytes()]})
+            give_back()
 
         parts = [np.frombuffer(r["total"]) for r in self.blocks.mapInPandas(added, "total binary").collect()]
         return np.sum(parts, axis=0) if parts else work(np.zeros((0, _width())), np.zeros(0))
@@ -308,6 +310,7 @@ def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
             for at in range(0, len(free), _ROWS):
                 part = free[at : at + _ROWS]
                 yield pd.DataFrame({"id": [None], "label": [-1], "n": [len(part)], "x": [x[part].tobytes()], "lot": [b["lot"].to_numpy(float)[part].tobytes()]})
+        give_back()
 
     packed = stage_table(rows.mapInPandas(features, "id string, label int, n int, x binary, lot binary"), "features")
     sample = packed.where("label >= 0").select("id", "label", "x").toPandas().drop_duplicates("id").sort_values("id")  # bounded by max_labelled
