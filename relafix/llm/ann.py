@@ -229,7 +229,7 @@ def nearest_neighbours(
     Rows take no part if the id is null or the vector is null, zero, or holds
     null or non-finite components, or is not of the most common length (of equally
     common ones the longest).  ``beam`` nodes are kept in a search, which ends when all of
-    them are opened, ``opened`` at a time.  A table of no more than ``beam`` different
+    them are opened, ``opened`` at a time over the first rounds.  A table of no more than ``beam`` different
     vectors is searched in full.  Rows with equal vectors tie and are all candidates.
     Repeated ids are one candidate for each different vector.  An empty table gives
     an empty result; other columns are not looked at.
@@ -274,7 +274,9 @@ def nearest_neighbours(
     state = asked.mapInPandas(begin, "query long, q binary, ids array<long>, sims array<float>, errs array<float>, done array<boolean>, frontier array<long>")
     ended = []
     while True:
-        state = stage_table(_walk(state, search, beam, opened if ended else 1, dim), "walk")
+        # a beam that has settled is opened in full, which must come anyway and takes fewer rounds
+        wide = 1 if not ended else opened if len(ended) < 5 else beam
+        state = stage_table(_walk(state, search, beam, wide, dim), "walk")
         ended.append(state.where(F.size("frontier") == 0).select("query", "ids", "sims", "errs"))
         state = state.where(F.size("frontier") > 0)
         if state.isEmpty():
