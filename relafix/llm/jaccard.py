@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relafix.llm.components import connected_components
-from relafix.llm.shingles import give_back, set_digests, shingle_sets
+from relafix.llm.shingles import give_back, set_digests, shingle_sets, small_batches
 from relafix.storage import bounded_broadcast, stage_table
 
 #: A prefix n-gram (the low half of its hash: a block holds so few that halves seldom meet, and a
@@ -285,6 +285,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is named by a null only if it has no other.  An empty table gives an empty
     result; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
     signed = stage_table(_signatures(texts, n), "signatures")
     classes = stage_table(

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relafix.llm.shingles import give_back
+from relafix.llm.shingles import give_back, small_batches
 
 SPACE = "▁"
 #: Stands for a U+2581 of the text itself; a lone surrogate cannot be in a text.
@@ -187,6 +187,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     repeated ids and repeated rows stay as they are; an empty table gives an empty
     result and other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     name = _shipped(docs.sparkSession, model_path)
     packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([packed.schema["doc_id"], T.StructField("n_ids", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])

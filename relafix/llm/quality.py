@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relafix.llm.linear import Logistic, fit, sigmoid
-from relafix.llm.shingles import give_back
+from relafix.llm.shingles import give_back, small_batches
 from relafix.storage import stage_table
 
 _SIGNS = list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -339,6 +339,7 @@ def score_quality(
     id and text.  Without labels all scores are 0.5; an empty table gives an empty
     result.  Columns of ``docs`` with the names of the scores are replaced.
     """
+    small_batches(docs.sparkSession)
     model = _model(docs, labels, id_col, text_col, label_col, meta_cols, max_labelled, rounds)
     names = ("quality_score", "content_score", "metadata_score")
 

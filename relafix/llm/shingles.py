@@ -12,7 +12,9 @@ import ctypes
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -24,6 +26,15 @@ _ORDER = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = _U(0x9E3779B97F4A7C15)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts reach Python workers in batches of 4 MB, unless the session sets ``spark.sql.execution.arrow.maxBytesPerBatch``.
+
+    A batch of 10,000 rows, the other bound, has no limit of its own when texts are long.
+    """
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, "4m")
+
+
 def give_back() -> None:
     """Returns a worker's free memory to the machine at the end of a task, where the C library can."""
     pa.default_memory_pool().release_unused()

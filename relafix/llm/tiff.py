@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relafix.llm.shingles import small_batches
+
 # Fixed values of the TIFF 6.0 format.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -313,6 +315,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts = [bytes(b) for b in batch["body"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len(b) for b in texts], "media": [store(b.ljust(max(64, -(-len(b) // 64) * 64), b"\0")) for b in texts]})
 
+    small_batches(docs.sparkSession)
     packed = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("body"))
     return packed.mapInPandas(pack, T.StructType([T.StructField("doc_id", packed.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from relafix.llm.linear import Logistic, fit, sigmoid
 from relafix.llm.quality import labelled_sample
-from relafix.llm.shingles import word_counts
+from relafix.llm.shingles import small_batches, word_counts
 from relafix.storage import stage_table
 
 _BASE_VOTES = 0.3  # weight of the base rate among the votes
@@ -297,6 +297,7 @@ def score_toxicity(
     Without labels the score is what the base rate says, and an empty table gives
     an empty result.  Other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     index, calibration = _learn(docs, labels, id_col, text_col, label_col, k, max_labelled, max_examples)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
