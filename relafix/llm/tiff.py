@@ -2,7 +2,9 @@
 
 ``read_pages`` walks the image directories of each file, decodes PackBits, LZW
 or deflate strips and tiles, undoes the horizontal predictor and emits the
-samples of each page, row by row.  ``encode`` writes such files.
+samples of each page, row by row.  ``encode`` writes such files.  Samples have 8, 16
+or 32 bits; pages of 1, 2 or 4 bits a sample and those with the floating-point
+predictor are not decoded: their row has an ``error`` and null samples.
 """
 
 from __future__ import annotations
