@@ -162,6 +162,19 @@ def natural_loops(edges: DataFrame, dom: DataFrame) -> DataFrame:
     return fixpoint({"body": back.union(own)}, step)["body"]
 
 
+def loop_nest(bodies: DataFrame) -> DataFrame:
+    """``head, parent, depth``: the smallest other loop around each loop of ``bodies(head, node)``; outermost have depth 1 and no parent.
+
+    Of equally small ones the smallest head.  Loops of a reducible graph are nested or disjoint.
+    """
+    heads = bodies.select("head").distinct()
+    size = bodies.groupBy("head").agg(F.count("*").alias("n"))
+    around = bodies.where("head <> node").join(heads.select(F.col("head").alias("node")), "node").select(F.col("node").alias("inner"), "head").join(size, "head")
+    own = size.select(F.col("head").alias("inner"), F.col("n").alias("own"))
+    outer = around.join(own, "inner").where("n > own").groupBy("inner").agg(F.min_by("head", F.struct("n", "head")).alias("parent"), (F.count("*") + 1).alias("depth"))
+    return heads.join(outer, F.col("head") == F.col("inner"), "left").select("head", "parent", F.coalesce("depth", F.lit(1)).cast("int").alias("depth"))
+
+
 def control_dependence(edges: DataFrame, leave) -> DataFrame:
     """``node, on``: ``node`` runs or not by the branch taken at ``on`` (frontier of post-dominance)."""
     turned = inverse(edges)

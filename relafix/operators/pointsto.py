@@ -18,6 +18,15 @@ def subtypes(classes: DataFrame) -> DataFrame:
     return transitive_closure(up.distinct()).select(F.col("src").alias("sub"), F.col("dst").alias("super")).union(own).distinct()
 
 
+def least_upper_bounds(pairs: DataFrame, subtype: DataFrame) -> DataFrame:
+    """``a, b, bound``: common supertypes of each pair that no other common supertype is below; several with interfaces."""
+    left, right = subtype.select(F.col("sub").alias("a"), F.col("super").alias("bound")), subtype.select(F.col("sub").alias("b"), F.col("super").alias("bound"))
+    common = cut(pairs.select("a", "b").distinct().join(left, "a").join(right, ["b", "bound"]).select("a", "b", "bound"))
+    strict = subtype.where("sub <> super").select(F.col("sub").alias("below"), F.col("super").alias("bound"))
+    beaten = common.withColumnRenamed("bound", "below").join(strict, "below").select("a", "b", "bound")
+    return common.join(beaten, ["a", "b", "bound"], "left_anti")
+
+
 def dispatch_table(classes: DataFrame, methods: DataFrame) -> DataFrame:
     """``class, subsig, target``: the first declaration found walking up superclasses.
 

@@ -24,6 +24,27 @@ def is_prefix(short: Column, long: Column) -> Column:
     return F.slice(long, F.lit(1), F.size(short)) == short
 
 
+def without_first(fields: Column) -> Column:
+    """The path seen from its first field; the empty path stays."""
+    return F.slice(fields, F.lit(2), F.greatest(F.size(fields) - 1, F.lit(0)))
+
+
+def without_last(fields: Column) -> Column:
+    """The path of the object that holds the last field; the empty path stays."""
+    return F.slice(fields, F.lit(1), F.greatest(F.size(fields) - 1, F.lit(0)))
+
+
+def rebased(fields: Column, base_fields: Column, old_base_fields: Column, limit: int) -> Column:
+    """``fields`` with ``base_fields`` instead of its prefix ``old_base_fields``, cut to ``limit``; null if that is no prefix."""
+    rest = F.slice(fields, F.size(old_base_fields) + 1, F.greatest(F.size(fields) - F.size(old_base_fields), F.lit(0)))
+    return F.when(is_prefix(old_base_fields, fields), appended(base_fields, rest, limit)[0])
+
+
+def n_sinks(found: DataFrame) -> DataFrame:
+    """``origin, n_sinks``: how many sinks each source leaks into."""
+    return found.groupBy("origin").agg(F.count_distinct("sink").alias("n_sinks"))
+
+
 def propagate(cfg: DataFrame, assigns: DataFrame, sources: DataFrame, limit: int = 5, max_rounds: int = 1000) -> DataFrame:
     """``node, base, fields, cut, pred_node, origin``: taints before each node, with the node they came over.
 

@@ -133,3 +133,32 @@ def repeated_expressions(cfg: DataFrame, computed: DataFrame, defs: DataFrame, p
     live = gen.join(kill, ["method", "node", "fact"], "left_anti")
     available = flow.must_flow(cfg, live, kill, entry)
     return computed.join(available.withColumnRenamed("fact", "expr"), ["method", "node", "expr"], "left_semi")
+
+
+def loop_invariants(bodies: DataFrame, computed: DataFrame, operands: DataFrame, defs: DataFrame) -> DataFrame:
+    """``method, head, node, expr``: computations in a loop none of whose operands the loop defines.
+
+    ``bodies(method, head, node)``; ``operands(method, expr, local)``; expressions without
+    operands are invariant everywhere.
+    """
+    inside = bodies.join(computed, ["method", "node"]).select("method", "head", "node", "expr")
+    written = bodies.join(defs, ["method", "node"]).select("method", "head", "local").distinct()
+    varies = written.join(operands, ["method", "local"]).select("method", "head", "expr").distinct()
+    return inside.join(varies, ["method", "head", "expr"], "left_anti").select("method", "head", "node", "expr")
+
+
+def bypassed(cfg: DataFrame, skipped: DataFrame) -> DataFrame:
+    """``method, src, dst``: edges with the nodes of ``skipped(method, node)`` taken out: no-ops, and jumps that only lead to jumps.
+
+    An edge into a run of such nodes goes to where the run leads; one that leads nowhere else, such
+    as a jump to itself, is left out with its edge.
+    """
+    edges = cfg.select("method", "src", "dst").distinct()
+    gone = skipped.select("method", F.col("node").alias("dst")).distinct()
+    on = edges.join(gone.withColumnRenamed("dst", "src"), ["method", "src"], "left_semi").select("method", F.col("src").alias("dst"), F.col("dst").alias("to"))
+    kept = edges.join(gone.withColumnRenamed("dst", "src"), ["method", "src"], "left_anti")
+
+    def step(known: Relations, delta: Relations) -> Relations:
+        return {"e": delta["e"].join(on, ["method", "dst"]).select("method", "src", F.col("to").alias("dst"))}
+
+    return fixpoint({"e": kept}, step)["e"].join(gone, ["method", "dst"], "left_anti").select("method", "src", "dst")
