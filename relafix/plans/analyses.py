@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relafix.operators import exceptions, graph, motion, nullness, pointsto, taint
+from relafix.operators import carried, exceptions, graph, motion, nullness, pointsto, taint
 from relafix.plans import core, entrypoints, passes
 from relafix.plans.catalogue import register
 from relafix.tables import table
@@ -206,3 +206,63 @@ def callback_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     interfaces = spark.createDataFrame([("R1", "m"), ("R3", "m")], "interface string, subsig string")
     calls = spark.createDataFrame([], "src string, tgt string")
     return entrypoints.callbacks(entries, calls, made[0].union(made[1]), subtype, dispatch, interfaces)[1]
+
+
+def _asking(spark: SparkSession, sf_dir: str) -> tuple[carried.Program, DataFrame, DataFrame]:
+    """Turns as a program: a user's sets ``y`` by a call on ``x``, an assistant's makes a new ``x``, others copy ``y`` to ``x``.
+
+    The callee returns its argument or a new object.  The second table is what is made, the third the turns.
+    """
+    turns = core._turns(spark, sf_dir)
+    here = core._node().alias("node")
+    asks, makes, others = turns.where("asks"), turns.where("answers AND NOT asks"), turns.where("NOT asks AND NOT answers")
+
+    def row(schema: str, *lines: str) -> DataFrame:
+        return spark.createDataFrame([tuple(x.split()) for x in lines], schema)
+
+    def fixed(*pairs: tuple[str, str]) -> list:
+        return [F.lit(v).alias(n) for n, v in pairs]
+
+    sets = asks.select(here, *fixed(("local", "y"))).union(turns.where("NOT asks").select(here, *fixed(("local", "x")))).union(row("node string, local string", "ask:1 q", "ask:2 q"))
+    program = carried.Program(
+        edges=turns.select(core._node().alias("src"), core._node(1).alias("dst")).union(row("src string, dst string", "ask:0 ask:1", "ask:0 ask:2", "ask:1 ask:3", "ask:2 ask:3")),
+        starts=row("method string, node string", "ask ask:0"),
+        exits=row("method string, node string", "ask ask:3"),
+        defs=sets,
+        copies=others.select(here, *fixed(("local", "x"), ("source", "y"))).union(row("node string, local string, source string", "ask:1 q p")),
+        arguments=asks.select(here, *fixed(("callee", "ask"), ("arg", "x"), ("param", "p"))),
+        results=asks.select(here, *fixed(("callee", "ask"), ("value", "q"), ("local", "y"))),
+    )
+    made = makes.select(here, *fixed(("local", "x")), F.concat(F.lit("A"), (F.col("node") % 3).cast("string")).alias("type"))
+    return program, made.union(row("node string, local string, type string", "ask:2 q Ask")), turns
+
+
+@register(
+    "possible_types",
+    f"""WITH RECURSIVE {core._TURNS}, r AS (SELECT method, node + 1 AS node, 'x' AS local, 'A' || node % 3 AS type FROM turns WHERE answers AND NOT asks UNION SELECT method, node + 1, 'y', 'Ask' FROM turns WHERE asks
+      UNION SELECT r.method, t.node + 1, v.local, r.type FROM r JOIN turns t ON t.method = r.method AND t.node = r.node CROSS JOIN (VALUES ('x'), ('y')) v(local)
+      WHERE CASE WHEN t.asks THEN r.local = 'x' WHEN t.answers THEN r.local = 'y' AND v.local = 'y' ELSE r.local = 'y' END)
+    SELECT method || ':' || node AS node, local, type FROM r""",
+)
+def possible_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the locals of a conversation may hold, over the calls of its users."""
+    program, made, _ = _asking(spark, sf_dir)
+    return carried.possible_types(program, made).where("node NOT LIKE 'ask:%'").select("node", "local", "type")
+
+
+@register(
+    "unset_over_calls",
+    f"""WITH RECURSIVE {core._TURNS}, r AS (SELECT e.method, e.node, v.local FROM entry e CROSS JOIN (VALUES ('x'), ('y')) v(local)
+      UNION SELECT r.method, t.node + 1, v.local FROM r JOIN turns t ON t.method = r.method AND t.node = r.node CROSS JOIN (VALUES ('x'), ('y')) v(local)
+      WHERE CASE WHEN t.asks THEN r.local = 'x' WHEN t.answers THEN r.local = 'y' AND v.local = 'y' ELSE r.local = 'y' END)
+    SELECT r.method || ':' || r.node AS node, r.local FROM r JOIN turns t ON t.method = r.method AND t.node = r.node WHERE (t.asks AND r.local = 'x') OR (NOT t.asks AND NOT t.answers AND r.local = 'y')""",
+)
+def unset_over_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that may read what nothing has set, a callee handing it back included."""
+    program, _, turns = _asking(spark, sf_dir)
+    first = core._entry(turns).select("method", core._node().alias("node"))
+    # every conversation is a method of its own, with both locals
+    program.starts = program.starts.union(first.select(F.col("method").cast("string"), "node"))
+    names = F.explode(F.array(F.lit("x"), F.lit("y"))).alias("local")
+    uses = turns.where("asks").select(core._node().alias("node"), F.lit("x").alias("local")).union(turns.where("NOT asks AND NOT answers").select(core._node(), F.lit("y")))
+    return carried.uninitialised(program, first.select(F.col("method").cast("string").alias("method"), names), uses)

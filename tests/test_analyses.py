@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from relafix.operators import exceptions, graph, motion, nullness, pointsto, taint
+from relafix.operators import carried, exceptions, graph, motion, nullness, pointsto, taint
 from relafix.plans import entrypoints, passes
 
 
@@ -153,3 +153,78 @@ def test_lifecycle_and_callbacks(spark):
     reached, back = entrypoints.callbacks(calls.select("component", F.col("target").alias("method")), edges, made, subtype, dispatch, interfaces)
     assert rows(back) == [("Main", "L1.on"), ("Main", "L2.on")]
     assert {m for _, m in rows(reached)} == {"Main.create", "Base.pause", "Main.helper", "L1.on", "L2.on"}
+
+
+def naive_carried(edges, starts, exits, defs, copies, args, results, born):
+    """Facts at nodes, one at a time along all paths, with the stack of calls they came in by."""
+    seen, todo = set(), [(dst, v, x, ()) for n, v, x in born for a, dst in edges if a == n]
+    while todo:
+        state = todo.pop()
+        if state in seen:
+            continue
+        seen.add(state)
+        node, local, x, stack = state
+        out = ([local] if (node, local) not in defs else []) + [a for n, a, source in copies if n == node and source == local]
+        todo += [(dst, v, x, stack) for v in out for a, dst in edges if a == node]
+        for n, callee, arg, param in args:
+            if n == node and arg == local:
+                todo.append((starts[callee], param, x, (*stack, node)))
+        for method, leave in exits:
+            if leave == node:
+                for call, callee, value, result in results:
+                    if callee == method and value == local and (not stack or stack[-1] == call):
+                        todo += [(dst, result, x, stack[:-1]) for a, dst in edges if a == call]
+    return sorted({s[:3] for s in seen})
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_carried_payloads_keep_to_their_callers(spark, seed):
+    rng = random.Random(seed)
+    edges, starts, exits, defs, copies, args, results, born = set(), {}, [], set(), set(), set(), set(), set()
+    names = "fgh"
+    for m, method in enumerate(names):
+        n = 7
+        node = lambda i, method=method: f"{method}{i}"
+        starts[method] = node(0)
+        exits.append((method, node(n - 1)))
+        edges |= {(node(i), node(i + 1)) for i in range(n - 1)} | {(node(rng.randrange(n)), node(rng.randrange(1, n)))}
+        for i in range(1, n - 1):
+            local, other, what = rng.choice("abp"), rng.choice("abp"), rng.random()
+            if what < 0.35 and m < 2:
+                callee = rng.choice(names[m + 1 :])
+                args.add((node(i), callee, other, "p"))
+                results.add((node(i), callee, rng.choice("ab"), local))
+            elif what < 0.7:
+                copies.add((node(i), local, other))
+            else:
+                born.add((node(i), local, node(i)))
+            defs.add((node(i), local))
+    # a result is the callee's fixed local
+    results = {(n, c, "a", v) for n, c, _, v in results}
+    p = carried.Program(
+        table(spark, "src string, dst string", edges), table(spark, "method string, node string", starts.items()), table(spark, "method string, node string", exits),
+        table(spark, "node string, local string", defs), table(spark, "node string, local string, source string", copies),
+        table(spark, "node string, callee string, arg string, param string", args), table(spark, "node string, callee string, value string, local string", results),
+    )
+    got = rows(carried.possible_types(p, table(spark, "node string, local string, type string", born)))
+    assert args and got == naive_carried(edges, starts, exits, defs, copies, args, results, born)
+
+
+def test_literals_and_definitions_over_a_recursive_call(spark):
+    # f: 0 a = "k"; 1 b = f(a) [p]; 2 use b; 3 return p     main: m0 c = "z"; m1 d = f(c); m2 use d
+    p = carried.Program(
+        table(spark, "src string, dst string", [("f0", "f1"), ("f1", "f2"), ("f2", "f3"), ("m0", "m1"), ("m1", "m2"), ("o0", "o1"), ("o1", "o2")]),
+        table(spark, "method string, node string", [("f", "f0"), ("main", "m0"), ("o", "o0")]),
+        table(spark, "method string, node string", [("f", "f3"), ("main", "m2"), ("o", "o2")]),
+        table(spark, "node string, local string", [("f0", "a"), ("f1", "b"), ("m0", "c"), ("m1", "d"), ("o1", "e")]),
+        table(spark, "node string, local string, source string", []),
+        table(spark, "node string, callee string, arg string, param string", [("f1", "f", "a", "p"), ("m1", "f", "c", "p"), ("o1", "f", "e", "p")]),
+        table(spark, "node string, callee string, value string, local string", [("f1", "f", "p", "b"), ("m1", "f", "p", "d"), ("o1", "f", "p", "e")]),
+    )
+    literals = table(spark, "node string, local string, value string", [("f0", "a", "k"), ("m0", "c", "z")])
+    watched = table(spark, "node string, local string", [("f2", "b"), ("m2", "d"), ("o2", "e"), ("f3", "p")])
+    # main's literal comes back to main, not to f's own call or to o
+    assert rows(carried.literal_arguments(p, literals, watched)) == [("f2", "b", "k"), ("f3", "p", "k"), ("f3", "p", "z"), ("m2", "d", "z")]
+    assert [r for r in rows(carried.reaching_definitions(p)) if r[0] in ("m2", "f3") and r[1] in "dp"] == [("f3", "p", "f0"), ("f3", "p", "m0"), ("m2", "d", "m0"), ("m2", "d", "m1")]
+    uses = table(spark, "node string, local string", [("o1", "e"), ("o2", "e"), ("m2", "d")])
+    assert rows(carried.uninitialised(p, table(spark, "method string, local string", [("o", "e"), ("main", "c"), ("main", "d"), ("f", "p")]), uses)) == [("o1", "e"), ("o2", "e")]
