@@ -2,11 +2,12 @@
 
 One classifier sees the text's content alone, the other the page's columns alone
 (language, source, stated size).  Over some rounds each labels the unlabelled rows it
-is surest about for the other.  A view is sure of a label where it errs less than
-half as often as saying that label always would; all pseudo-labels together weigh at
-most ``trust`` of the true ones, however large the table.  Both views are then
-calibrated on labelled rows kept aside, and a combination of the two scores every
-document.
+is surest about for the other.  A view is sure of a label where, calibrated on
+labelled rows kept aside, it errs less than half as often as saying that label always
+would.  A view that tells those rows no better than their base rate teaches nothing,
+and a round after which either view tells them worse is undone.  All pseudo-labels together weigh at
+most ``trust`` of the true ones, however large the table.  In the end a combination of
+both calibrated views scores every document.
 
 Labelled rows to fit on are a bounded sample (``max_labelled``), drawn by a hash of
 the id, so that reruns agree.  Pseudo-labels are exchanged over all other rows: they
@@ -254,27 +255,66 @@ def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray | Rows, aside: np.nd
     """Fit on labelled ``x, y`` (rows ``aside`` only calibrate) and unlabelled ``pool``.
 
     A round moves at most about ``share`` of the pool per view and class, rows of which
-    the view is at least ``sure`` and errs less than half as often as the label's base
-    rate would; they weigh ``trust`` of a true label.
+    the view, calibrated on the rows ``aside``, is at least ``sure`` and errs less than half
+    as often as the label's base rate would; they weigh ``trust`` of a true label.  A view that
+    tells the rows ``aside`` no better than their base rate gives no labels, and a round after
+    which either view tells them worse is undone and ends the exchange.  Without rows
+    ``aside`` nothing is exchanged.
     """
     rate = float(y.mean()) if len(y) else 0.5
     least = max(sure, 1 - rate / 2), max(sure, 1 - (1 - rate) / 2)
     use = ~aside if (~aside).any() else np.ones(len(y), bool)
+    judges = aside if aside.any() else use
+    base = _log_loss(np.full(int(judges.sum()), _log_odds(y[judges])), y[judges])
     views = [fit(x[use][:, c], y[use]) for c in _CUT]
+    sized, losses = _sized(views, x[judges], y[judges])
     pool = pool if isinstance(pool, Rows) else Rows(pool)
     most = max(1, int(share * pool.total(lambda x, lot: np.array([float(len(x))]))[0]))
     past: list[_Round] = []
-    for _ in range(rounds if use.any() else 0):
-        taken = _take(pool, views, past, most, least)
+    for _ in range(rounds if use.any() and aside.any() else 0):
+        # a view that tells the kept rows no better than their base rate has nothing to teach
+        teaches = [base - loss > _TELLS / judges.sum() for loss in losses]
+        taken = _take(pool, [v if t else _silent(v) for v, t in zip(sized, teaches, strict=True)], past, most, least)
         if taken is None:
             break
-        past.append(taken)
-        views = _fit_views(x[use], y[use], pool, past, least, trust, warm=views)
-    rows = aside if aside.any() else use
-    raw = [v.z(x[rows][:, c]) for v, c in zip(views, _CUT, strict=True)]
-    calibration = tuple(fit(z[:, None], y[rows]) for z in raw)
+        after = _fit_views(x[use], y[use], pool, [*past, taken], least, trust, warm=views)
+        sized_after, losses_after = _sized(after, x[judges], y[judges])
+        if any(new > old + 1e-9 for new, old in zip(losses_after, losses, strict=True)):
+            break  # the round did harm: it is undone
+        past, views, sized, losses = [*past, taken], after, sized_after, losses_after
+    raw = [v.z(x[judges][:, c]) for v, c in zip(views, _CUT, strict=True)]
+    calibration = tuple(fit(z[:, None], y[judges]) for z in raw)
     both = np.stack([c.z(z[:, None]) for c, z in zip(calibration, raw, strict=True)], axis=1)
-    return CoTrained(views[0], views[1], calibration, fit(both, y[rows]))
+    return CoTrained(views[0], views[1], calibration, fit(both, y[judges]))
+
+
+#: What the log-likelihood of the kept rows must gain for a view to teach: a likelihood-ratio test of one slope at 1 %.
+_TELLS = 3.32
+
+
+def _log_odds(y: np.ndarray) -> float:
+    return float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+
+
+def _log_loss(z: np.ndarray, y: np.ndarray) -> float:
+    """Mean log-loss of log-odds ``z``; 0 without rows."""
+    return float(np.logaddexp(0.0, np.where(y > 0, -z, z)).mean()) if len(y) else 0.0
+
+
+def _silent(view: Logistic) -> Logistic:
+    """A view that is sure of nothing."""
+    return Logistic(view.mean, view.scale, np.zeros_like(view.weights), 0.0)
+
+
+def _sized(views: list[Logistic], x: np.ndarray, y: np.ndarray) -> tuple[list[Logistic], list[float]]:
+    """The views with their log-odds calibrated on ``x, y``, and how well those then tell ``y``."""
+    out, losses = [], []
+    for v, c in zip(views, _CUT, strict=True):
+        line = fit(v.z(x[:, c])[:, None], y)
+        slope = float(line.weights[0] / line.scale[0])
+        out.append(Logistic(v.mean, v.scale, v.weights * slope, float((v.bias - line.mean[0]) * slope + line.bias)))
+        losses.append(_log_loss(out[-1].z(x[:, c]), y))
+    return out, losses
 
 
 def labelled_sample(labels: DataFrame, label_col: str, id_col: str, most: int, where=None) -> DataFrame:

@@ -450,6 +450,85 @@ def test_quality_pool_is_the_whole_table(spark, monkeypatch):
     assert labelled == 50 and n == 11_950 and lots > 11_000
 
 
+def co_train_by_hand(x, y, pool, aside, rounds, sure=0.9, trust=0.5):
+    """The exchange with explicit lists of pseudo-labels; every sure row is taken at once."""
+    odds = lambda p: np.log(p / (1 - p))
+    loss = lambda z, y: np.logaddexp(0, np.where(y > 0, -z, z)).mean()
+    rate = y.mean()
+    least = {1: odds(max(sure, 1 - (1 - rate) / 2)), 0: odds(max(sure, 1 - rate / 2))}
+    views = [quality.fit(x[~aside][:, c], y[~aside]) for c in quality._CUT]
+    base = loss(np.full(aside.sum(), np.log((y[aside].sum() + 0.5) / (aside.sum() - y[aside].sum() + 0.5))), y[aside])
+
+    def judged(views):
+        lines = [quality.fit(v.z(x[aside][:, c])[:, None], y[aside]) for v, c in zip(views, quality._CUT)]
+        return lines, [loss(line.z(v.z(x[aside][:, c])[:, None]), y[aside]) for v, c, line in zip(views, quality._CUT, lines)]
+
+    lines, losses = judged(views)
+    given, free, done = [dict(), dict()], set(range(len(pool))), 0
+    for _ in range(rounds):
+        new = [dict(), dict()]
+        for me, c in enumerate(quality._CUT):
+            if (base - losses[me]) * aside.sum() <= 3.32:
+                continue
+            z = lines[me].z(views[me].z(pool[:, c])[:, None])
+            for i in free:
+                if z[i] >= least[1] or -z[i] >= least[0]:
+                    new[1 - me][i] = float(z[i] >= least[1])
+        if not new[0] and not new[1]:
+            break
+        after, tried = [], [given[v] | new[v] for v in (0, 1)]
+        for v, c in enumerate(quality._CUT):
+            rows = sorted(tried[v])
+            n = (~aside).sum()
+            weight = np.append(np.ones(n), np.full(len(rows), trust * min(1, n / max(1, len(rows)))))
+            after.append(quality.fit(np.vstack([x[~aside], pool[rows]])[:, c], np.append(y[~aside], [tried[v][i] for i in rows]), weight))
+        lines_after, losses_after = judged(after)
+        if any(b > a + 1e-9 for a, b in zip(losses, losses_after)):
+            break
+        views, given, lines, losses, free, done = after, tried, lines_after, losses_after, free - set(new[0]) - set(new[1]), done + 1
+    return views, given, done
+
+
+@pytest.mark.parametrize(("seed", "tells"), [(1, 1.0), (2, 1.0), (3, 0.0), (4, 0.3)])
+def test_quality_exchange_by_hand(seed, tells):
+    """Both views agree with the loop by hand; a view that tells nothing teaches nothing."""
+    rng = np.random.default_rng(seed)
+    y, hidden = (rng.random(400) < 0.7).astype(float), (rng.random(600) < 0.7).astype(float)
+
+    def features(y):
+        x = rng.standard_normal((len(y), quality._width()))
+        x[:, 0] += 2.5 * y
+        x[:, quality._N_CONTENT] += 3 * tells * y
+        return x
+
+    x, pool, aside = features(y), features(hidden), np.arange(400) % 4 == 0
+    views, given, done = co_train_by_hand(x, y, pool, aside, 3)
+    model = quality.co_train(x, y, pool, aside, rounds=3, share=1.0)
+    for want, got, c in zip(views, (model.content, model.metadata), quality._CUT):
+        assert np.allclose(want.z(pool[:, c]), got.z(pool[:, c]), atol=1e-3)
+    assert tells or not given[0]
+    if seed == 1:
+        assert done and given[0] and given[1]
+
+
+@pytest.mark.parametrize("size", ["0.01", "0.1"])
+def test_quality_exchange_does_no_harm(size):
+    """Accuracy on the held-out fifth with the exchange is at least that without."""
+    import pyarrow.parquet as pq
+
+    docs = pq.read_table(f"{SF[:-5]}{size}/documents.parquet").to_pandas()
+    labels = pq.read_table(f"{SF[:-5]}{size}/labels.parquet").to_pandas().set_index("doc_id")["quality"]
+    x = quality._features(docs["text"], docs["lang"], docs["source"], docs["n_chars"]).astype(float)
+    y = docs["doc_id"].map(labels).to_numpy(float)
+    crc = np.array([zlib.crc32(str(i).encode()) for i in docs["doc_id"]])
+    train, test = ~np.isnan(y) & (crc % 5 != 0), ~np.isnan(y) & (crc % 5 == 0)
+    right = {}
+    for rounds in (0, 4):
+        model = quality.co_train(x[train], y[train], x[np.isnan(y)], (crc % quality._KEEP_ASIDE == 0)[train], rounds)
+        right[rounds] = ((model.scores(x[test])[0] >= 0.5) == (y[test] == 1)).mean()
+    assert right[4] >= right[0] >= 0.95
+
+
 def test_quality_fit_by_sums(monkeypatch):
     rng = np.random.default_rng(0)
     width = quality._width()
