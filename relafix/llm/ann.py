@@ -10,8 +10,9 @@ of the 8-bit copies, is scored again in double precision.
 
 For the graph, vectors get one more component that makes all of them equally long,
 so that the nearest by angle have the largest inner products with a query.  The 8-bit
-copies keep a scale for each row, so that one very long vector costs the others nothing;
-the longest vectors, far from all others in the graph, are on every query's first beam,
+copies keep a scale for each row, and the graph takes vectors of over 1024 times the median
+length as that long, so that very long vectors cost the others nothing, whatever their
+length; the longest ones, far from all others in the graph, are on every query's first beam,
 and in a small table all vectors are, so that its answers are exact.
 """
 
@@ -25,51 +26,63 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relafix.llm.vectors import directed
 from relafix.storage import stage_table
 
 _LEAF = 256
 
 
-def _valid(vector: Column) -> Column:
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vector.isNotNull() & F.coalesce(fine, F.lit(False)) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
+#: How many times the median length a vector counts as in the graph, at most.
+_REACH = 1024.0
 
 
-def _packed(x: np.ndarray, longest: float) -> list[bytes]:
-    """Each row's 8-bit direction, its scale, and what its added component lacks to 1, with ``longest`` as the unit of length."""
+def _length(vector: Column) -> Column:
+    """Natural logarithm of a vector's length; finite for every finite vector but zero."""
+    most = F.array_max(F.transform(vector, F.abs))
+    return F.log(most) + F.log(F.aggregate(vector, F.lit(0.0), lambda s, x: s + (x / most) * (x / most))) / 2
+
+
+def _packed(x: np.ndarray, graph: float, unit: float) -> list[bytes]:
+    """Each row's 8-bit direction, its scale in a search, its scale in the graph, and what its added component lacks to 1.
+
+    ``graph`` is the logarithm of the length that counts as 1 in the graph, where longer ones
+    count as 1 too; ``unit`` is the largest component of all, in which a search measures.
+    """
     most = np.abs(x).max(axis=1)
-    q = np.rint(x / most[:, None] * 127.0).astype(np.int8)
-    square = ((x / longest) ** 2).sum(axis=1)
-    lacks = square / (1.0 + np.sqrt(np.maximum(0.0, 1.0 - square)))
-    floats = np.stack([most / longest / 127.0, lacks], axis=1).astype(np.float32)
-    return [r.tobytes() + f.tobytes() for r, f in zip(q, floats, strict=True)]
+    x = x / most[:, None]
+    length = np.sqrt((x * x).sum(axis=1))
+    part = np.exp(np.minimum(0.0, np.log(most) + np.log(length) - graph))
+    square = part * part
+    floats = np.stack([part / length / 127.0, square / (1.0 + np.sqrt(np.maximum(0.0, 1.0 - square)))], axis=1).astype(np.float32)
+    q, scale = np.rint(x * 127.0).astype(np.int8), most / unit / 127.0
+    return [r.tobytes() + s.tobytes() + f.tobytes() for r, s, f in zip(q, scale, floats, strict=True)]
 
 
 def _unpacked(rows, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """8-bit directions, scales and lacks."""
-    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), dim + 8)
-    floats = np.ascontiguousarray(raw[:, dim:]).view(np.float32)
-    return raw[:, :dim].view(np.int8).astype(np.float32), floats[:, 0], floats[:, 1]
+    """8-bit directions, scales in a search, and (scale, lack) in the graph."""
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), dim + 16)
+    scale = np.ascontiguousarray(raw[:, dim : dim + 8]).view(np.float64)[:, 0]
+    return raw[:, :dim].view(np.int8).astype(np.float32), scale, np.ascontiguousarray(raw[:, dim + 8 :]).view(np.float32)
 
 
 def _near(rows, dim: int) -> np.ndarray:
     """Inner products of the lengthened vectors less 1, which are half the squared distances below 0."""
-    q, scale, lacks = _unpacked(rows, dim)
-    x = q * scale[:, None]
+    q, _, floats = _unpacked(rows, dim)
+    x, lacks = q * floats[:, :1], floats[:, 1]
     half = (x * x).sum(axis=1) / 2
     return x @ x.T - half[:, None] - half[None, :] - (lacks[:, None] - lacks[None, :]) ** 2 / 2
 
 
-def _nodes(vectors: DataFrame, longest: float) -> DataFrame:
+def _nodes(vectors: DataFrame, graph: float, unit: float) -> DataFrame:
     """``node, vec, q8``: the vector and its 8-bit copy."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 x = np.array(b["embedding"].tolist(), np.float64)
-                yield pd.DataFrame({"node": b["node"], "members": b["members"], "vec": b["embedding"], "q8": _packed(x, longest)})
+                yield pd.DataFrame({"node": b["node"], "members": b["members"], "length": b["length"], "vec": b["embedding"], "q8": _packed(x, graph, unit)})
 
-    return vectors.mapInPandas(pack, "node long, members array<long>, vec array<double>, q8 binary")
+    return vectors.mapInPandas(pack, "node long, members array<long>, length double, vec array<double>, q8 binary")
 
 
 def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
@@ -187,7 +200,7 @@ def _walk(state: DataFrame, graph: DataFrame, beam: int, opened: int, dim: int)
         for b in batches:
             out = []
             for query, q, ids, sims, errs, done, frontier, got, near in b[["query", "q", "ids", "sims", "errs", "done", "frontier", "got", "near"]].itertuples(index=False):
-                ids, sims, errs, done = np.asarray(ids, np.int64), np.asarray(sims, np.float32), np.asarray(errs, np.float32), np.asarray(done, bool)
+                ids, sims, errs, done = np.asarray(ids, np.int64), np.asarray(sims, np.float64), np.asarray(errs, np.float64), np.asarray(done, bool)
                 done = done | np.isin(ids, np.asarray(frontier, np.int64))
                 if got is not None and len(got):
                     found, first = np.unique(np.asarray(got, np.int64), return_index=True)
@@ -196,9 +209,9 @@ def _walk(state: DataFrame, graph: DataFrame, beam: int, opened: int, dim: int)
                     found, first = found[fresh], first[fresh]
                     if len(found):
                         x, scale, _ = _unpacked([near[i] for i in first], dim)
-                        value = x @ np.frombuffer(q, np.float32) * scale
+                        value = (x @ np.frombuffer(q, np.float32)).astype(np.float64) * scale
                         ids, sims, done = np.append(ids, found), np.append(sims, value), np.append(done, np.zeros(len(found), bool))
-                        errs = np.append(errs, scale * np.float32(dim**0.5 / 2))
+                        errs = np.append(errs, scale * (dim**0.5 / 2))
                         order = np.lexsort((ids, -sims))[:beam]
                         ids, sims, errs, done = ids[order], sims[order], errs[order], done[order]
                 out.append((query, q, ids, sims, errs, done, ids[~done][:opened]))
@@ -234,26 +247,27 @@ def nearest_neighbours(
     Repeated ids are one candidate for each different vector.  An empty table gives
     an empty result; other columns are not looked at.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"), is_query.alias("asks")).where(F.col("id").isNotNull() & _valid(F.col("embedding")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"), is_query.alias("asks")).where(F.col("id").isNotNull() & directed(F.col("embedding")))
     common = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     dim = common["dim"] if common else 1
     rows = stage_table(rows.where(F.size("embedding") == dim), "vectors")
-    longest = rows.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
+    lengths = rows.select(_length(F.col("embedding")).alias("length"), F.array_max(F.transform("embedding", F.abs)).alias("most"))
+    longest, median, unit = lengths.agg(F.max("length"), F.percentile_approx("length", 0.5), F.max("most")).first()
+    unit = unit or 1.0
     # a query shows at most `top` members of a class besides itself
     lowest = Window.partitionBy("embedding").orderBy("id")
     few = rows.select("id", "embedding").distinct().withColumn("place", F.row_number().over(lowest)).where(F.col("place") <= top + 1)
-    classes = few.groupBy("embedding").agg(F.sort_array(F.collect_list("id")).alias("members")).withColumn("node", F.monotonically_increasing_id())
-    unit = float(longest or 1.0) ** 0.5
-    nodes = stage_table(_nodes(classes, unit), "nodes")
+    classes = few.groupBy("embedding").agg(F.sort_array(F.collect_list("id")).alias("members")).withColumn("node", F.monotonically_increasing_id()).withColumn("length", _length(F.col("embedding")))
+    graph_unit = min(longest, median + float(np.log(_REACH))) if common else 0.0
+    nodes = stage_table(_nodes(classes, graph_unit, unit), "nodes")
     n = nodes.count()
     graph = stage_table(_merged(None, _leaves(nodes, n, k, trees, dim), k), "graph0")
     for i in range(rounds):
         graph = stage_table(_descend(graph, nodes, k, sample, dim, emit), f"graph{i + 1}")
     search = stage_table(_search_graph(graph, nodes, k), "search")
     asking = stage_table(rows.where("asks").select("id", "embedding").join(nodes.select("node", "vec"), F.col("embedding") == F.col("vec")).select("id", "node"), "asking")
-    size = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    first = top + 1 if n > beam else n
-    far = [(r["node"], np.array(r["vec"])) for r in nodes.select("node", "vec").orderBy(size.desc(), "node").limit(first).collect()]
+    first = max(top + 1, beam // 4) if n > beam else n
+    far = [(r["node"], np.array(r["vec"])) for r in nodes.select("node", "vec", "length").orderBy(F.desc("length"), "node").limit(first).collect()]
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -262,16 +276,17 @@ def nearest_neighbours(
             out = []
             for node, vec in zip(b["node"], b["vec"], strict=True):
                 vec = np.asarray(vec, np.float64)
-                q = vec / np.linalg.norm(vec)
+                q = vec / np.abs(vec).max()
+                q = q / np.linalg.norm(q)
                 others = [(i, x) for i, x in far if i != node]
                 ids = np.array([node, *[i for i, _ in others]], np.int64)
-                sims = np.array([vec @ q / unit, *[x @ q / unit for _, x in others]], np.float32)
+                sims = np.array([vec / unit @ q, *[x / unit @ q for _, x in others]])
                 order = np.lexsort((ids, -sims))
-                out.append((node, q.astype(np.float32).tobytes(), ids[order], sims[order], np.zeros(len(ids), np.float32), np.zeros(len(ids), bool), ids[:1]))
+                out.append((node, q.astype(np.float32).tobytes(), ids[order], sims[order], np.zeros(len(ids)), np.zeros(len(ids), bool), ids[:1]))
             yield pd.DataFrame(out, columns=["query", "q", "ids", "sims", "errs", "done", "frontier"])
 
     asked = nodes.join(asking.select("node").distinct(), "node", "left_semi").select("node", "vec")
-    state = asked.mapInPandas(begin, "query long, q binary, ids array<long>, sims array<float>, errs array<float>, done array<boolean>, frontier array<long>")
+    state = asked.mapInPandas(begin, "query long, q binary, ids array<long>, sims array<double>, errs array<double>, done array<boolean>, frontier array<long>")
     ended = []
     while True:
         # a beam that has settled is opened in full, which must come anyway and takes fewer rounds

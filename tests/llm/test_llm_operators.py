@@ -288,9 +288,10 @@ def test_neighbours_recall_and_ties(spark):
     assert ann.nearest_neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_neighbours_beside_one_long_vector(spark):
+@pytest.mark.parametrize("length", [3e3, 1e25, 1e200])
+def test_neighbours_beside_one_long_vector(spark, length):
     x = np.random.default_rng(1).standard_normal((1500, 16))
-    x[7] *= 3000 / np.linalg.norm(x[7])
+    x[7] *= length / np.linalg.norm(x[7])
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
     found = {}
     for r in ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0).collect():
@@ -304,6 +305,18 @@ def test_neighbours_beside_one_long_vector(spark):
     assert hits >= 0.95 * 20 * len(found)
 
 
+def test_neighbours_of_lengths_of_all_sizes(spark):
+    """Lengths spread over forty powers of ten: the longest ones of a query's side are nearest."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1500, 16)) * 10.0 ** rng.uniform(-20, 20, 1500)[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(set([i for i in np.argsort(-(x @ x[q])) if i != q][:20]) & found[q]) for q in range(0, 1500, 20))
+    assert hits >= 0.95 * 20 * 75
+
+
 # --- 5: TIFF
 
 
