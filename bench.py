@@ -10,7 +10,7 @@ from relafix.plans import catalogue
 from relafix.session import local_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-HEADLINE = ("reachability", "cyclic_reachability", "topological_depth", "reaching_definitions", "live_locals", "last_definition", "taint_with_kill", "must_merge", "lattice_or", "dead_members", "dispatch", "provenance_path", "entailment", "score_report", "degrees", "taint_leaks")
+HEADLINE = ("reachability", "cyclic_reachability", "topological_depth", "reaching_definitions", "live_locals", "last_definition", "taint_with_kill", "must_merge", "lattice_or", "dead_members", "dispatch", "provenance_path", "entailment", "score_report", "degrees", "taint_leaks", "points_to")
 
 
 def main() -> None:

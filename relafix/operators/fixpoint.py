@@ -2,8 +2,11 @@
 
 Every analysis of this package is a set of step plans over this loop.  A round
 joins only the rows that the round before it derived, drops what is known and
-stops when nothing new appears.  Each round's new rows go to reliable storage,
-so lineage stays short and a lost executor costs no more than its own tasks.
+stops when nothing new appears.  Each round's new rows are written to the shared
+folder, so lineage stays short and a lost executor costs no more than its own tasks.
+The tasks that write them count them, so a round is one job a relation; and as the
+size of a written table is known, Spark broadcasts the news of a round by itself where
+they are small and shuffles them where they are not.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relafix.storage import cut
+from relafix.storage import counted_table, stage_table
 
 Relations = dict[str, DataFrame]
 Step = Callable[[Relations, Relations], Relations]
@@ -54,7 +57,7 @@ def fixpoint(
     reaching that limit raises ``NoFixpoint``.  ``stop`` sees each delta and may
     end the loop early, for "first result" queries.
     """
-    known = {name: [cut(df.distinct())] for name, df in seeds.items()}
+    known = {name: [stage_table(df.distinct(), name)] for name, df in seeds.items()}
     delta = {name: parts[0] for name, parts in known.items()}
     for number in range(max_rounds):
         if stop is not None and stop(delta):
@@ -63,17 +66,16 @@ def fixpoint(
         counts, fresh = {}, {}
         for name, rows in derived.items():
             old = _union(known[name])
-            new = cut(_fresh(rows.select(*old.columns), old))
-            counts[name] = new.count()
-            fresh[name] = new
+            fresh[name], counts[name] = counted_table(_fresh(rows.select(*old.columns), old), name)
         if log is not None:
             log.rows.append(counts)
         if not any(counts.values()):
             break
         for name, rows in fresh.items():
-            known[name].append(rows)
+            if counts[name]:
+                known[name].append(rows)
             if len(known[name]) > compact_every:
-                known[name] = [cut(_union(known[name]))]
+                known[name] = [stage_table(_union(known[name]), name)]
         delta = {n: fresh.get(n, df.limit(0)) for n, df in delta.items()}
     else:
         if not partial:
@@ -89,8 +91,8 @@ def _fresh(rows: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def by_source(edges: DataFrame) -> DataFrame:
-    """``src, dst`` written once, dealt by source, so that rounds neither derive nor read the whole plan again."""
-    return cut(edges.select("src", "dst").repartition("src"))
+    """``src, dst`` written once, so that rounds do not derive them again and Spark knows their size."""
+    return stage_table(edges.select("src", "dst"), "edges")
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:

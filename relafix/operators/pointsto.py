@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from relafix.operators.fixpoint import Relations, fixpoint
 from relafix.operators.graph import transitive_closure
-from relafix.storage import cut
+from relafix.storage import cut, stage_table
 
 
 def subtypes(classes: DataFrame) -> DataFrame:
@@ -64,39 +64,49 @@ def reachable_methods(calls: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def points_to(alloc: DataFrame, simple: DataFrame, store: DataFrame, load: DataFrame, type_ok: DataFrame | None = None) -> Relations:
-    """``pts(var, obj)`` and ``heap(obj, field, val)``: inclusion-based, field-sensitive.
+    """``pts(var, obj)``, ``edge(src, dst)`` and ``heap(obj, field, val)``: inclusion-based, field-sensitive.
 
     ``alloc(obj, var)``, ``simple(src, dst)``, ``store(src, base, field)``,
     ``load(base, field, dst)``; ``type_ok(var, obj)`` keeps only objects that a variable
     of that declared type can hold (variables not in it take all).
+
+    A store and a load of one field whose bases share an object make an edge from what is stored
+    to what is loaded, so rounds pass on sets along edges and never hold the heap, which is
+    the product of two sets a store; it is a plan over the finished sets.
     """
+    simple, store, load = (stage_table(t.distinct(), n) for t, n in ((simple.select("src", "dst"), "simple"), (store.select("src", "base", "field"), "store"), (load.select("base", "field", "dst"), "load")))
+    ok = None if type_ok is None else stage_table(type_ok.select("var", "obj").distinct(), "type_ok")
+    fields = store.select("field").distinct().join(load.select("field").distinct(), "field")
+    into = stage_table(store.join(fields, "field").select(F.col("base").alias("var")).distinct(), "into")
+    out_of = stage_table(load.join(fields, "field").select(F.col("base").alias("var")).distinct(), "out_of")
 
     def masked(rows: DataFrame) -> DataFrame:
-        if type_ok is None:
+        if ok is None:
             return rows
-        typed = type_ok.select("var").distinct()
-        return rows.join(type_ok, ["var", "obj"], "left_semi").unionByName(rows.join(typed, "var", "left_anti"))
+        typed = ok.select("var").distinct()
+        return rows.join(ok, ["var", "obj"], "left_semi").unionByName(rows.join(typed, "var", "left_anti"))
 
     def step(known: Relations, delta: Relations) -> Relations:
-        pts, new, heap, fresh = known["pts"], delta["pts"], known["heap"], delta["heap"]
-        copied = new.join(simple, F.col("var") == F.col("src")).select(F.col("dst").alias("var"), "obj")
-
-        def stored(base: DataFrame, value: DataFrame) -> DataFrame:
-            b = base.select(F.col("var").alias("base"), F.col("obj").alias("into"))
-            v = value.select(F.col("var").alias("src"), F.col("obj").alias("val"))
-            return store.join(b, "base").join(v, "src").select(F.col("into").alias("obj"), "field", "val")
-
-        def loaded(base: DataFrame, cells: DataFrame) -> DataFrame:
-            return load.join(base.withColumnRenamed("var", "base"), "base").join(cells, ["obj", "field"]).select(F.col("dst").alias("var"), F.col("val").alias("obj"))
+        pts, new = known["pts"], delta["pts"]
 
-        return {
-            "pts": masked(copied.union(loaded(new, heap)).union(loaded(pts, fresh)).distinct()),
-            "heap": stored(new, pts).union(stored(pts, new)),
-        }
+        def copied(sets: DataFrame, edges: DataFrame) -> DataFrame:
+            return sets.join(edges, F.col("var") == F.col("src")).select(F.col("dst").alias("var"), "obj")
 
-    start = masked(alloc.select("var", "obj"))
-    empty = store.join(start.withColumnRenamed("var", "base"), "base").select("obj", "field", F.col("obj").alias("val")).limit(0)
-    return fixpoint({"pts": start, "heap": empty}, step)
+        def met(written: DataFrame, read: DataFrame) -> DataFrame:
+            a = written.join(into, "var", "left_semi").select(F.col("var").alias("base"), "obj")
+            b = read.join(out_of, "var", "left_semi").select(F.col("var").alias("other"), "obj")
+            return a.join(b, "obj").select("base", "other")
+
+        bases = met(new, pts).union(met(pts, new)).distinct()
+        flows = store.join(bases, "base").select("src", F.col("other").alias("base"), "field").distinct().join(load, ["base", "field"]).select("src", "dst")
+        return {"pts": masked(copied(new, known["edge"]).union(copied(pts, delta["edge"])).distinct()), "edge": flows}
+
+    found = fixpoint({"pts": masked(alloc.select("var", "obj")), "edge": simple}, step)
+    base = found["pts"].select(F.col("var").alias("base"), "obj")
+    value = found["pts"].select(F.col("var").alias("src"), F.col("obj").alias("val"))
+    # per object and field the variables first, so that equal cells of many stores meet before their values are listed
+    cells = store.join(base, "base").select("obj", "field", "src").distinct()
+    return found | {"heap": cells.join(value, "src").select("obj", "field", "val").distinct()}
 
 
 def points_to_with_calls(alloc: DataFrame, simple: DataFrame, store: DataFrame, load: DataFrame, invokes: DataFrame, dispatch: DataFrame, types: DataFrame, actuals: DataFrame, formals: DataFrame, entries: DataFrame) -> Relations:

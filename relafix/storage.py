@@ -61,6 +61,15 @@ def stage_table(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted_table(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
+    """``stage_table`` and how many rows were written, counted by the tasks that write them."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    rows = Observation()
+    return stage_table(df.observe(rows, F.count(F.lit(1)).alias("n")), name), rows.get["n"]
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int, max_bytes: int = 256 << 20) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows and ``max_bytes`` bytes, else as it is.
 
