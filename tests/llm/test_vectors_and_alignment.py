@@ -203,6 +203,17 @@ def test_alignment_of_no_documents(spark):
     assert [tuple(r) for r in got] == [(1, 0, 0, 0, 0, 0, 0, "")]
 
 
+def test_both_encoders_agree():
+    """The ranked encoder gives the ids of the other one, for documents, odd texts and long runs."""
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t] + [t for t in TEXTS if t]
+    texts += ["x" * 50_000, " " * 20_000 + "a", "7" * 30_001, "\n \t" * 9_999, "日本語é" * 9_999, "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x11000)]))]
+    ranked, other = alignment.ByteTokens(BYTE_MODEL), alignment.ByteTokens(BYTE_MODEL, ranked=False)
+    assert "merged" in ranked.encode.__code__.co_freevars
+    assert ranked.encode(texts) == other.encode(texts)
+
+
 def test_transducer_steps():
     """Both sides lead in turn; differing bytes and tokens without bytes give nothing."""
     t = alignment.Transducer([b"ab", b"c", b"abc", b""], [b"a", b"bc", b"abcabc", b"x"])
