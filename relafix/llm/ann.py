@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relafix.llm.shingles import give_back, small_batches
 from relafix.llm.vectors import directed
 from relafix.storage import stage_table
 
@@ -81,6 +82,7 @@ def _nodes(vectors: DataFrame, graph: float, unit: float) -> DataFrame:
             if len(b):
                 x = np.array(b["embedding"].tolist(), np.float64)
                 yield pd.DataFrame({"node": b["node"], "members": b["members"], "length": b["length"], "vec": b["embedding"], "q8": _packed(x, graph, unit)})
+        give_back()
 
     return vectors.mapInPandas(pack, "node long, members array<long>, length double, vec array<double>, q8 binary")
 
@@ -105,6 +107,7 @@ def _leaves(nodes: DataFrame, n: int, k: int, trees: int, dim: int) -> DataFrame
             for t in range(trees):
                 leaf = ((x @ planes[t, :bits].T > 0) @ (1 << np.arange(bits))) if bits else np.zeros(len(b), np.int64)
                 yield pd.DataFrame({"tree": t, "leaf": leaf.astype(np.int64), "node": b["node"], "q8": b["q8"]})
+        give_back()
 
     placed = nodes.select("node", "q8").mapInPandas(assign, "tree int, leaf long, node long, q8 binary")
     # a leaf that came out large is dealt to several parts
@@ -138,6 +141,7 @@ def _merged(graph: DataFrame | None, updates: DataFrame, k: int) -> DataFrame:
                 best = _top(every, value, k)
                 out.append((node, every[best], value[best], ~np.isin(every[best], ids)))
             yield pd.DataFrame(out, columns=["node", "ids", "sims", "fresh"])
+        give_back()
 
     return rows.mapInPandas(merge, "node long, ids array<long>, sims array<float>, fresh array<boolean>")
 
@@ -175,6 +179,7 @@ def _descend(graph: DataFrame, nodes: DataFrame, k: int, sample: int, dim: int,
                     sims_out.append(value[i][good])
             if nodes_out:
                 yield pd.DataFrame({"node": nodes_out, "ids": ids_out, "sims": sims_out})
+        give_back()
 
     return _merged(graph, met.mapInPandas(meet, "node long, ids array<long>, sims array<float>"), k)
 
@@ -216,6 +221,7 @@ def _walk(state: DataFrame, graph: DataFrame, beam: int, opened: int, dim: int)
                         ids, sims, errs, done = ids[order], sims[order], errs[order], done[order]
                 out.append((query, q, ids, sims, errs, done, ids[~done][:opened]))
             yield pd.DataFrame(out, columns=["query", "q", "ids", "sims", "errs", "done", "frontier"])
+        give_back()
 
     return rows.mapInPandas(step, state.schema)
 
@@ -247,6 +253,7 @@ def nearest_neighbours(
     Repeated ids are one candidate for each different vector.  An empty table gives
     an empty result; other columns are not looked at.
     """
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"), is_query.alias("asks")).where(F.col("id").isNotNull() & directed(F.col("embedding")))
     common = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     dim = common["dim"] if common else 1
