@@ -4,8 +4,8 @@ Every analysis of this package is a set of step plans over this loop.  A round
 joins only the rows that the round before it derived, drops what is known and
 stops when nothing new appears.  Each round's new rows are written to the shared
 folder, so lineage stays short and a lost executor costs no more than its own tasks.
-The tasks that write them count them, so a round is one job a relation; and as the
-size of a written table is known, Spark broadcasts the news of a round by itself where
+The tasks that write them count them, and one job writes all relations of a round; as
+the size of a written table is known, Spark broadcasts the news of a round by itself where
 they are small and shuffles them where they are not.
 """
 
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relafix.storage import counted_table, stage_table
+from relafix.storage import counted_table, counted_tables, stage_table
 
 Relations = dict[str, DataFrame]
 Step = Callable[[Relations, Relations], Relations]
@@ -35,6 +35,13 @@ class NoFixpoint(RuntimeError):
     """The round limit was reached while rows were still being derived."""
 
 
+def _one_counted(tables: Relations) -> tuple[Relations, dict[str, int]]:
+    """``counted_tables`` of a single table, without the columns that tell several apart."""
+    ((name, df),) = tables.items()
+    table, n = counted_table(df, name)
+    return {name: table}, {name: n}
+
+
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -63,10 +70,9 @@ def fixpoint(
         if stop is not None and stop(delta):
             break
         derived = step({n: _union(p) for n, p in known.items()}, delta)
-        counts, fresh = {}, {}
-        for name, rows in derived.items():
-            old = _union(known[name])
-            fresh[name], counts[name] = counted_table(_fresh(rows.select(*old.columns), old), name)
+        olds = {name: _union(known[name]) for name in derived}
+        news = {name: _fresh(rows.select(*olds[name].columns), olds[name]) for name, rows in derived.items()}
+        fresh, counts = counted_tables(news) if len(news) > 1 else _one_counted(news)
         if log is not None:
             log.rows.append(counts)
         if not any(counts.values()):

@@ -70,6 +70,30 @@ def counted_table(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
     return stage_table(df.observe(rows, F.count(F.lit(1)).alias("n")), name), rows.get["n"]
 
 
+def counted_tables(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """Several tables written by one job, so that plans they share run once, and the rows of each, counted meanwhile."""
+    from functools import reduce
+
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    spark = next(iter(tables.values())).sparkSession
+    path = f"{checkpoint_root(spark)}/relafix-{uuid.uuid4().hex}/tables"
+    # columns of one name may differ in type from table to table
+    wide = [df.select(F.lit(name).alias("__table"), *[F.col(f"`{c}`").alias(f"{name}__{c}") for c in df.columns]) for name, df in tables.items()]
+    rows = Observation()
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), wide)
+    together.observe(rows, *[F.count_if(F.col("__table") == n).alias(n) for n in tables]).write.partitionBy("__table").parquet(path)
+    counts, out = rows.get, {}
+    for (name, df), own in zip(tables.items(), wide, strict=True):
+        if counts[name]:
+            read = spark.read.schema(own.drop("__table").schema).parquet(f"{path}/__table={name}")
+            out[name] = read.toDF(*df.columns)
+        else:
+            out[name] = spark.createDataFrame([], df.schema)
+    return out, dict(counts)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int, max_bytes: int = 256 << 20) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows and ``max_bytes`` bytes, else as it is.
 
