@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relafix.operators.fixpoint import Relations, by_source, fixpoint
+from relafix.operators.fixpoint import NoFixpoint, Relations, by_source, fixpoint
+from relafix.storage import counted_table, stage_table
 
 
 def inverse(edges: DataFrame) -> DataFrame:
@@ -63,15 +66,31 @@ def depths(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFr
     return fixpoint({"d": seeds.select("node", F.lit(0).alias("depth"))}, step, max_rounds)["d"]
 
 
-def longest_depths(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """``node, depth``: longest path from a head, for acyclic graphs; ascending depth is a topological order."""
-    edges = by_source(edges)
+def longest_depths(edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    """``node, depth``: longest path from a head, for acyclic graphs; ascending depth is a topological order.
 
-    def step(known: Relations, delta: Relations) -> Relations:
-        return {"d": delta["d"].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))}
-
-    found = fixpoint({"d": heads(edges).select("node", F.lit(0).alias("depth"))}, step, max_rounds)["d"]
-    return found.groupBy("node").agg(F.max("depth").alias("depth"))
+    Heads go round by round, and what loses its last predecessor in a round has that depth,
+    so every node is derived once and every edge is looked at once.  Where nodes are left
+    without a head there is a cycle, which raises ``NoFixpoint``.
+    """
+    edges = by_source(edges.select("src", "dst").distinct())
+    front, n = counted_table(heads(edges), "heads")
+    waiting = stage_table(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("missing")), "waiting")
+    found = []
+    for depth in range(max_rounds):
+        if not n:
+            break
+        found.append(front.select("node", F.lit(depth).alias("depth")))
+        gone = front.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.count("*").alias("gone"))
+        left = waiting.join(gone, F.col("node") == F.col("dst"), "left").select("node", (F.col("missing") - F.coalesce("gone", F.lit(0))).alias("missing"))
+        left = stage_table(left, "waiting")
+        front, n = counted_table(left.where("missing = 0").select("node"), "heads")
+        waiting = left.where("missing > 0")
+    if not waiting.isEmpty():
+        raise NoFixpoint("a cycle has no longest path")
+    if not found:
+        return nodes(edges).select("node", F.lit(0).alias("depth"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -88,12 +107,47 @@ def components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     return found.groupBy("node").agg(F.min("component").alias("component"))
 
 
+def _lowest(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node, label``: the smallest label among those that reach each node; a round sends on what got smaller."""
+    best = news = labels
+    while True:
+        sent = news.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("label").alias("low"))
+        news, n = counted_table(sent.join(best, F.col("dst") == F.col("node")).where("low < label").select("node", F.col("low").alias("label")), "news")
+        if not n:
+            return best
+        best = stage_table(best.join(news.withColumnRenamed("label", "low"), "node", "left").select("node", F.coalesce("low", "label").alias("label")), "best")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """``node, component``: strongly connected components, named by their smallest node."""
-    closed = transitive_closure(edges)
-    back = closed.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    mutual = closed.join(back, ["src", "dst"]).groupBy("src").agg(F.min("dst").alias("low"))
-    return nodes(edges).join(mutual, F.col("node") == F.col("src"), "left").select("node", F.least("node", F.coalesce("low", "node")).alias("component"))
+    """``node, component``: strongly connected components, named by their smallest node.
+
+    Nodes that nothing leads to, or that lead to nothing, are components of their own and go.
+    The others take the smallest node that reaches them as colour; what reaches that node within its colour is
+    its component.  Then the rest is coloured again.  Work grows with the edges, never with the pairs that reach each other.
+    """
+    everything = nodes(edges)
+    live, n = counted_table(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    done = []
+    while n:
+        trimmed = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        trimmed, left = counted_table(trimmed.select("src", "dst"), "edges")
+        if left < n:
+            live, n = trimmed, left
+            continue
+        colours = _lowest(live, nodes(live).select("node", F.col("node").alias("label")))
+        a, b = colours.select(F.col("node").alias("src"), F.col("label").alias("colour")), colours.select(F.col("node").alias("dst"), F.col("label").alias("other"))
+        inner = stage_table(live.join(a, "src").join(b, "dst").where("colour = other").select(F.col("dst").alias("node"), F.col("src").alias("to"), "colour"), "inner")
+
+        def back(known: Relations, delta: Relations) -> Relations:
+            return {"c": delta["c"].join(inner, ["node", "colour"]).select(F.col("to").alias("node"), "colour")}
+
+        members = fixpoint({"c": colours.where("node = label").select("node", F.col("label").alias("colour"))}, back)["c"]
+        members = stage_table(members, "members")
+        done.append(members.select("node", F.col("colour").alias("component")))
+        live, n = counted_table(live.join(members.select(F.col("node").alias("src")), "src", "left_anti").join(members.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
+    if not done:
+        return everything.select("node", F.col("node").alias("component"))
+    return everything.join(reduce(DataFrame.unionByName, done), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def collapse(edges: DataFrame, members: DataFrame) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relafix.operators.fixpoint import Relations, fixpoint
-from relafix.operators.graph import transitive_closure
+from relafix.operators.fixpoint import Relations, by_source, fixpoint
 from relafix.storage import cut, stage_table
 
 
@@ -14,8 +13,13 @@ def subtypes(classes: DataFrame) -> DataFrame:
     """``sub, super``: reflexive and transitive, over superclasses and interfaces of ``classes(name, super, interfaces)``."""
     up = classes.where("super is not null").select(F.col("name").alias("src"), F.col("super").alias("dst"))
     up = up.union(classes.select(F.col("name").alias("src"), F.explode("interfaces").alias("dst")))
+    up = by_source(up.distinct())
     own = classes.select(F.col("name").alias("sub"), F.col("name").alias("super"))
-    return transitive_closure(up.distinct()).select(F.col("src").alias("sub"), F.col("dst").alias("super")).union(own).distinct()
+
+    def step(known: Relations, delta: Relations) -> Relations:
+        return {"s": delta["s"].join(up, F.col("super") == F.col("src")).select("sub", F.col("dst").alias("super"))}
+
+    return fixpoint({"s": own}, step)["s"]
 
 
 def least_upper_bounds(pairs: DataFrame, subtype: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ def counts_by_window(events: DataFrame, time_col: str = "ts", key: str = "event_
 def maintain_reachability(edges: DataFrame, known_path: str, checkpoint: str, seeds: DataFrame) -> StreamingQuery:
     """Keeps ``known_path`` (Parquet, a folder per batch) closed under a stream of edges ``src, dst``.
 
-    A batch runs from the nodes known so far over all edges so far, and writes only the
-    nodes that are new.  A batch that is run a second time writes its folders anew.
+    A batch follows its own edges out of nodes known so far, then all edges so far out of nodes that
+    are new, and writes only those.  A batch that is run a second time writes its folders anew.
     """
     spark = edges.sparkSession
 
@@ -35,11 +35,13 @@ def maintain_reachability(edges: DataFrame, known_path: str, checkpoint: str, se
             base = base.unionByName(spark.read.parquet(f"{known_path}/nodes").where(F.col("batch") < number).select("node"))
 
         def step(known: Relations, delta: Relations) -> Relations:
-            return {"r": delta["r"].join(every, F.col("node") == F.col("src")).select(F.col("dst").alias("node"))}
+            return {"r": unknown(delta["r"].join(every, F.col("node") == F.col("src")).select(F.col("dst").alias("node")))}
 
-        start = base.unionByName(batch.join(base, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node")))
-        closed = fixpoint({"r": start}, step)["r"]
-        fresh = closed.join(base, "node", "left_anti") if number else closed
-        fresh.write.mode("overwrite").parquet(f"{known_path}/nodes/batch={number}")
+        def unknown(rows: DataFrame) -> DataFrame:
+            return rows.join(base, "node", "left_anti") if number else rows
+
+        # only what the new edges lead to is followed; nodes known before were followed before
+        start = unknown(batch.join(base, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node"))) if number else base
+        fixpoint({"r": start}, step)["r"].write.mode("overwrite").parquet(f"{known_path}/nodes/batch={number}")
 
     return edges.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

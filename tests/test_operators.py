@@ -219,3 +219,22 @@ def test_conditions(spark):
     values = F.create_map(F.lit("x"), F.lit(False))
     r = one.select(dnf.evaluate(dnf.disjunction(x, y), values).alias("open"), dnf.evaluate(x, values).alias("no"), dnf.evaluate(not_x, values).alias("yes")).first()
     assert (r.open, r.no, r.yes) == (None, False, True)
+
+
+def test_strong_components_by_hand(spark):
+    """Random graphs, a long cycle beside a long chain, and graphs without cycles or edges."""
+    rng = random.Random(4)
+    graphs = [{(rng.randrange(30), rng.randrange(30)) for _ in range(38)}, {(i, (i + 1) % 9) for i in range(9)} | {(i, i + 1) for i in range(20, 28)} | {(3, 20), (28, 28)}, {(1, 2), (2, 3)}, set()]
+    for pairs in graphs:
+        far = {n: reach(pairs, n) for e in pairs for n in e}
+        want = sorted((n, min(m for m in r if n in far[m])) for n, r in far.items())
+        got = graph.strong_components(edges_of(spark, pairs))
+        assert rows(got, "node", "component") == want
+
+
+def test_longest_depths_of_cycles(spark):
+    with pytest.raises(NoFixpoint):
+        graph.longest_depths(spark.createDataFrame([(1, 2), (2, 3), (3, 2)], "src int, dst int"))
+    assert graph.longest_depths(spark.createDataFrame([], "src int, dst int")).count() == 0
+    many = [(i, j) for i in range(12) for j in range(i + 1, 12)]  # every order of a full order: one depth each
+    assert rows(graph.longest_depths(spark.createDataFrame(many, "src int, dst int")), "node", "depth") == [(i, i) for i in range(12)]
