@@ -83,12 +83,24 @@ def _field(name: str) -> Column:
     return F.when(F.col(name).isNotNull(), F.array(name)).otherwise(_none())
 
 
-def analyse(p: Program, sources: DataFrame, limit: int = 5, aliases: bool = True, max_rounds: int = 1000) -> Relations:
+@dataclass
+class Implicit:
+    """Tables of flows through conditions: ``conds(node, base)`` what a branch asks, ``dependent(branch, node)``
+    what runs or not by a branch, ``writes(node, to_base, to_field)`` everything that nodes assign.
+    """
+
+    conds: DataFrame
+    dependent: DataFrame
+    writes: DataFrame
+
+
+def analyse(p: Program, sources: DataFrame, limit: int = 5, aliases: bool = True, max_rounds: int = 1000, implicit: Implicit | None = None) -> Relations:
     """``fwd``, ``bwd`` (``ctx, ctx_act, node, base, fields, cut, act``), ``inc(callee, ctx, call, up_ctx, up_act)``, ``ends`` and ``above(act, call)``.
 
     ``sources(node, base)`` taint after their node; if that is a call, at its return sites.
     ``act`` is null for an active taint, else the write it waits for.  Paths are cut after ``limit`` fields.
-    ``above`` tells which calls led to a write whose other names went up to callers.
+    ``above`` tells which calls led to a write whose other names went up to callers.  With ``implicit``
+    whatever is assigned under a branch on something tainted is tainted too, in the branch's own method.
     Null nodes and bases derive nothing; repeated rows count once.
     """
     p = p.staged()
@@ -104,6 +116,15 @@ def analyse(p: Program, sources: DataFrame, limit: int = 5, aliases: bool = True
     back_of = stage_table(p.params.where("pos = -2").select("method", "base", "pos").union(kept_params.select("method", "base", "pos")).distinct(), "back_of")
     links = stage_table(p.calls.withColumnRenamed("node", "call").join(p.args.withColumnRenamed("node", "call"), "call").join(p.params.select(F.col("method").alias("callee"), "pos", F.col("base").alias("inner")), ["callee", "pos"]).select("call", "callee", "pos", F.col("base").alias("outer"), "inner"), "links")
 
+    if implicit is not None:
+        implicit = Implicit(*(stage_table(getattr(implicit, n).distinct(), n) for n in ("conds", "dependent", "writes")))
+
+    def implied(rows: DataFrame) -> DataFrame:
+        """What is assigned under branches on active taints."""
+        asked = rows.where("act is null").join(implicit.conds, ["node", "base"]).select("ctx", "ctx_act", F.col("node").alias("branch")).distinct()
+        under = asked.join(implicit.dependent, "branch").join(implicit.writes, "node")
+        return under.select("ctx", "ctx_act", "node", F.col("to_base").alias("base"), _field("to_field").alias("fields"), F.lit(False).alias("cut"), F.lit(None).cast("string").alias("act"), "to_field")
+
     def source_facts() -> DataFrame:
         return sources.join(succ, "node").select(F.concat(F.lit("@"), "node").alias("ctx"), F.lit(None).cast("string").alias("ctx_act"), F.col("dst").alias("node"), "base", _none().alias("fields"), F.lit(False).alias("cut"), F.lit(None).cast("string").alias("act"))
 
@@ -182,6 +203,10 @@ def analyse(p: Program, sources: DataFrame, limit: int = 5, aliases: bool = True
             returned(callers(known["ends"], delta["inc"])),
             returned(any_callers(delta["ends"])),
         ]
+        if implicit is not None:
+            under = implied(new)
+            forward.append(on(under))
+            copied = copied.select(*under.columns).union(under)
         incoming = [entered]
         at_exit = new.join(p.exits, "node").select(F.col("method").alias("callee"), "ctx", "ctx_act", "kind", *_FACT)
         own = at_exit.join(back_of.withColumnRenamed("method", "callee"), ["callee", "base"], "left_semi")

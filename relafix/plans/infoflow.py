@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relafix.operators import infoflow, pointsto
+from relafix.operators import graph, infoflow, pointsto
+from relafix.operators.fixpoint import Relations, fixpoint
+from relafix.storage import stage_table
 
 
 def node_of(method: str = "method", idx: str = "idx") -> Column:
@@ -96,11 +98,48 @@ def program(facts: dict[str, DataFrame], edges: DataFrame, models: DataFrame | N
     )
 
 
-def leaks(facts: dict[str, DataFrame], sources: DataFrame, sinks: DataFrame, models: DataFrame | None = None, limit: int = 5, aliases: bool = True) -> DataFrame:
-    """``origin, sink``: calls of ``sources(sig)`` whose result reaches an argument of a call of ``sinks(sig)``."""
+def control_dependence(facts: dict[str, DataFrame]) -> DataFrame:
+    """``method, branch, node``: statements that run or not by what a branch decides, over branches under branches too.
+
+    These are the dominance frontiers of the graph turned round, from one exit for each method.
+    """
+    flow = facts["cfg"].select("method", "src", "dst")
+    out = facts["unit"].where("kind in ('return', 'throw')").select("method", F.col("idx").alias("src"), F.lit(-1).alias("dst"))
+    back = stage_table(flow.union(out).select("method", F.col("dst").alias("src"), F.col("src").alias("dst")).distinct(), "back")
+    dom = graph.dominators(back, out.select("method", F.col("dst").alias("node")).distinct(), ("method",))
+    direct = stage_table(graph.dominance_frontier(back, dom, ("method",)).select("method", F.col("frontier").alias("branch"), "node"), "direct")
+
+    def step(known: Relations, delta: Relations) -> Relations:
+        under = direct.select("method", F.col("branch").alias("node"), F.col("node").alias("inner"))
+        return {"c": delta["c"].join(under, ["method", "node"]).select("method", "branch", F.col("inner").alias("node"))}
+
+    return fixpoint({"c": direct}, step)["c"]
+
+
+def implicit_flows(facts: dict[str, DataFrame]) -> infoflow.Implicit:
+    """The tables of flows through conditions."""
+    conds = facts["operand"].where("role = 'cond' and kind = 'local'").select(node_of().alias("node"), F.concat("method", F.lit("#"), "text").alias("base"))
+    dependent = control_dependence(facts).select(node_of("method", "branch").alias("branch"), node_of("method", "node").alias("node"))
+    assigned = _places(facts["operand"]).where("role = 'def'").join(facts["unit"].where("kind = 'assign'").select("method", "idx"), ["method", "idx"])
+    return infoflow.Implicit(conds, dependent, assigned.select(node_of().alias("node"), F.col("base").alias("to_base"), F.col("field").alias("to_field")))
+
+
+def leaks(facts: dict[str, DataFrame], sources: DataFrame, sinks: DataFrame, models: DataFrame | None = None, limit: int = 5, aliases: bool = True, implicit: bool = False) -> DataFrame:
+    """``origin, sink``: calls of ``sources(sig)`` whose result reaches an argument of a call of ``sinks(sig)``.
+
+    With ``implicit`` also those that decide what an argument is, or whether the call is made.
+    """
     p = program(facts, call_edges(facts), models)
     invoke = facts["invoke"]
     start = invoke.join(sources.withColumnRenamed("sig", "target_sig"), "target_sig", "left_semi").select(node_of().alias("node")).join(p.args.where("pos = -2").select("node", "base"), "node")
-    end = invoke.join(sinks.withColumnRenamed("sig", "target_sig"), "target_sig", "left_semi").select(node_of().alias("node")).join(p.args.where("pos >= -1").select("node", "base"), "node")
-    found = infoflow.analyse(p, start, limit, aliases)
-    return infoflow.leaks(found, p.nodes, end).select("origin", "sink").distinct()
+    ends = invoke.join(sinks.withColumnRenamed("sig", "target_sig"), "target_sig", "left_semi").select(node_of().alias("node"))
+    end = ends.join(p.args.where("pos >= -1").select("node", "base"), "node")
+    through = implicit_flows(facts) if implicit else None
+    found = infoflow.analyse(p, start, limit, aliases, implicit=through)
+    told = infoflow.leaks(found, p.nodes, end).select("origin", "sink")
+    if through is not None:
+        under = through.dependent.select("branch", F.col("node").alias("under")).join(ends.withColumnRenamed("node", "under"), "under")
+        decided = through.conds.withColumnRenamed("node", "branch").join(under, "branch").select("branch", "base", "under")
+        by_branch = infoflow.leaks(found, p.nodes, decided.select(F.col("branch").alias("node"), "base"))
+        told = told.union(by_branch.join(decided.select(F.col("branch").alias("sink"), "base", "under"), ["sink", "base"]).select("origin", F.col("under").alias("sink")))
+    return told.distinct()

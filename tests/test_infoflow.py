@@ -127,3 +127,20 @@ def test_without_alias_search(spark, tmp_path):
     """Aliases made before the write go unseen without the search; those made after it do not."""
     found = leaks_of(spark, tmp_path, *[static(n, [], CASES[n][0]) for n in ("before", "after")], aliases=False)
     assert {s.split("#")[0] for _, s in found} == {"after"}
+
+
+IMPLICIT = {
+    # assigned under a branch on the value, under a branch below that, beside it, after it, and a sink that is called or not
+    "decides": ("x = get()\ny = 0\nif x == null goto L\ny = 1\nL:\nput(y)\nreturn", 1),
+    "nested": ("x = get()\ny = 0\nz = 5\nif x == null goto L\nif z == 0 goto L\ny = 1\nL:\nput(y)\nreturn", 1),
+    "other_branch": ("x = get()\ny = 0\nz = 5\nif z == 0 goto L\ny = 1\nL:\nput(y)\nreturn", 0),
+    "joined": ("x = get()\nif x == null goto L\nz = 1\nL:\ny = 2\nput(y)\nreturn", 0),
+    "called_or_not": ("x = get()\ny = 2\nif x == null goto L\nput(y)\nL:\nreturn", 1),
+    "field_under": (f"a = {NEW}\nb = a\nx = get()\nif x == null goto L\na.f = 1\nL:\ny = b.f\nput(y)\nreturn", 1),
+    "before_branch": ("y = 1\nx = get()\nif x == null goto L\nz = 1\nL:\nput(y)\nreturn", 0),
+}
+
+
+def test_implicit_flows(spark, tmp_path):
+    found = leaks_of(spark, tmp_path, *[static(n, [], body) for n, (body, _) in IMPLICIT.items()], implicit=True)
+    assert {n: len({o for o, s in found if s.split("#")[0] == n}) for n in IMPLICIT} == {n: want for n, (_, want) in IMPLICIT.items()}
