@@ -216,6 +216,66 @@ def call_graph_on_the_fly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.union(found["pts"].select(F.lit("pts"), "var", "obj")).distinct()
 
 
+_LINKED = f"""{_RING}, held AS (SELECT s_nationkey AS n, 's' || s_suppkey AS obj FROM supplier),
+peopled AS (SELECT src, dst FROM ring WHERE src IN (SELECT n FROM held) AND dst IN (SELECT n FROM held)),
+walk AS (SELECT DISTINCT n, n AS m FROM held JOIN nation ON n = n_nationkey UNION SELECT n, dst FROM walk JOIN peopled ON src = m)"""
+
+
+@register(
+    "points_to_loops",
+    f"""WITH RECURSIVE {_LINKED} SELECT 'v' || n AS var, obj FROM held UNION SELECT 'x' || walk.n, obj FROM walk JOIN held ON held.n = m UNION SELECT 'y' || w.n, obj FROM walk w JOIN peopled p ON p.src = w.m JOIN held ON held.n = p.dst
+    UNION SELECT 't' || n_nationkey, 'T' || n_nationkey FROM nation UNION SELECT 'r' || m, 'T' || n FROM walk""",
+)
+def points_to_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of a nation are linked to those of the nations after it; a loop follows the links and marks all it comes to.
+
+    What is loaded is loaded from again and stored into, so sets, edges and meeting bases feed each other.
+    """
+    supplier, nation, ring = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation"), _ring(spark, sf_dir)
+
+    def var(letter: str, column: str = "n_nationkey"):
+        return F.concat(F.lit(letter), F.col(column))
+
+    alloc = supplier.select(var("s", "s_suppkey").alias("obj"), var("v", "s_nationkey").alias("var")).union(nation.select(var("T"), var("t")))
+    simple = nation.select(var("v").alias("src"), var("x").alias("dst")).union(nation.select(var("y"), var("x")))
+    store = ring.select(var("v", "dst").alias("src"), var("v", "src").alias("base"), F.lit("next").alias("field")).union(nation.select(var("t"), var("x"), F.lit("tag")))
+    load = nation.select(var("x").alias("base"), F.lit("next").alias("field"), var("y").alias("dst")).union(nation.select(var("v"), F.lit("tag"), var("r")))
+    return pointsto.points_to(alloc, simple, store, load)["pts"].select("var", "obj")
+
+
+@register(
+    "call_graph_levels",
+    f"""WITH RECURSIVE {_RING}, nations AS (SELECT src, dst FROM ring WHERE dst IN (SELECT n_nationkey FROM nation)), reach AS (SELECT 0 AS n UNION SELECT dst FROM reach JOIN nations ON src = n)
+    SELECT 'call' AS kind, 'm' || src AS a, 'm' || dst AS b FROM nations JOIN reach ON src = n UNION SELECT 'pts', 'p' || n, 'P' FROM reach UNION SELECT 'pts', 'o' || src || '_' || dst, 'O' || dst FROM nations JOIN reach ON src = n""",
+)
+def call_graph_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's method calls those of the nations after it, level by level and in circles, and hands on what it was given."""
+    nation = table(spark, sf_dir, "nation")
+    ring = _ring(spark, sf_dir).join(nation.select(F.col("n_nationkey").alias("dst")), "dst").select("src", "dst")
+
+    def of(letter: str, *columns: str):
+        return F.concat(F.lit(letter), F.concat_ws("_", *columns))
+
+    idx = F.col("dst").cast("int").alias("idx")
+    start = spark.range(1)
+    alloc = ring.select(of("m", "src").alias("method"), of("O", "dst").alias("obj"), of("o", "src", "dst").alias("var")).union(start.select(F.lit("m0"), F.lit("P"), F.lit("p0")))
+    actuals = ring.select(of("m", "src").alias("method"), idx, F.lit(0).alias("pos"), of("p", "src").alias("var"))
+    found = pointsto.points_to_with_calls(
+        alloc=alloc,
+        simple=spark.createDataFrame([], "method string, src string, dst string"),
+        store=spark.createDataFrame([], "method string, src string, base string, field string"),
+        load=spark.createDataFrame([], "method string, base string, field string, dst string"),
+        invokes=ring.select(of("m", "src").alias("method"), idx, of("o", "src", "dst").alias("base"), F.lit("go").alias("subsig")),
+        dispatch=nation.select(of("K", "n_nationkey").alias("class"), F.lit("go").alias("subsig"), of("m", "n_nationkey").alias("target")),
+        types=nation.select(of("O", "n_nationkey").alias("obj"), of("K", "n_nationkey").alias("class")),
+        actuals=actuals,
+        formals=nation.select(of("m", "n_nationkey").alias("method"), F.lit(0).alias("pos"), of("p", "n_nationkey").alias("var")),
+        entries=start.select(F.lit("m0").alias("method")),
+    )
+    calls = found["call"].select(F.lit("call").alias("kind"), F.col("method").alias("a"), F.col("callee").alias("b"))
+    return calls.union(found["pts"].select(F.lit("pts"), "var", "obj")).distinct()
+
+
 @register(
     "side_effects",
     """WITH own AS (SELECT DISTINCT 'n' || c_nationkey AS method, CASE WHEN c_acctbal < 0 THEN 'write' ELSE 'read' END AS mode, c_mktsegment AS obj FROM customer)
