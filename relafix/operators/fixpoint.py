@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relafix.storage import counted_table, counted_tables, stage_table
+from relafix.storage import counted_table, counted_tables, empty_table, stage_table
 
 Relations = dict[str, DataFrame]
 Step = Callable[[Relations, Relations], Relations]
@@ -42,6 +42,12 @@ def _one_counted(tables: Relations) -> tuple[Relations, dict[str, int]]:
     return {name: table}, {name: n}
 
 
+def _seeded(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once; without rows it is a relation that the first rounds need not read."""
+    table, n = counted_table(df, name)
+    return table if n else empty_table(df.sparkSession, df.schema)
+
+
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -64,7 +70,7 @@ def fixpoint(
     reaching that limit raises ``NoFixpoint``.  ``stop`` sees each delta and may
     end the loop early, for "first result" queries.
     """
-    known = {name: [stage_table(df.distinct(), name)] for name, df in seeds.items()}
+    known = {name: [_seeded(df.distinct(), name)] for name, df in seeds.items()}
     delta = {name: parts[0] for name, parts in known.items()}
     for number in range(max_rounds):
         if stop is not None and stop(delta):
@@ -82,7 +88,7 @@ def fixpoint(
                 known[name].append(rows)
             if len(known[name]) > compact_every:
                 known[name] = [stage_table(_union(known[name]), name)]
-        delta = {n: fresh.get(n, df.limit(0)) for n, df in delta.items()}
+        delta = {n: fresh[n] if n in fresh else empty_table(df.sparkSession, df.schema) for n, df in delta.items()}
     else:
         if not partial:
             raise NoFixpoint(f"rows still appear after {max_rounds} rounds")

@@ -61,6 +61,13 @@ def stage_table(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def empty_table(spark: SparkSession, schema) -> DataFrame:
+    """No rows under ``schema``, in a form that Spark's optimizer sees through: joins with it are planned away."""
+    from pyspark.sql import functions as F
+
+    return spark.range(0).limit(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def counted_table(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
     """``stage_table`` and how many rows were written, counted by the tasks that write them."""
     from pyspark.sql import Observation
@@ -90,7 +97,7 @@ def counted_tables(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame],
             read = spark.read.schema(own.drop("__table").schema).parquet(f"{path}/__table={name}")
             out[name] = read.toDF(*df.columns)
         else:
-            out[name] = spark.createDataFrame([], df.schema)
+            out[name] = empty_table(spark, df.schema)
     return out, dict(counts)
 
 
