@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from relafix.operators import fieldsens
 from relafix.plans.catalogue import register
+from relafix.storage import stage_table
 from relafix.tables import table
 
 _BODIES = {
@@ -59,6 +60,7 @@ def _program(spark: SparkSession, sf_dir: str) -> tuple[fieldsens.Program, DataF
 
     lines = lines.withColumn("node", at(F.col("i"))).withColumn("x", named("x")).withColumn("z", F.when(F.col("z").isNotNull(), named("z")))
     lines = lines.withColumn("callee", F.when(F.col("kind") == "read", F.col("read")).when(F.col("kind") == "next", F.col("next")).when(F.col("kind") == "same", F.lit("same")))
+    lines = stage_table(lines.select("method", "i", "kind", "node", "x", "x_field", "z", "z_field", "callee", "rich"), "lines")
     calls, ends = lines.where("callee is not null"), lines.where("kind = 'return'")
     enters = lines.where("i = 0")
     after = at(F.col("i") + 1)
