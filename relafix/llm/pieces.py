@@ -1,15 +1,15 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The search keeps only a window of states as wide as the longest piece.  Whenever
-the backpointer paths of all states in the window meet in one boundary, the ids
+The search runs over a whole text and keeps only the window of places that a piece
+begun so far can end at, no wider than the longest piece.  Whenever
+the backpointer paths of all places of the window meet in one boundary, the ids
 up to that boundary are final and leave the window.  Memory is that of the part not
 yet certain: a few widths, and only where paths keep apart (a long run of one
 character, say) a number for each character of the run.
 
-Where no piece of a model has a space sign after another character, every path
-passes the boundary before a space sign, so the search commits there whatever
-follows.  Runs between such boundaries are searched apart and remembered: a run
-that was searched before is not searched again.
+After a commit at the last character read the search is where it began: one boundary, nothing
+open.  What it commits next depends on the text from there on alone, so the way from
+one such boundary to the next is remembered by its characters and not searched again.
 """
 
 from __future__ import annotations
@@ -48,20 +48,18 @@ class PieceModel:
         self.byte_ids, self.dummy_prefix, self.cache_size = byte_ids, dummy_prefix, cache
         self.width = max((len(p) for p in self.ids), default=1)
         self.unknown = min((s for _, s, _ in pieces), default=0.0) - _UNKNOWN_PENALTY
-        # of every prefix of a piece, what may follow it; the empty key has the score of a whole piece
-        self.trie: dict = {}
+        # of every prefix of a piece: what may follow it, and its score if it is a whole piece
+        self.trie: list = [{}, None]
         for piece, score, _ in pieces:
             node = self.trie
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = score
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = score
+        self.spanning = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         covered = {c for p in self.ids for c in p}
-        lone = "".join(c for c in "\n\r\t" if c not in covered)
-        # no piece has a space sign after another character: every path passes the boundary before one
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
-            self.words = None
-        else:
-            self.words = re.compile(f"{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" + (f"|[{lone}]" if lone else "")).findall
+        self.lone = "".join(c for c in "\n\r\t" if c not in covered)
+        # where commits are likely; whether the search does commit there, ``closed`` finds out
+        self.words = re.compile(f"{SPACE}*[^{SPACE}{self.lone}]+|{SPACE}+" + (f"|[{self.lone}]" if self.lone else "")).findall
         self.cache: dict[str, bytes] = {}
         self.out: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
 
@@ -74,42 +72,79 @@ class PieceModel:
         plain = [(p.id_to_piece(i), p.get_score(i), i) for i in every if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
         return cls(plain, [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
-    def stream(self, chars: str) -> Iterator[tuple[int, int]]:
-        """The pieces of ``chars`` as (start, end), committed as soon as they are certain."""
-        n, width, trie, unknown = len(chars), self.width, self.trie, self.unknown
+    def stream(self, chars: str, begin: int = 0, bare: list[int] | None = None) -> Iterator[tuple[int, int]]:
+        """The pieces of ``chars`` from the boundary ``begin`` on as (start, end), committed as soon as they are certain.
+
+        Committed boundaries beyond which nothing is open join ``bare`` before their pieces come out.
+        """
+        n, width, root, unknown = len(chars), self.width, self.trie[0], self.unknown
         # score and first boundary of the best path to each place of the window, counted from ``done``
-        done, at, score, back = 0, 0, [0.0], [0]
-        while at < n:
-            stop = min(n, at + width)
-            room = stop - done + width + 1 - len(score)
-            score += [_NEVER] * room
-            back += [0] * room
-            for at in range(at, stop):
-                here, place = score[at - done], at - done + 1
-                # an unknown character is a path of its own, so every place is reached
-                value = here + unknown
-                if value > score[place]:
-                    score[place], back[place] = value, at
-                node, place = trie, place - 1
-                for c in chars[at : at + width]:
-                    node = node.get(c)
-                    if node is None:
-                        break
-                    place += 1
-                    if "" in node:
-                        value = here + node[""]
-                        if value > score[place]:
-                            score[place], back[place] = value, at
-            at = stop
-            meet = n if at == n else self._meeting([p + done for p in range(at - done, len(score)) if score[p] > _NEVER], back, done)
+        blank = [_NEVER] * (2 * width + 2)
+        done, far, look, score, back = begin, 0, begin + width, blank[:], blank[:]
+        score[0] = 0.0
+        for at in range(begin, n):
+            place = at - done
+            if place + width >= len(score):
+                score += blank
+                back += blank
+            here, kids = score[place], root
+            # an unknown character is a path of its own, so every place is reached
+            value, reach = here + unknown, place + 1
+            if value > score[reach]:
+                score[reach], back[reach] = value, at
+            for c in chars[at : at + width]:
+                node = kids.get(c)
+                if node is None:
+                    break
+                kids, gain = node
+                place += 1
+                if gain is not None:
+                    value, reach = here + gain, place
+                    if value > score[place]:
+                        score[place], back[place] = value, at
+            if reach > far:
+                far = reach
+            if far + done == at + 1:
+                meet = at + 1
+            elif at + 1 >= look:
+                meet = self._meeting([p + done for p in range(at + 1 - done, far + 1) if score[p] > _NEVER], back, done)
+                look = at + 1 + width
+            else:
+                continue
             if meet > done:
                 path, p = [], meet
                 while p > done:
                     path.append((back[p - done], p))
                     p = back[p - done]
-                yield from reversed(path)
-                base, gone = score[meet - done], meet - done
-                score, back, done = [s - base for s in score[gone:]], back[gone:], meet
+                path.reverse()
+                if meet == far + done:
+                    if bare is not None:
+                        bare.append(meet)
+                    yield from path
+                    score, back, far = blank[:], blank[:], 0
+                    score[0] = 0.0
+                else:
+                    yield from path
+                    base, gone = score[meet - done], meet - done
+                    score, back, far = [s - base for s in score[gone:]], back[gone:], far - gone
+                done, look = meet, at + 1 + width
+
+    def closed(self, word: str) -> bool:
+        """Whether the search commits at the end of ``word`` and has nothing open there, whichever sign of ``words`` follows."""
+        if not self.spanning and word[-1] != SPACE:
+            return True
+        after = self.lone if word[-1] == SPACE else SPACE + self.lone
+        for start in range(max(0, len(word) - self.width), len(word)):
+            kids = self.trie[0]
+            for c in word[start:]:
+                node = kids.get(c)
+                if node is None:
+                    break
+                kids = node[0]
+            else:
+                if any(c in kids for c in after):
+                    return False
+        return True
 
     @staticmethod
     def _meeting(states: list[int], back: list[int], done: int) -> int:
@@ -121,38 +156,52 @@ class PieceModel:
             live.add(back[top - done])
         return live.pop()
 
-    def _ids(self, chars: str) -> array:
-        out, ids = array("i"), self.ids
-        for start, end in self.stream(chars):
+    def _searched(self, chars: str, begin: int, least: int) -> tuple[bytes, int]:
+        """Ids from the boundary ``begin`` to the first one at or after ``least`` beyond which nothing is open, and that one."""
+        out, ids, bare = array("i"), self.ids, [begin]
+        for start, end in self.stream(chars, begin, bare):
             found = ids.get(chars[start:end])
             if found is not None:
                 out.append(found)
             else:
                 raw = (SPACE if chars[start] == _LITERAL else chars[start]).encode("utf-8")
                 out.extend(self.byte_ids[b] for b in raw)
-        return out
+            if end == bare[-1] and end >= least:
+                break
+        return out.tobytes(), bare[-1]
+
+    def chars(self, text: str) -> str:
+        """What the search reads of a text: space signs for spaces, one more in front."""
+        chars = text.replace(SPACE, _LITERAL).replace(" ", SPACE)
+        return SPACE + chars if self.dummy_prefix else chars
 
     def packed(self, text: str) -> bytes:
         """Ids of a text as 32-bit integers in the machine's order; an empty text has none."""
         if not text:
             return b""
-        chars = text.replace(SPACE, _LITERAL).replace(" ", SPACE)
-        if self.dummy_prefix:
-            chars = SPACE + chars
-        if self.words is None:
-            return self._ids(chars).tobytes()
+        chars = self.chars(text)
         words, cache = self.words(chars), self.cache
         parts = list(map(cache.get, words))
-        if None in parts:
-            for i, part in enumerate(parts):
-                if part is None:
-                    word = words[i]
-                    parts[i] = found = cache.get(word) or self._ids(word).tobytes()
-                    if len(word) <= 48:
-                        if len(cache) >= self.cache_size:
-                            cache.clear()
-                        cache[word] = found
-        return b"".join(parts)
+        if None not in parts:
+            return b"".join(parts)
+        out, at, end = [], 0, 0
+        for word, part in zip(words, parts, strict=True):
+            end += len(word)
+            if at >= end:  # committed with what came before
+                continue
+            # the search stands at the word's first boundary with nothing open, or has passed it
+            part = (part or cache.get(word)) if at == end - len(word) else None
+            if part is None:
+                begin = at
+                part, at = self._searched(chars, begin, end)
+                if begin == end - len(word) and at == end and len(word) <= 48 and self.closed(word):
+                    if len(cache) >= self.cache_size:
+                        cache.clear()
+                    cache[word] = part
+            else:
+                at = end
+            out.append(part)
+        return b"".join(out)
 
     def encode(self, text: str) -> array:
         """Ids of a text."""

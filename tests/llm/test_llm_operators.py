@@ -691,6 +691,36 @@ def test_streaming_search_is_the_full_search():
             assert list(model.stream(chars)) == full_viterbi(scores, model.unknown, chars)
 
 
+def test_remembered_ways_are_those_of_the_search():
+    """Ids with the memo are those of one search, also where pieces span the places at which words are remembered."""
+    rng = random.Random(1)
+    toy = ["a", "b", "ab", "ba", "aab", "bbab", "▁", "▁a", "b▁a", "b▁", "▁▁", "a▁▁b", "\ta", "b\t"]
+    for seed in range(8):
+        draw = random.Random(seed)
+        scores = {p: draw.choice([-1.0, -2.0, -3.0, -4.0]) for p in draw.sample(toy, 9)}
+        model = pieces.PieceModel([(p, s, i) for i, (p, s) in enumerate(scores.items())], list(range(100, 356)), cache=40)
+        for _ in range(300):
+            text = "".join(rng.choice("aaabbb  \t\nc") for _ in range(rng.randint(1, 60)))
+            want = []
+            for a, b in full_viterbi(scores, model.unknown, model.chars(text)):
+                piece = model.chars(text)[a:b]
+                want += [model.ids[piece]] if piece in model.ids else [model.byte_ids[x] for x in piece.encode()]
+            assert list(model.encode(text)) == want, (scores, text)
+
+
+def test_prose_is_committed_while_it_streams(spark):
+    """The search over whole texts, without the memo, commits prose word by word and holds no more than a few widths."""
+    model = pieces.PieceModel.load(PIECE_MODEL)
+    for text in [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) between 500 and 3000").limit(20).collect()]:
+        chars, bare, last = model.chars(text), [], 0
+        stream = model.stream(chars, 0, bare)
+        for start, end in stream:
+            assert start == last and len(stream.gi_frame.f_locals["score"]) <= 8 * model.width
+            last = end
+        assert last == len(chars) and len(bare) > len(text.split(" ")) / 2
+        assert set(bare) >= {i for i in range(1, len(chars)) if chars[i] == "▁" != chars[i - 1]}
+
+
 def test_window_stays_bounded():
     model = pieces.PieceModel([("a", -5.0, 0), ("b", -5.0, 1), ("ab", -1.0, 2), ("ba", -1.2, 3)], list(range(100, 356)))
     stream, last, held = model.stream("ab" * 3000), 0, 0
