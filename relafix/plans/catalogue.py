@@ -58,7 +58,7 @@ def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _load() -> None:
     """Importing the modules registers their queries."""
-    from relafix.plans import analyses, bothways, core, fieldreads, leaks, relational  # noqa: F401
+    from relafix.plans import analyses, bothways, core, demanded, fieldreads, leaks, relational  # noqa: F401
 
 
 _load()
