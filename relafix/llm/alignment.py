@@ -32,6 +32,8 @@ from relafix.llm.shingles import give_back, small_batches
 from relafix.storage import stage_table
 
 _MEMO = 1 << 20
+#: A run of a million characters is about a megabyte as a row.
+_RUNS_A_FILE = 16
 _BYTE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 
 
@@ -265,7 +267,7 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, id_col: str = "d
     and count as such; other columns are not looked at; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    runs = stage_table(_runs(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), a_path, b_path, at_once), "runs")
+    runs = stage_table(_runs(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), a_path, b_path, at_once), "runs", _RUNS_A_FILE)
     asked = runs.select("run", F.posexplode(F.arrays_zip("pairs", "held")).alias("place", "p")).select("run", "place", F.col("p.pairs").alias("pair"), F.col("p.held").alias("held"))
     counts = stage_table(asked.groupBy("pair").agg(F.sum("held").alias("count")), "counts")
     highest = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("count").alias("highest"))

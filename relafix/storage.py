@@ -49,15 +49,17 @@ def cut(df: DataFrame) -> DataFrame:
         conf.set(_CONSTRAINTS, before)
 
 
-def stage_table(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage_table(df: DataFrame, name: str = "stage", rows_a_file: int = 0) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Smaller on disk than ``cut`` and with known sizes and columns, but the rows
-    come back in partitions of Spark's choosing.
+    come back in partitions of Spark's choosing.  Spark reads and writes thousands of rows of a
+    file at once; tables whose rows hold a megabyte each take files of few rows, ``rows_a_file``
+    at most (0: no bound), so a task's memory does not grow with what it reads.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/relafix-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from relafix import storage
 from relafix.llm import alignment, gridjoin, quantise
 from relafix.llm.queries import BYTE_MODEL, PIECE_MODEL
 
@@ -197,6 +199,22 @@ def test_alignment_by_hand(spark):
     assert sum(w[1] > 0 for w in want) > 60
 
 
+def test_runs_are_written_a_few_to_a_file(spark, monkeypatch):
+    """Readers take thousands of rows of a file at once; a run is a row of a megabyte."""
+    written = []
+
+    def spy(df, name="stage", *bounds):
+        written.append(storage.stage_table(df, name, *bounds))
+        return written[-1]
+
+    monkeypatch.setattr(alignment, "stage_table", spy)
+    rows = [(i, f"some words of text {i}") for i in range(50)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert alignment.align_tokenizers(table, BYTE_MODEL, PIECE_MODEL, at_once=1).count() == 50
+    files = written[0].groupBy(F.input_file_name().alias("file")).count().collect()
+    assert sum(f["count"] for f in files) == 50 and max(f["count"] for f in files) <= 16
+
+
 def test_alignment_of_no_documents(spark):
     assert alignment.align_tokenizers(spark.createDataFrame([], "doc_id long, text string"), BYTE_MODEL, PIECE_MODEL).count() == 0
     got = alignment.align_tokenizers(spark.createDataFrame([(1, None)], "doc_id long, text string"), BYTE_MODEL, PIECE_MODEL).collect()
