@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relafix.operators.fixpoint import Relations, by_source, fixpoint
@@ -52,10 +52,26 @@ def class_hierarchy_calls(invokes: DataFrame, subtype: DataFrame, dispatch: Data
     ``invokes`` has ``method, idx, kind, class, subsig``; static and special calls go to
     the declared class's own (or inherited) method, others to every subtype's.
     """
-    direct = invokes.where("kind in ('static', 'special')").join(dispatch, ["class", "subsig"])
-    virtual = invokes.where("kind in ('virtual', 'interface')").join(subtype.withColumnRenamed("super", "class"), "class").drop("class")
-    virtual = virtual.withColumnRenamed("sub", "class").join(dispatch, ["class", "subsig"])
-    return direct.unionByName(virtual.select(*direct.columns)).select(F.col("method").alias("src"), "idx", F.col("target").alias("tgt"), "kind").distinct()
+    # targets by declared type first, so that what many subtypes share is listed once for all sites
+    by = ["direct", "class", "subsig"]
+    sites = invokes.where("kind in ('static', 'special', 'virtual', 'interface')").select("method", "idx", "kind", F.col("kind").isin("static", "special").alias("direct"), "class", "subsig")
+    sites = stage_table(sites.dropna(subset=["class", "subsig"]).distinct(), "sites")
+    asked = sites.select(*by).distinct()
+    below = asked.where("not direct").join(subtype.withColumnRenamed("super", "class"), "class").withColumnRenamed("class", "declared").withColumnRenamed("sub", "class")
+    targets = asked.where("direct").join(dispatch, ["class", "subsig"]).select(*by, "target").union(below.join(dispatch, ["class", "subsig"]).select("direct", "declared", "subsig", "target"))
+    targets = stage_table(targets.distinct(), "targets")
+    edges = sites.groupBy(*by).agg(F.count("*").alias("n")).join(targets.groupBy(*by).agg(F.count("*").alias("m")), by).agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    site = ["method", "idx", "kind"]
+    sites = sites.withColumn("n", F.count("*").over(Window.partitionBy(*site)))
+    found = _spread(sites, edges).join(targets, by).select("n", F.col("method").alias("src"), "idx", F.col("target").alias("tgt"), "kind")
+    # only a site that is written with several declared types can meet one target twice
+    return found.where("n = 1").drop("n").unionByName(found.where("n > 1").drop("n").distinct())
+
+
+def _spread(rows: DataFrame, derived: int | None) -> DataFrame:
+    """``rows`` dealt out so that a task derives some half a million of the ``derived`` rows."""
+    tasks = min((derived or 0) // 500_000, 20_000)
+    return rows.repartition(tasks) if tasks > 1 else rows
 
 
 def reachable_methods(calls: DataFrame, entries: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from relafix import storage
 from relafix.functions import dnf, scalar
 from relafix.operators import flow, graph, ifds, pointsto, taint
 from relafix.operators.fixpoint import NoFixpoint, RoundLog, closure, fixpoint
@@ -157,6 +158,31 @@ def test_hierarchy_and_points_to(spark):
     assert rows(pointsto.may_alias(found["pts"])) == [("p", "r"), ("q", "s")]
 
 
+def counting(monkeypatch, module):
+    """Rows of every table that ``module`` stages, by name."""
+    sizes = {}
+
+    def spy(df, name="stage", *more):
+        table = storage.stage_table(df, name, *more)
+        sizes[name] = table.count()
+        return table
+
+    monkeypatch.setattr(module, "stage_table", spy)
+    return sizes
+
+
+def test_targets_are_found_once_for_all_sites(spark, monkeypatch):
+    """Sites of one type share its targets, however many subtypes inherit them; a site of two types names a target once."""
+    sizes = counting(monkeypatch, pointsto)
+    classes = spark.createDataFrame([("R", None, [])] + [(f"C{i}", "R", []) for i in range(50)], "name string, super string, interfaces array<string>")
+    methods = spark.createDataFrame([("R.m", "R", "m", False), ("C1.m", "C1", "m", False)], "sig string, class string, subsig string, abstract boolean")
+    sites = [(f"s{i}", 0, "virtual", "R", "m") for i in range(20)] + [("two", 0, "virtual", c, "m") for c in ("R", "C1", "C2")] + [("none", 0, "virtual", None, "m")]
+    invokes = spark.createDataFrame(sites + sites, "method string, idx int, kind string, class string, subsig string")
+    found = pointsto.class_hierarchy_calls(invokes, pointsto.subtypes(classes), pointsto.dispatch_table(classes, methods))
+    assert rows(found, "src", "tgt") == sorted((s, t) for s in [*(f"s{i}" for i in range(20)), "two"] for t in ("R.m", "C1.m"))
+    assert sizes["targets"] == 4  # of R two, of C1 and C2 one each
+
+
 def test_call_graph_on_the_fly(spark):
     def t(rows_, schema):
         return spark.createDataFrame(rows_, schema)
