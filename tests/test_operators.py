@@ -171,6 +171,24 @@ def counting(monkeypatch, module):
     return sizes
 
 
+def test_cells_are_found_once_for_objects_that_are_alike(spark, monkeypatch):
+    """All objects of ``p`` are stored into all of ``q``: the product is listed, never compared."""
+    sizes = counting(monkeypatch, pointsto)
+    ab = "obj string, var string"
+    alloc = spark.createDataFrame([(f"p{i}", "p") for i in range(20)] + [(f"q{i}", "q") for i in range(30)] + [("q1", "p"), ("n", None), (None, "q")], ab)
+    none = spark.createDataFrame([], "base string, field string, dst string")
+    store = spark.createDataFrame([("p", "q", "f"), ("p", "q", "f"), ("p", "q", "g")], "src string, base string, field string")
+    ok = spark.createDataFrame([(f"p{i}", "p") for i in range(10)] + [("q1", "p")], ab)
+    for typed, held in ((None, 21), (ok, 11)):
+        found = pointsto.points_to(alloc, spark.createDataFrame([], "src string, dst string"), store, none, typed)
+        # q1 is in both sets and in a class of its own, and so is the null object with types
+        cells = rows(found["heap"].where("obj is not null"), "obj", "field", "val")
+        assert len(cells) == len(set(cells)) == 30 * 2 * held
+        assert found["heap"].count() == 31 * 2 * held and sizes["cells"] <= 2 * 3 * 3
+        assert found["pts"].where("var = 'q'").count() == 31 and found["pts"].where("var = 'p'").count() == held
+        assert "Aggregate" not in found["heap"]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_targets_are_found_once_for_all_sites(spark, monkeypatch):
     """Sites of one type share its targets, however many subtypes inherit them; a site of two types names a target once."""
     sizes = counting(monkeypatch, pointsto)
