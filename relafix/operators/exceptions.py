@@ -38,7 +38,7 @@ def may_raise(raised: DataFrame, calls: DataFrame, traps: DataFrame, subtype: Da
     to a handler; ``escaping`` keeps the others.
     """
     calls = cut(calls.select("method", "idx", "callee").distinct())
-    shut = _caught(traps, subtype)
+    shut = _caught(traps, subtype, raised)
 
     def step(known: Relations, delta: Relations) -> Relations:
         out = _escaping(delta["r"], shut).select(F.col("method").alias("callee"), "type").distinct()
@@ -49,7 +49,7 @@ def may_raise(raised: DataFrame, calls: DataFrame, traps: DataFrame, subtype: Da
 
 def escaping(raises: DataFrame, traps: DataFrame, subtype: DataFrame) -> DataFrame:
     """``method, type``: what leaves a method, of the result of ``may_raise``."""
-    return _escaping(raises, _caught(traps, subtype)).select("method", "type").distinct()
+    return _escaping(raises, _caught(traps, subtype, raises)).select("method", "type").distinct()
 
 
 def handled(raises: DataFrame, traps: DataFrame, subtype: DataFrame) -> DataFrame:
@@ -58,7 +58,9 @@ def handled(raises: DataFrame, traps: DataFrame, subtype: DataFrame) -> DataFram
     return raises.join(wide, ["method", "type"]).where("idx >= begin AND idx < end").select("method", "idx", "handler", "type").distinct()
 
 
-def _caught(traps: DataFrame, subtype: DataFrame) -> DataFrame:
+def _caught(traps: DataFrame, subtype: DataFrame, raised: DataFrame) -> DataFrame:
+    """What each trap catches of the types that are raised at all; a type may have far more subtypes than that."""
+    subtype = subtype.join(raised.select(F.col("type").alias("sub")).distinct(), "sub", "left_semi")
     wide = traps.withColumnRenamed("type", "super").join(subtype, "super")
     return cut(wide.select("method", F.col("sub").alias("type"), "begin", "end").distinct())
 

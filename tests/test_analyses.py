@@ -105,6 +105,24 @@ def test_exceptions_pass_callers_until_a_handler(spark):
     assert rows(raises) == [("a", 5, "R"), ("a", 5, "X"), ("a", 6, "X"), ("b", 3, "R"), ("b", 3, "X"), ("c", 0, "R"), ("c", 1, "X"), ("d", 0, "X")]
     assert rows(exceptions.escaping(raises, traps, subtype)) == [("a", "X"), ("b", "R"), ("b", "X"), ("c", "R"), ("c", "X")]
     assert rows(exceptions.handled(raises, traps, subtype)) == [("a", 5, 8, "R"), ("d", 0, 4, "X")]
+
+
+def test_traps_are_held_against_raised_types_only(spark, monkeypatch):
+    """A trap of a wide type lists what is raised under it, not all of its subtypes."""
+    cuts = []
+
+    def spy(df):
+        cuts.append((df.columns, df.count()))
+        return df
+
+    monkeypatch.setattr(exceptions, "cut", spy)
+    raised = spark.createDataFrame([("a", 0, "T1"), ("a", 0, "T2"), ("a", 0, "X")], "method string, idx int, type string")
+    calls = spark.createDataFrame([("b", 1, "a")], "method string, idx int, callee string")
+    traps = spark.createDataFrame([("b", 1, 2, "T"), ("b", 5, 6, "X")], "method string, begin int, end int, type string")
+    subtype = spark.createDataFrame([(f"T{i}", "T") for i in range(100)] + [("T", "T"), ("X", "X")], "sub string, super string")
+    raises = exceptions.may_raise(raised, calls, traps, subtype)
+    assert rows(exceptions.escaping(raises, traps, subtype)) == [("a", "T1"), ("a", "T2"), ("a", "X"), ("b", "X")]
+    assert [n for columns, n in cuts if "begin" in columns] == [3, 3]
     units = table(spark, "method string, idx int, kind string", [("f", 0, "array"), ("f", 1, "assign"), ("f", 2, "division"), ("f", 3, None)])
     assert rows(exceptions.implicit(units), "idx", "type") == [(0, "java.lang.ArrayIndexOutOfBoundsException"), (0, "java.lang.NullPointerException"), (2, "java.lang.ArithmeticException")]
 
