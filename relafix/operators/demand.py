@@ -34,6 +34,16 @@ def _any() -> Column:
     return F.array().cast("array<string>")
 
 
+def left_by(want: DataFrame, param: DataFrame) -> DataFrame:
+    """``var, stack, actual``: wanted parameters with what the call on top of the stack hands on, or all calls if it is empty.
+
+    A parameter is wanted with as many stacks as its method has calls, so the call is part of the key.
+    """
+    free = want.where(F.size("stack") == 0).join(param.withColumnRenamed("formal", "var"), "var")
+    matched = want.withColumn("call", F.get("stack", F.lit(0))).join(param.withColumnRenamed("formal", "var"), ["call", "var"])
+    return free.select("var", "stack", "actual").union(matched.select("var", "stack", "actual"))
+
+
 def demanded(asked: DataFrame, alloc: DataFrame, assign: DataFrame, store: DataFrame, load: DataFrame, param: DataFrame, result: DataFrame, depth: int = 3, max_rounds: int = 1000) -> Relations:
     """What a search for the ``asked(var)`` visits and finds.
 
@@ -54,8 +64,7 @@ def demanded(asked: DataFrame, alloc: DataFrame, assign: DataFrame, store: DataF
         inside = want.join(t["assign"], F.col("var") == F.col("dst")).select("var", "stack", "src", stack.alias("from_stack"))
         into = want.join(t["result"], F.col("var") == F.col("dst")).select("var", "stack", F.col("returned").alias("src"), F.slice(F.concat(F.array("call"), stack), 1, depth).alias("from_stack"))
         # an empty stack stays empty: slices beyond the end have no elements
-        matched = (F.size("stack") == 0) | (F.get("stack", F.lit(0)) == F.col("call"))
-        out = want.join(t["param"], F.col("var") == F.col("formal")).where(matched).select("var", "stack", F.col("actual").alias("src"), F.slice("stack", 2, max(depth, 1)).alias("from_stack"))
+        out = left_by(want, t["param"]).select("var", "stack", F.col("actual").alias("src"), F.slice("stack", 2, max(depth, 1)).alias("from_stack"))
         return inside.union(into).union(out)
 
     def opened(want: DataFrame) -> DataFrame:

@@ -112,3 +112,17 @@ def test_recursion_ends(spark):
     asked = spark.createDataFrame([("u",), ("w",)], "var string")
     found = {(r.var, r.obj) for r in demand.points_to_of(asked, *frames(spark, p), depth=2).collect()}
     assert found >= {("u", "A"), ("w", "B")}
+
+
+def test_ways_out_of_a_method_are_joined_by_call(spark):
+    """As many stacks as calls meet at a parameter: only the call on top may be looked up there, not all of them."""
+    n = 30
+    p = parsed(alloc=", ".join(f"v{i} o{i}" for i in range(n)), assign="r p", param=", ".join(f"c{i} p v{i}" for i in range(n)), result=", ".join(f"c{i} got{i} r" for i in range(n)))
+    asked = spark.createDataFrame([(f"got{i}",) for i in range(n)], "var string")
+    found = demand.points_to_of(asked, *frames(spark, p)).collect()
+    assert sorted(map(tuple, found)) == sorted((f"got{i}", f"o{i}") for i in range(n))
+    wants = spark.createDataFrame([("p", [f"c{i}"]) for i in range(n)] + [("p", [])], "var string, stack array<string>")
+    out = demand.left_by(wants, spark.createDataFrame([(f"c{i}", "p", f"v{i}") for i in range(n)], "call string, formal string, actual string"))
+    assert out.count() == 2 * n
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 2 and any("call#" in line for line in joins)
