@@ -168,7 +168,7 @@ def dominators(edges: DataFrame, entry, keys: tuple[str, ...] = ()) -> DataFrame
     if not on:
         spark = edges.sparkSession
         entry = spark.range(1).select(F.lit(entry).alias("node"))
-    out = edges.withColumnRenamed("src", "node")
+    out = stage_table(edges.withColumnRenamed("src", "node").select(*on, "node", "dst").distinct(), "out", plain=True)
 
     def flow(known: Relations, delta: Relations) -> Relations:
         return {"reach": delta["reach"].join(out, [*on, "node"]).select(*on, F.col("dst").alias("node"))}
