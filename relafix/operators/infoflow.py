@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relafix.operators import alike
 from relafix.operators.fixpoint import Relations, fixpoint
 from relafix.operators.taint import appended
 from relafix.storage import stage_table
@@ -285,3 +286,25 @@ def leaks(found: Relations, nodes: DataFrame, sinks: DataFrame) -> DataFrame:
     own = hit.where(F.col("ctx").startswith("@")).select(F.substring("ctx", 2, 1 << 30).alias("origin"), F.col("node").alias("sink"), "base", "fields")
     inner = hit.join(nodes.select("node", F.col("method").alias("callee")), "node").join(origins(found, nodes), ["callee", "ctx"])
     return own.union(inner.select("origin", F.col("node").alias("sink"), "base", "fields")).distinct()
+
+
+def program_leaks(p: Program, sources: DataFrame, sinks: DataFrame, limit: int = 5, max_rounds: int = 1000) -> DataFrame:
+    """``leaks`` of ``analyse``, of methods that are alike and not called one analysed for all of them."""
+    tables = {
+        "cfg": alike.Rows(p.cfg, "src", ["dst"]),
+        "assigns": alike.Rows(p.assigns, "node", ["to_base", "from_base"]),
+        "kills": alike.Rows(p.kills, "node", ["base"]),
+        "calls": alike.Rows(p.calls, "node"),
+        "returns": alike.Rows(p.returns, "call", ["site"]),
+        "exits": alike.Rows(p.exits, "method", ["node"]),
+        "starts": alike.Rows(p.starts, "method", ["node"]),
+        "args": alike.Rows(p.args, "node", ["base"]),
+        "params": alike.Rows(p.params, "method", ["base"]),
+        "sources": alike.Rows(sources, "node", ["base"]),
+        "sinks": alike.Rows(sinks, "node", ["base"]),
+    }
+    fixed = p.statics.select("base").union(p.statics.sparkSession.range(1).select(F.lit(THROWN)))
+    less, copies = alike.kept(tables, p.nodes, p.calls.select("callee"), fixed)
+    sources, sinks = less.pop("sources"), stage_table(less.pop("sinks"), "sinks")
+    found = leaks(analyse(Program(nodes=copies.nodes, statics=p.statics, **less), sources, limit, max_rounds=max_rounds), copies.nodes, sinks)
+    return copies.spread(stage_table(found, "found"), {"origin": [], "sink": ["base"]})

@@ -104,4 +104,4 @@ def _sql() -> str:
 def whole_program_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers whose value shows under the other name of the object it was written into."""
     program, sources, sinks = _program(spark, sf_dir)
-    return infoflow.leaks(infoflow.analyse(program, sources), program.nodes, sinks).select("origin", "sink").distinct()
+    return infoflow.program_leaks(program, sources, sinks).select("origin", "sink").distinct()
