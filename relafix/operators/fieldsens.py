@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relafix.operators import alike
 from relafix.operators.fixpoint import Relations, fixpoint
 from relafix.storage import stage_table
 
@@ -246,3 +247,25 @@ def ending(found: Relations, max_rounds: int = 1000) -> DataFrame:
         return {"e": up.join(delta["e"].toDF("c_method", "c_entry", "c_prefix"), ["c_method", "c_entry", "c_prefix"], "left_semi").select(*_CONTEXT)}
 
     return fixpoint({"e": seeds}, step, max_rounds)["e"]
+
+
+def program_reached(p: Program, seeds: DataFrame, sinks: DataFrame, widen: int = 32, max_rounds: int = 1000) -> DataFrame:
+    """``reached`` of ``analyse``, of methods that are alike and not called one analysed for all of them."""
+    tables = {
+        "cfg": alike.Rows(p.cfg, "src", ["dst"]),
+        "assigns": alike.Rows(p.assigns, "node", ["to_base", "from_base"]),
+        "kills": alike.Rows(p.kills, "node", ["base"]),
+        "overwrites": alike.Rows(p.overwrites, "node", ["base"]),
+        "calls": alike.Rows(p.calls, "node"),
+        "returns": alike.Rows(p.returns, "call", ["site"]),
+        "starts": alike.Rows(p.starts, "method", ["node"]),
+        "exits": alike.Rows(p.exits, "method", ["node"]),
+        "args": alike.Rows(p.args, "node", ["base"]),
+        "params": alike.Rows(p.params, "method", ["base"]),
+        "seeds": alike.Rows(seeds, "method", ["node", "base"]),
+        "sinks": alike.Rows(sinks, "node", ["base"]),
+    }
+    less, copies = alike.kept(tables, p.nodes, p.calls.select("callee"), p.nodes.select(F.col("node").alias("base")).limit(0))
+    seeds, sinks = less.pop("seeds"), stage_table(less.pop("sinks"), "sinks")
+    found = reached(analyse(Program(nodes=copies.nodes, **less), seeds, widen, max_rounds), sinks)
+    return copies.spread(stage_table(found, "found"), {"node": ["base"]})

@@ -90,7 +90,7 @@ _SQL = """SELECT c_custkey AS custkey, c_nationkey AS nationkey FROM customer WH
 def field_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers whose hidden value comes back from their nation's reader."""
     program, seeds, sinks = _program(spark, sf_dir)
-    shown = fieldsens.reached(fieldsens.analyse(program, seeds), sinks)
+    shown = fieldsens.program_reached(program, seeds, sinks)
     methods = shown.select(F.substring_index("node", ":", 1).alias("method")).distinct()
     customer = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("method"), F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("nationkey"))
     return customer.join(methods, "method", "left_semi").select("custkey", "nationkey")
