@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relafix.operators.fixpoint import Relations, fixpoint
+from relafix.storage import stage_table
 
 
 def appended(fields: Column, more: Column, limit: int) -> tuple[Column, Column]:
@@ -86,15 +87,20 @@ def leaks(taints: DataFrame, sinks: DataFrame) -> DataFrame:
 def drop_entailed(found: DataFrame) -> DataFrame:
     """Leaks without those that a shorter path at the same sink, base and origin stands for.
 
-    A path's own prefixes are made and looked up, so paths are never compared pair by pair.
+    A path's own prefixes are looked up by length and hash, so paths are never compared pair by pair and no prefix is
+    written out; where hashes meet, the paths themselves decide.
     """
-    key = ["sink", "base", "origin", "fields"]
+    same = ["sink", "base", "origin"]
+    found = stage_table(found, "found")
+    marks = stage_table(found.select(*same, F.size("fields").alias("n"), F.xxhash64("fields").alias("mark")).distinct(), "marks", plain=True)
     sizes = F.sequence(F.lit(0), F.size("fields") - 1)
-    prefixes = F.when(F.size("fields") > 0, F.transform(sizes, lambda n: F.slice("fields", F.lit(1), n)))
-    shorter = found.select(*key, F.explode(prefixes).alias("by"))
-    by = found.select("sink", "base", "origin", F.col("fields").alias("by")).distinct()
-    entailed = shorter.join(by, ["sink", "base", "origin", "by"], "left_semi").select(*key).distinct()
-    return found.join(entailed, key, "left_anti").select(*found.columns)
+    prefixes = F.when(F.size("fields") > 0, F.transform(sizes, lambda n: F.xxhash64(F.slice("fields", F.lit(1), n))))
+    own = found.select(*same, F.size("fields").alias("n"), F.xxhash64("fields").alias("mark"), "fields").distinct()
+    tried = found.select(*same, F.size("fields").alias("n"), F.xxhash64("fields").alias("mark"), F.posexplode(prefixes).alias("by_n", "by_mark"))
+    met = stage_table(tried.join(marks.toDF(*same, "by_n", "by_mark"), [*same, "by_n", "by_mark"], "left_semi").distinct(), "met", plain=True)
+    pairs = met.join(own, [*same, "n", "mark"]).join(own.toDF(*same, "by_n", "by_mark", "by"), [*same, "by_n", "by_mark"])
+    entailed = pairs.where(F.slice("fields", F.lit(1), F.col("by_n")) == F.col("by")).select(*same, "fields").distinct()
+    return found.join(entailed, [*same, "fields"], "left_anti").select(*found.columns)
 
 
 def paths(taints: DataFrame, found: DataFrame) -> DataFrame:
