@@ -11,6 +11,7 @@ from relafix.operators.fixpoint import closure
 from relafix.plans import passes
 from relafix.plans.catalogue import TRADE_SQL, register, trade_edges
 from relafix.plans.vulnerabilities import accepted
+from relafix.storage import partitions_for, stage_table
 from relafix.tables import table
 
 _PART_SQL = "parts AS (SELECT DISTINCT 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem)"
@@ -61,7 +62,8 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers tied by orders."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     edges = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst")).distinct()
-    return graph.components(edges)
+    with partitions_for(spark, lines.count()):
+        return stage_table(graph.components(edges), "components")
 
 
 _EVENT_CFG = """seq AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"""

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 _PLAIN = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
 
 
@@ -50,6 +53,21 @@ def cut(df: DataFrame) -> DataFrame:
         conf.set(_CONSTRAINTS, before)
 
 
+@contextmanager
+def partitions_for(spark: SparkSession, rows: int, a_task: int = 1_000_000) -> Iterator[None]:
+    """Meanwhile shuffles of ``rows`` rows are dealt over so many partitions that a task gets some ``a_task`` of them.
+
+    Never fewer than the session asks for; adaptive execution joins small ones again. A task's memory does not grow with the
+    tables then. Only what is written inside counts: plans that are handed on run under the session's own number.
+    """
+    before = spark.conf.get(_PARTITIONS)
+    spark.conf.set(_PARTITIONS, str(max(int(before), min(rows // a_task, 20_000))))
+    try:
+        yield
+    finally:
+        spark.conf.set(_PARTITIONS, before)
+
+
 def stage_table(df: DataFrame, name: str = "stage", rows_a_file: int = 0, plain: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 

@@ -298,3 +298,14 @@ def test_long_paths_are_looked_up_without_writing_out_their_prefixes(spark):
     found = spark.createDataFrame(rows_in, "sink int, base string, origin int, fields array<string>")
     left = taint.drop_entailed(found)
     assert sorted(len(r.fields or []) for r in left.collect()) == [0, 2] + [3001] * 30
+
+
+def test_shuffles_get_partitions_by_rows_and_the_session_keeps_its_number(spark):
+    from relafix.storage import partitions_for
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with partitions_for(spark, 90, 10):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "9"
+    with partitions_for(spark, 90, 90):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
