@@ -15,12 +15,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relafix.operators.fixpoint import Relations, fixpoint
 from relafix.operators.ifds import Problem
-from relafix.storage import counted_tables, empty_table
+from relafix.storage import counted_table, counted_tables, empty_table
 
 FORWARD, BACKWARD = "forward", "backward"
 _EDGE = ("way", "entry_fact", "node", "fact", "source")
@@ -28,28 +28,42 @@ _LEAK = ("way", "source", "call", "site", "fact")
 
 
 def _both(forward: Problem, backward: Problem) -> dict[str, DataFrame]:
-    """The tables of both problems under one ``way`` column, written by one job."""
-    names = {
-        "starts": ("method", "node"),
-        "exits": ("method", "node"),
-        "normal": ("src", "dst", "fact", "out"),
-        "call": ("node", "callee", "fact", "out"),
-        "ret": ("node", "callee", "exit", "site", "fact", "out"),
-        "bypass": ("node", "site", "fact", "out"),
-        "seeds": ("node", "fact"),
-    }
+    """The tables of both problems under one ``way`` column, in the form that rounds look them up in.
 
-    def tagged(problem: Problem, way: str, name: str) -> DataFrame:
-        return getattr(problem, name).select(F.lit(way).alias("way"), *names[name])
+    A round reads each of them whole, so what one lookup can tell is one table, and what only methods
+    entered by a call need holds those methods alone: ``onward(way, node, fact, dst, out)`` goes on in a method,
+    ``leaving(way, node, fact, callee, call, site, out)`` leaves it at its ends, ``back`` are the returns of calls that enter.
+    Rows of ``onward`` and returns may repeat: each stands alone in a join, so they cost no more than themselves.
+    """
 
-    together = {name: tagged(forward, FORWARD, name).unionByName(tagged(backward, BACKWARD, name)).distinct() for name in names}
-    return counted_tables(together)[0]
+    def tagged(name: str, *columns: str) -> DataFrame:
+        rows = [getattr(problem, name).select(F.lit(way).alias("way"), *columns) for problem, way in ((forward, FORWARD), (backward, BACKWARD))]
+        return rows[0].unionByName(rows[1])
+
+    small = {
+        "starts": tagged("starts", "method", "node"),
+        "exits": tagged("exits", "method", "node"),
+        "call": tagged("call", "node", "callee", "fact", "out"),
+        "seeds": tagged("seeds", "node", "fact"),
+    }
+    t = counted_tables({name: rows.distinct() for name, rows in small.items()})[0]
+    normal, bypass = tagged("normal", "src", "dst", "fact", "out"), tagged("bypass", "node", "site", "fact", "out")
+    onward = normal.withColumnRenamed("src", "node").unionByName(bypass.withColumnRenamed("site", "dst")).select("way", "node", "fact", "dst", "out")
+    ret = tagged("ret", "node", "callee", "exit", "site", "fact", "out").withColumnRenamed("node", "call")
+    ends = t["exits"].select("way", F.col("method").alias("callee"), F.col("node").alias("exit"))
+    leaving = ret.join(ends, ["way", "callee", "exit"]).select("way", F.col("exit").alias("node"), "fact", "callee", "call", "site", "out")
+    entered = t["call"].select("way", "callee", F.col("node").alias("call")).distinct()
+    shared = t["exits"].join(entered.select("way", F.col("callee").alias("method")).distinct(), ["way", "method"], "left_semi").select("way", "node").distinct()
+    for name, rows in {"onward": onward, "leaving": leaving, "back": ret.join(entered, ["way", "callee", "call"], "left_semi"), "ends": t["exits"].join(shared, ["way", "node"], "left_semi")}.items():
+        table, n = counted_table(rows, name)
+        t[name] = table if n else empty_table(table.sparkSession, table.schema)
+    return t
 
 
 def _turned(leaks: DataFrame) -> DataFrame:
     """The calls that the other way may now go on to: ``way, source, call``."""
     other = F.when(F.col("way") == FORWARD, BACKWARD).otherwise(FORWARD)
-    return leaks.select(other.alias("way"), "source", "call").distinct()
+    return leaks.select(other.alias("way"), "source", "call")
 
 
 def entangle(forward: Problem, backward: Problem, zero: str = "0", max_rounds: int = 1000) -> Relations:
@@ -69,7 +83,7 @@ def entangle(forward: Problem, backward: Problem, zero: str = "0", max_rounds: i
     same method brought there may return to all of them.
     """
     t = _both(forward, backward)
-    normal, call, ret, bypass, exits = (t[n] for n in ("normal", "call", "ret", "bypass", "exits"))
+    call, onward, leaving, returns, ends = (t[n] for n in ("call", "onward", "leaving", "back", "ends"))
     starts = t["starts"].select("way", F.col("method").alias("callee"), F.col("node").alias("start"))
 
     def enter(edge: DataFrame) -> DataFrame:
@@ -78,38 +92,35 @@ def entangle(forward: Problem, backward: Problem, zero: str = "0", max_rounds: i
     def arrivals(edge: DataFrame) -> DataFrame:
         return enter(edge).select("way", "callee", F.col("out").alias("entry_fact"), F.col("node").alias("call"), F.col("fact").alias("caller_fact"))
 
-    def ended(edge: DataFrame) -> DataFrame:
-        return edge.join(exits, ["way", "node"]).withColumnRenamed("node", "exit")
-
     def summaries(edge: DataFrame) -> DataFrame:
-        return ended(edge.where("source is null")).select("way", "method", "entry_fact", "exit", "fact")
+        return edge.where("source is null").join(ends, ["way", "node"]).select("way", "method", "entry_fact", F.col("node").alias("exit"), "fact")
 
     def leaks(edge: DataFrame) -> DataFrame:
-        left = ended(edge.where("source is not null")).withColumnRenamed("method", "callee")
-        return left.join(ret, ["way", "callee", "exit", "fact"]).select("way", "source", F.col("node").alias("call"), "site", F.col("out").alias("fact"))
+        return edge.where("source is not null").join(leaving, ["way", "node", "fact"]).select("way", "source", "call", "site", F.col("out").alias("fact"))
 
-    def resumed(leak: DataFrame, others: DataFrame) -> DataFrame:
-        met = leak.join(_turned(others), ["way", "source", "call"], "left_semi")
+    def resumed(fresh: DataFrame, known: DataFrame) -> DataFrame:
+        # pairs that did not change went on before; where both ways meet at one that did, all its leaks go on
+        pair = Window.partitionBy("source", "call")
+        changed = known.join(fresh.select("source", "call").distinct(), ["source", "call"], "left_semi")
+        met = changed.withColumn("__first", F.min("way").over(pair)).withColumn("__last", F.max("way").over(pair)).where("__first <> __last")
         return met.select("way", F.lit(zero).alias("entry_fact"), F.col("site").alias("node"), "fact", F.col("call").alias("source"))
 
     def back(incoming: DataFrame, summary: DataFrame, edge: DataFrame) -> DataFrame:
         met = incoming.join(summary.withColumnRenamed("method", "callee"), ["way", "callee", "entry_fact"])
-        out = met.join(ret.withColumnRenamed("node", "call"), ["way", "call", "callee", "exit", "fact"]).select("way", "call", "caller_fact", "site", F.col("out").alias("fact"))
+        out = met.join(returns, ["way", "call", "callee", "exit", "fact"]).select("way", "call", "caller_fact", "site", F.col("out").alias("fact"))
         callers = edge.select("way", "entry_fact", F.col("node").alias("call"), F.col("fact").alias("caller_fact"), "source")
         return out.join(callers, ["way", "call", "caller_fact"]).select("way", "entry_fact", F.col("site").alias("node"), "fact", "source")
 
     def step(known: Relations, delta: Relations) -> Relations:
         fresh = delta["edge"]
         terms = [
-            fresh.withColumnRenamed("node", "src").join(normal, ["way", "src", "fact"]).select("way", "entry_fact", F.col("dst").alias("node"), F.col("out").alias("fact"), "source"),
-            fresh.join(bypass, ["way", "node", "fact"]).select("way", "entry_fact", F.col("site").alias("node"), F.col("out").alias("fact"), "source"),
+            fresh.join(onward, ["way", "node", "fact"]).select("way", "entry_fact", F.col("dst").alias("node"), F.col("out").alias("fact"), "source"),
             enter(fresh).join(starts, ["way", "callee"]).select("way", F.col("out").alias("entry_fact"), F.col("start").alias("node"), F.col("out").alias("fact"), F.lit(None).cast(fresh.schema["source"].dataType).alias("source")),
             # three recursive atoms, one term for the news of each
             back(delta["incoming"], known["summary"], known["edge"]),
             back(known["incoming"], delta["summary"], known["edge"]),
             back(known["incoming"], known["summary"], fresh),
             resumed(delta["leak"], known["leak"]),
-            resumed(known["leak"], delta["leak"]),
         ]
         return {"edge": reduce(DataFrame.union, [term.select(*_EDGE) for term in terms]), "incoming": arrivals(fresh), "summary": summaries(fresh), "leak": leaks(fresh)}
 

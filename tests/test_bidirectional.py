@@ -108,3 +108,13 @@ def test_no_seeds(spark):
     bare = {"p": "> flow a b 0 x | > exit m b | > ret c m b f x u | < ret c m a g y v"}
     found = bi.entangle(tables(spark, bare, ">"), tables(spark, bare, "<"))
     assert all(df.isEmpty() for df in found.values()) and bi.departures(found).isEmpty() and bi.waiting(found).isEmpty()
+
+
+def test_rounds_look_up_what_they_need(spark):
+    """Returns of calls that nothing enters are no part of what rounds hold against summaries."""
+    many = " | ".join(f"> ret c{i} bar e f{i} x u" for i in range(20))
+    text = {"p": PROGRAMS["balanced_between"] + " | " + many}
+    forward, backward = tables(spark, text, ">"), tables(spark, text, "<")
+    held = bi._both(forward, backward)
+    assert {(r.call, r.callee) for r in held["back"].collect()} == {("p.k", "p.h")}
+    assert held["leaving"].where("way = 'forward' and callee = 'p.bar'").distinct().count() == 21 and {r.node for r in held["ends"].collect()} == {"p.he"}
