@@ -18,6 +18,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark import SparkFiles
@@ -33,6 +34,8 @@ _LITERAL = "\udfff"
 #: Fixed value of the reference algorithm: an unknown character costs this much more than the worst piece.
 _UNKNOWN_PENALTY = 10.0
 _NEVER = float("-inf")
+#: Pieces that begin at a place are remembered by so many characters; where longer ones may follow, the trie tells.
+_SEEN = 4
 
 
 class PieceModel:
@@ -58,9 +61,21 @@ class PieceModel:
         self.spanning = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         covered = {c for p in self.ids for c in p}
         self.lone = "".join(c for c in "\n\r\t" if c not in covered)
+        # letters, and whatever may follow one in a piece: no piece goes on from these to another sign but a space
+        pairs = {pair for p in self.ids for pair in pairwise(p) if pair[1] != SPACE}
+        inner = new = {c for c in covered if c.isalpha()}
+        while new:
+            new = {b for a, b in pairs if a in inner and b not in inner}
+            inner = inner | new
+        word = re.escape("".join(sorted(inner - {SPACE})))
         # where commits are likely; whether the search does commit there, ``closed`` finds out
-        self.words = re.compile(f"{SPACE}*[^{SPACE}{self.lone}]+|{SPACE}+" + (f"|[{self.lone}]" if self.lone else "")).findall
+        other = f"[^{SPACE}{self.lone}{word}]+"
+        runs = f"(?:[{word}]+|{other}[{word}]*)" if word else other
+        self.words = re.compile(f"{SPACE}*{runs}|{SPACE}+" + (f"|[{self.lone}]" if self.lone else "")).findall
+        # ways remembered lately, and those of the time before: used ones move over, the rest go, so common words stay
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.starts: dict[str, tuple] = {}
         self.out: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
 
     @classmethod
@@ -72,12 +87,38 @@ class PieceModel:
         plain = [(p.id_to_piece(i), p.get_score(i), i) for i in every if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
         return cls(plain, [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
+    def _starting(self, seen: str) -> tuple[list[tuple[int, float]], dict]:
+        """Lengths and scores of the pieces that ``seen`` begins with, and what may follow where longer ones go on."""
+        ends, kids = [], self.trie[0]
+        for length, c in enumerate(seen, 1):
+            node = kids.get(c)
+            if node is None:
+                kids = {}
+                break
+            kids, gain = node
+            if gain is not None:
+                ends.append((length, gain))
+        # an unknown character is a path of its own, so every place is reached; a piece of one character is always better
+        if not ends or ends[0][0] != 1:
+            ends.insert(0, (1, self.unknown))
+        if len(self.starts) >= 100_000:
+            self.starts.clear()
+        self.starts[seen] = ends, kids
+        return ends, kids
+
     def stream(self, chars: str, begin: int = 0, bare: list[int] | None = None) -> Iterator[tuple[int, int]]:
         """The pieces of ``chars`` from the boundary ``begin`` on as (start, end), committed as soon as they are certain.
 
         Committed boundaries beyond which nothing is open join ``bare`` before their pieces come out.
         """
-        n, width, root, unknown = len(chars), self.width, self.trie[0], self.unknown
+        for path, free in self._commits(chars, begin):
+            if free and bare is not None:
+                bare.append(path[-1])
+            yield from pairwise(path)
+
+    def _commits(self, chars: str, begin: int) -> Iterator[tuple[list[int], bool]]:
+        """For each commit its boundaries, the last one before included, and whether nothing is open beyond it."""
+        n, width, remembered = len(chars), self.width, self.starts.get
         # score and first boundary of the best path to each place of the window, counted from ``done``
         blank = [_NEVER] * (2 * width + 2)
         done, far, look, score, back = begin, 0, begin + width, blank[:], blank[:]
@@ -87,21 +128,24 @@ class PieceModel:
             if place + width >= len(score):
                 score += blank
                 back += blank
-            here, kids = score[place], root
-            # an unknown character is a path of its own, so every place is reached
-            value, reach = here + unknown, place + 1
-            if value > score[reach]:
-                score[reach], back[reach] = value, at
-            for c in chars[at : at + width]:
-                node = kids.get(c)
-                if node is None:
-                    break
-                kids, gain = node
-                place += 1
-                if gain is not None:
-                    value, reach = here + gain, place
-                    if value > score[place]:
-                        score[place], back[place] = value, at
+            here, seen = score[place], chars[at : at + _SEEN]
+            ends, kids = remembered(seen) or self._starting(seen)
+            for length, gain in ends:
+                value, reach = here + gain, place + length
+                if value > score[reach]:
+                    score[reach], back[reach] = value, at
+            if kids:
+                place += _SEEN
+                for c in chars[at + _SEEN : at + width]:
+                    node = kids.get(c)
+                    if node is None:
+                        break
+                    kids, gain = node
+                    place += 1
+                    if gain is not None:
+                        value, reach = here + gain, place
+                        if value > score[place]:
+                            score[place], back[place] = value, at
             if reach > far:
                 far = reach
             if far + done == at + 1:
@@ -112,19 +156,17 @@ class PieceModel:
             else:
                 continue
             if meet > done:
-                path, p = [], meet
+                path, p = [meet], meet
                 while p > done:
-                    path.append((back[p - done], p))
                     p = back[p - done]
+                    path.append(p)
                 path.reverse()
                 if meet == far + done:
-                    if bare is not None:
-                        bare.append(meet)
-                    yield from path
+                    yield path, True
                     score, back, far = blank[:], blank[:], 0
                     score[0] = 0.0
                 else:
-                    yield from path
+                    yield path, False
                     base, gone = score[meet - done], meet - done
                     score, back, far = [s - base for s in score[gone:]], back[gone:], far - gone
                 done, look = meet, at + 1 + width
@@ -158,30 +200,44 @@ class PieceModel:
 
     def _searched(self, chars: str, begin: int, least: int) -> tuple[bytes, int]:
         """Ids from the boundary ``begin`` to the first one at or after ``least`` beyond which nothing is open, and that one."""
-        out, ids, bare = array("i"), self.ids, [begin]
-        for start, end in self.stream(chars, begin, bare):
-            found = ids.get(chars[start:end])
-            if found is not None:
-                out.append(found)
-            else:
-                raw = (SPACE if chars[start] == _LITERAL else chars[start]).encode("utf-8")
-                out.extend(self.byte_ids[b] for b in raw)
-            if end == bare[-1] and end >= least:
-                break
-        return out.tobytes(), bare[-1]
+        out, ids, bare = [], self.ids, begin
+        for path, free in self._commits(chars, begin):
+            for start, end in pairwise(path):
+                found = ids.get(chars[start:end])
+                if found is not None:
+                    out.append(found)
+                else:
+                    raw = (SPACE if chars[start] == _LITERAL else chars[start]).encode("utf-8")
+                    out.extend(self.byte_ids[b] for b in raw)
+            if free:
+                bare = path[-1]
+                if bare >= least:
+                    break
+        return array("i", out).tobytes(), bare
 
     def chars(self, text: str) -> str:
         """What the search reads of a text: space signs for spaces, one more in front."""
         chars = text.replace(SPACE, _LITERAL).replace(" ", SPACE)
         return SPACE + chars if self.dummy_prefix else chars
 
+    def _remember(self, word: str, part: bytes) -> None:
+        if len(self.cache) >= self.cache_size // 2:
+            self.cache, self.older = {}, self.cache
+        self.cache[word] = part
+
+    def _remembered(self, word: str) -> bytes | None:
+        part = self.cache.get(word)
+        if part is None and (part := self.older.get(word)) is not None:
+            self._remember(word, part)
+        return part
+
     def packed(self, text: str) -> bytes:
         """Ids of a text as 32-bit integers in the machine's order; an empty text has none."""
         if not text:
             return b""
         chars = self.chars(text)
-        words, cache = self.words(chars), self.cache
-        parts = list(map(cache.get, words))
+        words = self.words(chars)
+        parts = list(map(self.cache.get, words))
         if None not in parts:
             return b"".join(parts)
         out, at, end = [], 0, 0
@@ -190,14 +246,12 @@ class PieceModel:
             if at >= end:  # committed with what came before
                 continue
             # the search stands at the word's first boundary with nothing open, or has passed it
-            part = (part or cache.get(word)) if at == end - len(word) else None
+            part = (part or self._remembered(word)) if at == end - len(word) else None
             if part is None:
                 begin = at
                 part, at = self._searched(chars, begin, end)
                 if begin == end - len(word) and at == end and len(word) <= 48 and self.closed(word):
-                    if len(cache) >= self.cache_size:
-                        cache.clear()
-                    cache[word] = part
+                    self._remember(word, part)
             else:
                 at = end
             out.append(part)

@@ -761,3 +761,17 @@ def test_pieces_round_trip(spark, odd_docs, no_docs):
     assert sorted(map(str, back.select("text").collect())) == sorted(map(str, odd_docs.select("text").collect()))
     assert out.where("ids is null").select("doc_id").collect()[0].doc_id == 2
     assert pieces.encode_texts(no_docs, PIECE_MODEL).count() == 0
+
+
+def test_pieces_part_where_no_piece_spans():
+    """Signs that no piece joins to a letter are looked up apart, and words in use outlive a full memory."""
+    model = pieces.PieceModel([("▁", -1.0, 0), ("a", -1.0, 1), ("b", -2.0, 2), ("ab", -1.5, 3), (".", -1.0, 4), ("..", -1.5, 5), ("(a", -1.0, 6), ("b'", -1.0, 7)], list(range(100, 356)), cache=8)
+    assert model.words("▁ab...▁(ab'.▁é") == ["▁ab", "...", "▁(ab'", ".", "▁é"]
+    for text in ("ab ab. ab.. ab... (ab'.", "é(a.b' ab'ab", "..ab"):
+        chars = model.chars(text)
+        found = [chars[start:end] for start, end in model.stream(chars)]
+        wanted = [i for p in found for i in ([model.ids[p]] if p in model.ids else [model.byte_ids[x] for x in p.encode()])]
+        assert list(model.encode(text)) == wanted and model.decode(model.encode(text)) == text
+    for i in range(20):
+        model.encode("ab " + "a" * (i + 2))
+    assert "▁ab" in model.cache or "▁ab" in model.older
