@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -46,14 +47,14 @@ class PieceModel:
     fall back to byte pieces.
     """
 
-    def __init__(self, pieces: list[tuple[str, float, int]], byte_ids: list[int], dummy_prefix: bool = True, cache: int = 250_000):
+    def __init__(self, pieces: list[tuple[str, float, int]], byte_ids: list[int], dummy_prefix: bool = True, cache: int = 600_000):
         self.ids = {p: i for p, _, i in pieces}
         self.byte_ids, self.dummy_prefix, self.cache_size = byte_ids, dummy_prefix, cache
         self.width = max((len(p) for p in self.ids), default=1)
         self.unknown = min((s for _, s, _ in pieces), default=0.0) - _UNKNOWN_PENALTY
         # of every prefix of a piece: what may follow it, and its score if it is a whole piece
         self.trie: list = [{}, None]
-        for piece, score, _ in pieces:
+        for piece, score in self._undominated({p: s for p, s, _ in pieces}):
             node = self.trie
             for c in piece:
                 node = node[0].setdefault(c, [{}, None])
@@ -76,7 +77,9 @@ class PieceModel:
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.starts: dict[str, tuple] = {}
+        self.ends: dict[tuple, tuple] = {}
         self.out: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        self.table = pa.array([self.out.get(i, b"") for i in range(max(self.out, default=-1) + 1)], pa.binary())
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -87,8 +90,24 @@ class PieceModel:
         plain = [(p.id_to_piece(i), p.get_score(i), i) for i in every if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
         return cls(plain, [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
-    def _starting(self, seen: str) -> tuple[list[tuple[int, float]], dict]:
-        """Lengths and scores of the pieces that ``seen`` begins with, and what may follow where longer ones go on."""
+    def _undominated(self, scores: dict[str, float]) -> Iterator[tuple[str, float]]:
+        """The pieces that a best path can hold: where the same characters in several pieces score higher, those take the place.
+
+        Sums of integers are exact; others must differ by more than what sums may be rounded by.
+        """
+        slack = 0.0 if all(s == int(s) for s in scores.values()) else 1e-6 * max(1.0, -self.unknown)
+        for piece, score in scores.items():
+            best = [0.0]
+            for end in range(1, len(piece) + 1):
+                parts = [best[at] + scores[piece[at:end]] for at in range(end == len(piece), end) if piece[at:end] in scores]
+                if piece[end - 1] not in scores and len(piece) > 1:
+                    parts.append(best[-1] + self.unknown)
+                best.append(max(parts, default=_NEVER))
+            if best[-1] <= score + slack:
+                yield piece, score
+
+    def _starting(self, seen: str) -> tuple[tuple[tuple[int, float], ...], dict, bool]:
+        """Lengths and scores of the pieces that ``seen`` begins with, what may follow where longer ones go on, and whether none is longer than one."""
         ends, kids = [], self.trie[0]
         for length, c in enumerate(seen, 1):
             node = kids.get(c)
@@ -103,33 +122,36 @@ class PieceModel:
             ends.insert(0, (1, self.unknown))
         if len(self.starts) >= 100_000:
             self.starts.clear()
-        self.starts[seen] = ends, kids
-        return ends, kids
+            self.ends.clear()
+        # most beginnings have their ends in common with others
+        ends = self.ends.setdefault(tuple(ends), tuple(ends))
+        self.starts[seen] = found = ends, kids, len(ends) == 1 and not kids
+        return found
 
     def stream(self, chars: str, begin: int = 0, bare: list[int] | None = None) -> Iterator[tuple[int, int]]:
         """The pieces of ``chars`` from the boundary ``begin`` on as (start, end), committed as soon as they are certain.
 
         Committed boundaries beyond which nothing is open join ``bare`` before their pieces come out.
         """
-        for path, free in self._commits(chars, begin):
-            if free and bare is not None:
-                bare.append(path[-1])
-            yield from pairwise(path)
-
-    def _commits(self, chars: str, begin: int) -> Iterator[tuple[list[int], bool]]:
-        """For each commit its boundaries, the last one before included, and whether nothing is open beyond it."""
         n, width, remembered = len(chars), self.width, self.starts.get
+        bare = [] if bare is None else bare
         # score and first boundary of the best path to each place of the window, counted from ``done``
         blank = [_NEVER] * (2 * width + 2)
         done, far, look, score, back = begin, 0, begin + width, blank[:], blank[:]
         score[0] = 0.0
         for at in range(begin, n):
+            seen = chars[at : at + _SEEN]
+            ends, kids, alone = remembered(seen) or self._starting(seen)
+            if alone and not far:  # nothing is open, and nothing but this character begins here
+                done = at + 1
+                bare.append(done)
+                yield at, done
+                continue
             place = at - done
             if place + width >= len(score):
                 score += blank
                 back += blank
-            here, seen = score[place], chars[at : at + _SEEN]
-            ends, kids = remembered(seen) or self._starting(seen)
+            here = score[place]
             for length, gain in ends:
                 value, reach = here + gain, place + length
                 if value > score[reach]:
@@ -162,11 +184,12 @@ class PieceModel:
                     path.append(p)
                 path.reverse()
                 if meet == far + done:
-                    yield path, True
-                    score, back, far = blank[:], blank[:], 0
-                    score[0] = 0.0
+                    bare.append(meet)
+                    yield from pairwise(path)
+                    score[1 : far + 1] = blank[1 : far + 1] if far < len(blank) else [_NEVER] * far
+                    far = 0
                 else:
-                    yield path, False
+                    yield from pairwise(path)
                     base, gone = score[meet - done], meet - done
                     score, back, far = [s - base for s in score[gone:]], back[gone:], far - gone
                 done, look = meet, at + 1 + width
@@ -200,20 +223,17 @@ class PieceModel:
 
     def _searched(self, chars: str, begin: int, least: int) -> tuple[bytes, int]:
         """Ids from the boundary ``begin`` to the first one at or after ``least`` beyond which nothing is open, and that one."""
-        out, ids, bare = [], self.ids, begin
-        for path, free in self._commits(chars, begin):
-            for start, end in pairwise(path):
-                found = ids.get(chars[start:end])
-                if found is not None:
-                    out.append(found)
-                else:
-                    raw = (SPACE if chars[start] == _LITERAL else chars[start]).encode("utf-8")
-                    out.extend(self.byte_ids[b] for b in raw)
-            if free:
-                bare = path[-1]
-                if bare >= least:
-                    break
-        return array("i", out).tobytes(), bare
+        out, ids, bare, end = [], self.ids, [begin], begin
+        for start, end in self.stream(chars, begin, bare):
+            found = ids.get(chars[start:end])
+            if found is not None:
+                out.append(found)
+            else:
+                raw = (SPACE if chars[start] == _LITERAL else chars[start]).encode("utf-8")
+                out.extend(self.byte_ids[b] for b in raw)
+            if end >= least and end == bare[-1]:
+                break
+        return array("i", out).tobytes(), end
 
     def chars(self, text: str) -> str:
         """What the search reads of a text: space signs for spaces, one more in front."""
@@ -238,7 +258,18 @@ class PieceModel:
         chars = self.chars(text)
         words = self.words(chars)
         parts = list(map(self.cache.get, words))
-        if None not in parts:
+        missing = [i for i, part in enumerate(parts) if part is None]
+        if not missing:
+            return b"".join(parts)
+        if not self.spanning and words[-1][-1] != SPACE and all(words[i][-1] != SPACE for i in missing):
+            # no piece spans a boundary of these words, so each is searched for itself and the others stay as they are
+            for i in missing:
+                word = words[i]
+                parts[i] = part = self._remembered(word)
+                if part is None:
+                    parts[i] = part = self._searched(word, 0, len(word))[0]
+                    if len(word) <= 48:
+                        self._remember(word, part)
             return b"".join(parts)
         out, at, end = [], 0, 0
         for word, part in zip(words, parts, strict=True):
@@ -268,6 +299,17 @@ class PieceModel:
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
 
+    def decoded(self, values: pa.Array, ends: list[int]) -> Iterator[bytes]:
+        """The text of each list of ids as bytes; lists lie end to end in ``values``, from 0 to ``ends[1]`` and so on."""
+        found = self.table.take(values)
+        _, places, raw = found.buffers()
+        places = np.frombuffer(places, np.int32)[found.offset :][ends].tolist()
+        raw = memoryview(raw or b"")
+        for start, end in pairwise(places):
+            if self.dummy_prefix and raw[start : start + 1] == b" " and start < end:
+                start += 1
+            yield bytes(raw[start:end])
+
 
 @lru_cache(maxsize=2)
 def _model(path: str) -> PieceModel:
@@ -300,14 +342,15 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                flat, ends, sizes, exact = [], [0], [], []
-                for text in part.column("text").to_pylist():
+                flat, ends, sizes = [], [0], []
+                texts = part.column("text").to_pylist()
+                for text in texts:
                     ids = None if text is None else model.packed(text)
                     flat.append(ids or b"")
                     ends.append(ends[-1] + len(flat[-1]) // 4)
                     sizes.append(None if ids is None else len(ids) // 4)
-                    exact.append(None if ids is None else model.decode(array("i", ids)) == text)
                 values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(flat))])
+                exact = [None if text is None else back == text.encode() for text, back in zip(texts, model.decoded(values, ends), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([s is None for s in sizes]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int32()), lists, pa.array(exact, pa.bool_())], names=["doc_id", "n_ids", "ids", "exact"])
         give_back()

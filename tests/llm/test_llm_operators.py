@@ -775,3 +775,24 @@ def test_pieces_part_where_no_piece_spans():
     for i in range(20):
         model.encode("ab " + "a" * (i + 2))
     assert "▁ab" in model.cache or "▁ab" in model.older
+
+
+def test_only_missing_words_are_searched(monkeypatch):
+    """A text with a new word searches that word alone; pieces that their own parts beat are not searched for; lists decode together."""
+    import pyarrow as pa
+
+    model = pieces.PieceModel([("▁", -1.0, 0), ("a", -1.0, 1), ("b", -1.0, 2), ("ab", -2.0, 3), ("ba", -3.0, 4), ("▁a", -1.0, 5)], list(range(100, 356)))
+    assert dict(model._undominated({"a": -1.0, "b": -1.0, "ab": -2.0, "ba": -3.0})) == {"a": -1.0, "b": -1.0, "ab": -2.0}
+    searched, search = [], model._searched
+    monkeypatch.setattr(model, "_searched", lambda chars, begin, least: searched.append(chars[begin:least]) or search(chars, begin, least))
+    texts = ["ab ba", "ab bab ba é", "", " ", "\t"]
+    packed = [model.packed(t) for t in texts]
+    assert searched[:4] == ["▁ab", "▁ba", "▁bab", "▁é"]
+    plain = [model.encode(t).tolist() for t in texts]
+    ends = [sum(map(len, plain[:i])) for i in range(len(plain) + 1)]
+    values = pa.array([i for ids in plain for i in ids], pa.int32())
+    assert [list(memoryview(p).cast("i")) for p in packed] == plain and plain[1] == [5, 2, 0, 2, 3, 0, 2, 1, 0, 295, 269]
+    assert list(model.decoded(values, ends)) == [t.encode() for t in texts]
+    assert list(model.decoded(values[:0], [0, 0, 0])) == [b"", b""]
+    empty = pa.Array.from_buffers(pa.int32(), 0, [None, pa.py_buffer(b"")])
+    assert list(model.decoded(empty, [0, 0])) == [b""]
