@@ -95,6 +95,22 @@ def test_code_motion_is_the_greatest_solution(spark, seed):
         assert rows(getattr(found, what), "node", "expr") == sorted((n, e) for e in exprs for n in want[e][what]), what
 
 
+@pytest.mark.parametrize("ways, most", [(1, 24), (200_000, 12)])
+def test_rounds_of_code_motion_do_not_grow_with_long_methods(spark, monkeypatch, ways, most):
+    """Ways are joined up to a bound, or until there are no more; nodes 30 and 31 of ``f`` are blocked for ``b``."""
+    monkeypatch.setattr(motion, "_WAYS", ways)
+    rounds, plain = [], motion.fixpoint
+    monkeypatch.setattr(motion, "fixpoint", lambda seeds, step, stop=None: plain(seeds, lambda k, d: rounds.append(1) or step(k, d), stop=stop))
+    cell = "method string, node int, expr string"
+    edges = motion.stage_table(table(spark, "method string, node int, to int", [("f", i, i + k) for i in range(60) for k in (1, 2)] + [("g", 0, 1), ("g", 1, 2)]))
+    blocked = motion.stage_table(table(spark, cell, [("f", 30, "b"), ("f", 31, "b")]))
+    cells = table(spark, cell, [("f", i, e) for i in range(62) for e in ("a", "b", None)] + [("g", i, "a") for i in range(3)])
+    seeds = table(spark, cell, [("f", 0, "a"), ("f", 2, "b"), ("f", 5, None), ("g", 1, "a")])
+    found = motion._closed(seeds, lambda r: motion._over(edges, r).join(blocked, ["method", "node", "expr"], "left_anti"), cells)
+    want = [("f", i, "a") for i in range(62)] + [("f", i, "b") for i in range(2, 30)] + [("f", i, None) for i in range(5, 62)] + [("g", 1, "a"), ("g", 2, "a")]
+    assert sorted(str(tuple(r)) for r in found.select("method", "node", "expr").collect()) == sorted(map(str, want)) and len(rounds) <= most
+
+
 def test_exceptions_pass_callers_until_a_handler(spark):
     subtype = table(spark, "sub string, super string", [(a, a) for a in "TERX"] + [("E", "T"), ("R", "E"), ("R", "T"), ("X", "T")])
     raised = table(spark, "method string, idx int, type string", [("c", 0, "R"), ("c", 1, "X")])
