@@ -20,8 +20,8 @@ from relafix.storage import counted_table, cut, stage_table
 _CELL = ["method", "node", "expr"]
 #: Rounds for all methods together; those that go on are closed apart.
 _EARLY = 8
-#: Ways of longer and longer hops are joined up to so many rows, or four times the edges.
-_WAYS = 200_000
+#: Ways of longer and longer hops are joined up to so many rows, or sixteen times the edges.
+_WAYS = 1_000_000
 
 
 @dataclass
@@ -70,7 +70,7 @@ def _closed(seeds: DataFrame, hop: Callable[[DataFrame], DataFrame], cells: Data
 
     few = cells.join(active, "method", "left_semi")
     ways, n = counted_table(hop(few.withColumn("start", F.col("node"))).distinct(), "ways")
-    limit, longer = max(_WAYS, 4 * n), 0
+    limit, longer = max(_WAYS, 16 * n), 0
     while n <= limit:
         twice, longer = counted_table(ways.unionByName(along(ways, ways)).distinct(), "ways")
         if longer == n:
