@@ -189,6 +189,51 @@ def test_cells_are_found_once_for_objects_that_are_alike(spark, monkeypatch):
         assert "Aggregate" not in found["heap"]._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_cells_of_large_classes_are_dealt_as_runs(spark, monkeypatch, tmp_path):
+    """All objects of five classes are stored into all: a row is dealt for a pair of runs, not for a value, and the cells pack well."""
+    dealt = []
+
+    def spy(rows_, *more):
+        dealt.append(rows_.count())
+        return spread(rows_, *more)
+
+    spread = pointsto._spread
+    monkeypatch.setattr(pointsto, "_spread", spy)
+    held = {f"v{k}": [f"{k}-{i}" for i in range(251 + k)] for k in range(5)}
+    alloc = spark.createDataFrame([(o, v) for v, objs in held.items() for o in objs], "obj string, var string")
+    store = spark.createDataFrame([(a, b, f) for a in held for b in held for f in "fg"], "src string, base string, field string")
+    none = spark.createDataFrame([], "base string, field string, dst string")
+    heap = pointsto.points_to(alloc, spark.createDataFrame([], "src string, dst string"), store, none)["heap"]
+    heap.write.parquet(str(tmp_path / "cells"))
+    n = sum(map(len, held.values()))
+    cells = spark.read.parquet(str(tmp_path / "cells"))
+    assert cells.count() == cells.distinct().count() == 2 * n * n
+    assert dealt == [2 * 5 * 5]
+    assert sum(p.stat().st_size for p in (tmp_path / "cells").glob("*.parquet")) < 0.3 * 2 * n * n
+
+
+def test_cells_of_classes_in_several_runs(spark, monkeypatch):
+    """Classes that fill several shares, runs and rows of runs, the null object among them, and one of a single object."""
+    for name, size in (("_SHARE", 64), ("_RUN", 8), ("_RUNS", 2)):
+        monkeypatch.setattr(pointsto, name, size)
+    p, q = [*(f"p{i}" for i in range(150)), None], [f"q{i}" for i in range(17)]
+    alloc = spark.createDataFrame([(o, "p") for o in p] + [(o, "q") for o in q] + [("one", "r")], "obj string, var string")
+    store = spark.createDataFrame([("p", "q", "f"), ("q", "p", "f"), ("r", "p", None), ("p", "r", "g")], "src string, base string, field string")
+    none = spark.createDataFrame([], "base string, field string, dst string")
+    want = [(a, "f", b) for a in q for b in p] + [(a, "f", b) for a in p for b in q] + [(a, None, "one") for a in p] + [("one", "g", b) for b in p]
+    for limit in (1_000_000, 0):  # with runs sent to all tasks, and joined by a shuffle
+        monkeypatch.setattr(pointsto, "bounded_broadcast", lambda df, *more, limit=limit: storage.bounded_broadcast(df, limit))
+        heap = pointsto.points_to(alloc, spark.createDataFrame([], "src string, dst string"), store, none)["heap"].select("obj", "field", "val")
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            assert ("BroadcastHashJoin" in heap._jdf.queryExecution().executedPlan().toString()) == bool(limit)
+            found = [tuple(r) for r in heap.collect()]
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert sorted(found, key=str) == sorted(want, key=str)
+
+
 def test_targets_are_found_once_for_all_sites(spark, monkeypatch):
     """Sites of one type share its targets, however many subtypes inherit them; a site of two types names a target once."""
     sizes = counting(monkeypatch, pointsto)
